@@ -45,9 +45,19 @@ def escape_regex(c: Column) -> Column:
     return F.regexp_replace(c, r"([\\.\[\]{}()*+?^$|\-])", r"\\$1")
 
 
-def label_list(*pairs: tuple[Column, Column | str]) -> Column:
-    """Labels whose condition holds, in the given order."""
-    return F.array_compact(
-        F.array(*[F.when(cond, F.lit(label) if isinstance(label, str) else label)
-                  for cond, label in pairs])
-    )
+LABEL_SEPARATOR = "+"
+
+
+def joined_labels(*pairs: tuple[Column, Column | str]) -> Column:
+    """Labels whose condition holds, in the given order, as one a+b+c text."""
+    return F.concat_ws(
+        LABEL_SEPARATOR,
+        *[F.when(cond, F.lit(label) if isinstance(label, str) else label)
+          for cond, label in pairs])
+
+
+def labels(joined: Column | str) -> Column:
+    """The a+b+c text as an array; '' is the empty array."""
+    j = col(joined)
+    return F.when(j == "", F.array().cast("array<string>")).otherwise(
+        F.split(j, r"\+"))
