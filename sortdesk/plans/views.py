@@ -106,7 +106,7 @@ def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise("").alias("subject_masked"),
         pick(S.CATEGORY_CYCLE, i).alias("categorie"),
         pick(S.PRIORITY_CYCLE, i).alias("priorite"),
-        ((i * 37) % 101).cast("double").alias("confiance_pct"),
+        (((i * 37) % 101).cast("double") / 100).alias("confiance"),
         pick(S.CASE_REASONS, i).alias("decision_reason"),
         pick(S.REPLIES, i).alias("draft"),
         F.col("c_acctbal").alias("amount"))
