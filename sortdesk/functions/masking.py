@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import fixed_values as V
-from .text import ci, col, cs, escape_regex, strip, text_or_empty
+from .text import ci, col, cs, escape_regex, has_odd_case, strip, text_or_empty
 
 
 def _pattern(entity: str) -> str:
@@ -154,10 +154,11 @@ def mask_client_name(text: Column | str, name: Column | str) -> Column:
                 "\\" + V.CLIENT_PLACEHOLDER),
             acc["n"]),
     )
-    any_word = F.concat(F.lit("(?iU)"),
-                        F.array_join(F.transform(words, escape_regex), "|"))
     # The collapse of repeated placeholders also touches a text that already holds them.
-    touched = F.rlike(t, any_word) | t.contains(V.CLIENT_PLACEHOLDER)
+    low = F.lower(t)
+    touched = (
+        F.exists(words, lambda w: F.contains(low, F.lower(w)))
+        | has_odd_case(t) | has_odd_case(who) | t.contains(V.CLIENT_PLACEHOLDER))
     return F.when((who != "") & (t != "") & touched, folded).otherwise(_result(t, F.lit(0)))
 
 

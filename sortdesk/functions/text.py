@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -35,9 +38,18 @@ def is_blank(c: Column | str) -> Column:
 
 
 def stripped_length_below(c: Column | str, n: int) -> Column:
-    """length(strip(c)) < n. Long texts are settled by a look at both ends."""
+    """length(strip(c)) < n, without a walk through the rest of a long text."""
     text = text_or_empty(c)
-    return ~text.rlike(cs(r"\S[\s\S]{%d,}\S" % (n - 2))) if n > 1 else is_blank(text)
+    return ~text.rlike(cs(r"\S[\s\S]{%d,}?\S" % (n - 2))) if n > 1 else is_blank(text)
+
+
+# Letters that equal an ASCII letter when case is ignored but are not lowered to it.
+_ODD_CASE = ("ſ", "K", "ı", "İ")
+
+
+def has_odd_case(text: Column) -> Column:
+    """Texts for which a search in lower(text) may miss what (?i) finds."""
+    return reduce(or_, [text.contains(c) for c in _ODD_CASE])
 
 
 def escape_regex(c: Column) -> Column:

@@ -15,28 +15,40 @@ def is_degenerate(body: Column | str, min_chars: int = V.DEGENERATE_MIN_CHARS) -
     return stripped_length_below(body, min_chars)
 
 
-def mask_pii(df: DataFrame, text: str, out: str | None = None,
-             entities: str | None = None) -> DataFrame:
-    """Add the masked text and the entity map of one text column.
+def mask_columns(df: DataFrame, outputs: dict[str, tuple[str, str]]) -> DataFrame:
+    """Mask several text columns: {text column: (masked column, entity map column)}.
 
     The five entities are masked one after the other, each on the output of the step
-    before, and every step is its own projection so that no pattern runs twice.
+    before, and every step is one projection over all columns, so no pattern runs twice.
     """
-    out = out or f"{text}_masked"
-    entities = entities or f"{text}_entities"
-    step = "__mask"
-    digit_run = f"{step}_digits"
-    work = (
-        df.withColumn(step, F.struct(text_or_empty(text).alias("text")))
-        .withColumn(digit_run, M.has_digit_run(F.col(f"{step}.text")))
-    )
+    names = list(outputs)
+    mask = {t: f"__mask{i}" for i, t in enumerate(names)}
+    digits = {t: f"__digits{i}" for i, t in enumerate(names)}
+    count = {(t, e): f"__n{i}_{e}" for i, t in enumerate(names) for e in V.PII_PATTERNS}
+    work = df.withColumns({
+        **{mask[t]: F.struct(text_or_empty(t).alias("text")) for t in names},
+        **{digits[t]: M.has_digit_run(text_or_empty(t)) for t in names}})
+    previous = None
     for entity in V.PII_PATTERNS:
-        work = work.withColumn(step, M.mask_entity(F.col(f"{step}.text"), entity, F.col(digit_run)))
-        work = work.withColumn(f"{step}_{entity}", F.col(f"{step}.n"))
-    counts = {e: F.col(f"{step}_{e}") for e in V.PII_PATTERNS}
-    done = evaluate_once(
-        work, {out: F.col(f"{step}.text"), entities: M.entity_map(counts)})
-    return done.drop(step, digit_run, *[f"{step}_{e}" for e in V.PII_PATTERNS])
+        step = {mask[t]: M.mask_entity(F.col(mask[t])["text"], entity, F.col(digits[t]))
+                for t in names}
+        if previous:
+            step |= {count[t, previous]: F.col(mask[t])["n"] for t in names}
+        work = work.withColumns(step)
+        previous = entity
+    found = {t: {e: F.col(mask[t])["n"] if e == previous else F.col(count[t, e])
+                 for e in V.PII_PATTERNS} for t in names}
+    done = evaluate_once(work, {
+        **{outputs[t][0]: F.col(mask[t])["text"] for t in names},
+        **{outputs[t][1]: M.entity_map(found[t]) for t in names}})
+    return done.drop(*mask.values(), *digits.values(), *count.values())
+
+
+def mask_pii(df: DataFrame, text: str, out: str | None = None,
+             entities: str | None = None) -> DataFrame:
+    """Add the masked text and the entity map of one text column."""
+    return mask_columns(
+        df, {text: (out or f"{text}_masked", entities or f"{text}_entities")})
 
 
 def mask_messages(df: DataFrame) -> DataFrame:
@@ -46,27 +58,25 @@ def mask_messages(df: DataFrame) -> DataFrame:
     pii_engine, pii_total and degenerate. Degenerate bodies are masked as well; their
     entity report stays empty because they never reach a rule or a model.
     """
-    work = (
-        df.withColumn("degenerate", is_degenerate("email_body"))
-        .withColumn("client_name", M.client_name("email_from"))
-    )
-    for part in ("email_subject", "email_body", "email_from"):
-        work = mask_pii(work, part, out=f"__{part}", entities=f"__{part}_pii")
-    for part in ("email_subject", "email_body", "email_from"):
-        work = work.withColumn(
-            f"__{part}", M.mask_client_name(F.col(f"__{part}"), F.col("client_name")))
-    n_name = F.col("__email_subject.n") + F.col("__email_body.n")
+    parts = ("email_subject", "email_body", "email_from")
+    work = df.withColumns({
+        "degenerate": is_degenerate("email_body"),
+        "client_name": M.client_name("email_from")})
+    work = mask_columns(work, {p: (f"__{p}", f"__{p}_pii") for p in parts})
+    work = work.withColumns({
+        f"__{p}": M.mask_client_name(F.col(f"__{p}"), F.col("client_name")) for p in parts})
+    n_name = F.col("__email_subject")["n"] + F.col("__email_body")["n"]
     merged = M.merge_entities(F.col("__email_body_pii"), F.col("__email_subject_pii"), n_name)
+    entities = F.when(F.col("degenerate"), M.empty_entities()).otherwise(merged)
     work = evaluate_once(work, {
-        "subject_masked": F.col("__email_subject.text"),
-        "body_masked": F.col("__email_body.text"),
-        "email_from_llm": F.col("__email_from.text"),
-        "pii_entities": F.when(F.col("degenerate"), M.empty_entities()).otherwise(merged),
+        "subject_masked": F.col("__email_subject")["text"],
+        "body_masked": F.col("__email_body")["text"],
+        "email_from_llm": F.col("__email_from")["text"],
+        "pii_entities": entities,
         "pii_engine": F.when(F.col("degenerate"), V.NO_ENGINE).otherwise(V.REGEX_ENGINE),
+        "pii_total": M.entities_total(entities),
     })
-    return work.withColumn("pii_total", M.entities_total("pii_entities")).drop(
-        *[c for p in ("email_subject", "email_body", "email_from")
-          for c in (f"__{p}", f"__{p}_pii")])
+    return work.drop(*[c for p in parts for c in (f"__{p}", f"__{p}_pii")])
 
 
 def pii_leak(df: DataFrame, draft: str = "draft", out: str = "pii_leak") -> DataFrame:

@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
 from ..functions.once import evaluate_once
-from ..functions.text import (LABEL_SEPARATOR, ci, col, joined_labels, labels, strip,
-                              text_or_empty)
+from ..functions.text import (LABEL_SEPARATOR, ci, col, has_odd_case, joined_labels, labels,
+                              strip, text_or_empty)
 from .guardrail import mask_messages
 from .policy import Policy, policy_fields
 
@@ -54,18 +54,11 @@ _NEEDED = {
         ("valid", "accord", "approuv", "confirm"),
     ),
 }
-# Letters that match an ASCII letter when case is ignored but are not lowered to it.
-_ODD_CASE = ("ſ", "K", "ı", "İ")
-
 
 def _any(conditions) -> Column:
     return reduce(or_, conditions)
 
 
-def odd_case(text: Column) -> Column:
-    return _any(text.contains(c) for c in _ODD_CASE)
-
-
 def _may_match(lowered: Column, odd: Column, label: str) -> Column:
     groups = [_any(lowered.contains(s) for s in group) for group in _NEEDED[label]]
     found = groups[0]
@@ -83,13 +76,13 @@ def matches_input_rule(text: Column | str, label: str) -> Column:
     """One input rule as a predicate over any text column."""
     t = text_or_empty(text)
     pattern = {lab: p for lab, p, _ in V.INPUT_RULES}[label]
-    return _guarded(t, F.lower(t), odd_case(t), label, pattern)
+    return _guarded(t, F.lower(t), has_odd_case(t), label, pattern)
 
 
 def is_automatic_sender(sender: Column | str, text: Column | str) -> Column:
     t = text_or_empty(text)
     return text_or_empty(sender).rlike(ci(V.AUTO_SENDER_ADDRESS)) | _guarded(
-        t, F.lower(t), odd_case(t), V.AUTO_SENDER_LABEL, V.AUTO_SENDER_TEXT)
+        t, F.lower(t), has_odd_case(t), V.AUTO_SENDER_LABEL, V.AUTO_SENDER_TEXT)
 
 
 def sensitive_pii(entities: Column | str) -> Column:
@@ -129,8 +122,7 @@ def with_input_hits(df: DataFrame, subject: str = "email_subject", body: str = "
     work = (
         work.withColumn("__text", F.concat(
             text_or_empty(subject), F.lit("\n"), text_or_empty(body)))
-        .withColumn("__low", F.lower(text))
-        .withColumn("__odd", odd_case(text))
+        .withColumns({"__low": F.lower(text), "__odd": has_odd_case(text)})
         .withColumn("__hits", joined_labels(*pairs))
     )
     return evaluate_once(work, {out: labels("__hits")}).drop(
@@ -141,13 +133,13 @@ def with_input_hits(df: DataFrame, subject: str = "email_subject", body: str = "
 def matches_output_rule(draft: Column | str, label: str) -> Column:
     d = text_or_empty(draft)
     pattern = {lab: p for lab, p, _ in V.OUTPUT_RULES}[label]
-    return _guarded(d, F.lower(d), odd_case(d), label, pattern)
+    return _guarded(d, F.lower(d), has_odd_case(d), label, pattern)
 
 
 def joined_output_hits(draft: Column | str) -> Column:
     """a+b text of the output rules a draft triggers; '' for a clean or blank draft."""
     d = text_or_empty(draft)
-    low, odd = F.lower(d), odd_case(d)
+    low, odd = F.lower(d), has_odd_case(d)
     return joined_labels(*[(_guarded(d, low, odd, label, pattern), label)
                            for label, pattern, _ in V.OUTPUT_RULES])
 

@@ -77,7 +77,7 @@ def mask_pii(spark, sf):
     O.mask_ctes("(select doc_id, text from documents)", "text", "b"), final=f"""
 select doc_id, md5(b_text) as masked_md5, {O.entity_text("b")} as entities from b_5"""))
 def mask_pii_documents(spark, sf):
-    df = G.mask_pii(views.table(spark, sf, "documents").select("doc_id", "text"), "text",
+    df = G.mask_pii(views.text_table(spark, sf, "documents", "doc_id").select("doc_id", "text"), "text",
                     out="masked", entities="found")
     return df.select("doc_id", F.md5("masked").alias("masked_md5"),
                      M.entities_text("found").alias("entities"))
@@ -185,7 +185,7 @@ def pii_leaks(spark, sf):
 select doc_id, replace(case when doc_id % 3 = 0 then substr(text, 1, 1500)
   else substr(text, 1, 200) end, chr(10), ' ') as draft_excerpt from documents""")
 def draft_excerpts(spark, sf):
-    df = views.table(spark, sf, "documents").select(
+    df = views.text_table(spark, sf, "documents", "doc_id").select(
         "doc_id", F.col("text").alias("draft"),
         F.when(F.col("doc_id") % 3 == 0, "injection").otherwise("").alias("attack_type"))
     return G.with_excerpt(df).select("doc_id", "draft_excerpt")
@@ -209,13 +209,13 @@ def _census_sql(source: str, text: str, by: str) -> str:
 @register("pii_census_documents", _census_sql(
     "(select source, lang, text from documents)", "text", "source, lang"))
 def pii_census_documents(spark, sf):
-    return G.pii_census(views.table(spark, sf, "documents"), "text", ["source", "lang"])
+    return G.pii_census(views.text_table(spark, sf, "documents", "doc_id"), "text", ["source", "lang"])
 
 
 @register("pii_census_pages", _census_sql(
     "(select split_part(url, '/', 3) as host, html from pages)", "html", "host"))
 def pii_census_pages(spark, sf):
-    df = views.table(spark, sf, "pages").select(
+    df = views.text_table(spark, sf, "pages", "page_id").select(
         F.split_part("url", F.lit("/"), F.lit(3)).alias("host"), "html")
     return G.pii_census(df, "html", ["host"])
 
@@ -335,7 +335,7 @@ for _label in O.OUTPUT:
 @register("external_links_in_pages",
           f"select page_id, {O.has('html', O.OUTPUT['lien_externe'])} as hit from pages")
 def external_links_in_pages(spark, sf):
-    return views.table(spark, sf, "pages").select(
+    return views.text_table(spark, sf, "pages", "page_id").select(
         "page_id", R.matches_output_rule("html", "lien_externe").alias("hit"))
 
 

@@ -18,12 +18,10 @@ def degenerate_defaults(df: DataFrame) -> DataFrame:
         "categorie": V.DEFAULT_CATEGORY, "priorite": V.DEFAULT_PRIORITY, "confiance": 0.0,
         "draft": "", "judge_verdict": "HUMAN_REVIEW",
     }
-    for name, value in fixed.items():
-        df = df.withColumn(
-            name, F.when(F.col("degenerate"), F.lit(value)).otherwise(F.col(name)))
-    return df.withColumn(
-        "critic_issue", F.when(F.col("degenerate"), F.lit("degenerate_input"))
-        .otherwise(F.col("critic_issue")))
+    fixed["critic_issue"] = "degenerate_input"
+    return df.withColumns({
+        name: F.when(F.col("degenerate"), F.lit(value)).otherwise(F.col(name))
+        for name, value in fixed.items()})
 
 
 def triage(messages: DataFrame, policy: Policy | Column | None = None) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import spread_small
 from . import sample_values as S
 
 
@@ -12,6 +13,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def text_table(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
+    """A table of long texts, spread over the cores when it is one small file."""
+    return spread_small(table(spark, sf_dir, name), key)
+
+
 def pick(values: tuple[str, ...], index: Column) -> Column:
     """values[index % n]"""
     lits = F.array(*[F.lit(v) for v in values])
@@ -40,7 +46,7 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = F.when(i % 37 == 0, F.lit("..")).otherwise(
         F.concat(F.col("text"), F.lit("\n"), pick(S.SNIPPETS, i)))
     twin = i - F.when(i % 10 == 9, 1).otherwise(0)
-    return table(spark, sf_dir, "documents").select(
+    return text_table(spark, sf_dir, "documents", "doc_id").select(
         "doc_id", "lang", "source",
         F.when(i % 23 != 0, F.concat(F.lit("M"), twin.cast("string"))).alias("message_id"),
         F.when((i % 23 == 0) & (i % 2 == 0), F.concat(F.lit("J"), n)).alias("job_id"),
