@@ -69,7 +69,10 @@ def audit_export(state: DataFrame, decisions: DataFrame) -> DataFrame:
     cases = state.select(
         "case_id", *[F.col(c) if c in state.columns else F.lit(None).cast("string").alias(c)
                      for c in AUDIT_COLUMNS[1:12]])
-    joined = cases.join(taken, "case_id", "left")
+    # A left join cannot split a case with very many decisions; an inner join can. Cases
+    # nobody decided are added to it.
+    undecided = cases.join(taken.select("case_id").distinct(), "case_id", "left_anti")
+    joined = cases.join(taken, "case_id").unionByName(undecided, allowMissingColumns=True)
     return joined.orderBy("case_id", F.asc_nulls_first("seq")).select(*AUDIT_COLUMNS)
 
 
