@@ -28,9 +28,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return named
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    made = tempfile.mkdtemp(prefix="sortdesk-checkpoint-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    return tempfile.mkdtemp(prefix="sortdesk-checkpoint-")
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
