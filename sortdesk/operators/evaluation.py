@@ -41,7 +41,7 @@ def with_severity(df: DataFrame) -> DataFrame:
     """ok, critique (a faulty draft was sent) or contenu_intercepte (it was held back)."""
     return df.withColumn(
         "check_severity",
-        F.when("check_ok", "ok").when(F.col("action") == "AUTO", "critique")
+        F.when(F.col("check_ok"), "ok").when(F.col("action") == "AUTO", "critique")
         .otherwise("contenu_intercepte"))
 
 
@@ -84,6 +84,28 @@ def _percent(condition: Column) -> Column:
     return 100.0 * F.count_if(condition) / F.count(F.lit(1))
 
 
+def _summed(rows: DataFrame, by: list[str], value: str, counts: dict[str, Column],
+            sums: dict[str, Column], share: float = 0.95) -> DataFrame:
+    """Per group: n, the counted conditions, the sums, and the floored rank of ``value``.
+
+    Everything is combined per distinct value first. The ordered window and the final sums
+    both work on those rows, so the input is read and shuffled once.
+    """
+    first = rows.groupBy(*by, value).agg(
+        F.count(F.lit(1)).alias("n"),
+        *[F.count_if(c).alias(name) for name, c in counts.items()],
+        *[F.sum(c).alias(name) for name, c in sums.items()])
+    group = Window.partitionBy(*by)
+    upto = group.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = first.withColumns({
+        "__n": F.sum("n").over(group), "__upto": F.sum("n").over(upto)})
+    rank = F.floor(F.lit(share) * F.col("__n"))
+    hit = F.when(F.col("__upto") >= rank, F.col(value))
+    return placed.groupBy(*by).agg(
+        *[F.sum(name).alias(name) for name in ("n", *counts, *sums)],
+        F.when(F.max("__n") < 2, F.lit(0)).otherwise(F.min(hit)).alias("__rank_value"))
+
+
 def evaluate_summary(rows: DataFrame, by: list[str] | None = None,
                      auto_threshold: float = V.POLICY_DEFAULTS["seuil_auto"]) -> DataFrame:
     """One row of figures, or one per group of ``by`` (prompt versions, sources, ...).
@@ -93,40 +115,54 @@ def evaluate_summary(rows: DataFrame, by: list[str] | None = None,
     """
     by = by or []
     must_review = F.col("expected_verdict") == "HITL"
-    reviewed = F.greatest(F.count_if(must_review), F.lit(1))
-    without_rules = (must_review & (F.col("judge_verdict") == "AUTO_SEND")
-                     & (F.col("confiance") >= auto_threshold))
-    summary = rows.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n_emails"),
-        (100.0 * F.count_if("faux_auto_send") / reviewed).alias("taux_faux_auto_send_pct"),
-        _percent(F.col("cat_ok")).alias("precision_categorie_pct"),
-        _percent(F.col("pri_ok")).alias("precision_priorite_pct"),
-        _percent(F.col("verdict_ok")).alias("concordance_verdict_pct"),
-        _percent(F.col("action").isin("HITL", "MANUAL")).alias("taux_escalade_pct"),
-        F.avg("latency_ms").cast("long").alias("latence_moyenne_ms"),
-        F.avg("cost_usd").alias("cout_moyen_usd"),
-        F.sum("cost_usd").alias("cout_total_usd"),
-        F.avg(F.col("tokens_in") + F.col("tokens_out")).cast("long").alias("tokens_moyens"),
-        F.count_if(F.col("llm_calls") == 0).alias("emails_zero_llm"),
-        F.avg("rag_hits").alias("rag_hits_moyens"),
-        F.count_if(F.col("check_severity") == "critique").alias("brouillons_fautifs_envoyes"),
-        F.count_if(F.col("check_severity") == "contenu_intercepte")
-        .alias("brouillons_fautifs_interceptes"),
-        F.count_if(F.col("pii_leak") != "").alias("fuites_pii"),
-        (100.0 * F.count_if(without_rules) / reviewed).alias("faux_auto_send_sans_regles_pct"),
-        _percent(F.col("judge_verdict") == "AUTO_SEND").alias("judge_auto_send_pct"))
-    p95 = floored_rank(rows, "latency_ms", by, out="latence_p95_ms")
-    if not by:
-        one = F.lit(1).alias("__one")
-        return summary.select("*", one).join(p95.select("*", one), "__one").drop("__one")
-    same = [summary[c].eqNullSafe(p95[c]) for c in by]
-    return summary.join(p95, same).select(summary["*"], p95["latence_p95_ms"])
+    judge_sends = F.col("judge_verdict") == "AUTO_SEND"
+    sums = _summed(rows, by, "latency_ms", {
+        "must_review": must_review,
+        "faux_auto": F.col("faux_auto_send"),
+        "cat": F.col("cat_ok"), "pri": F.col("pri_ok"), "verdict": F.col("verdict_ok"),
+        "escalated": F.col("action").isin("HITL", "MANUAL"),
+        "zero_llm": F.col("llm_calls") == 0,
+        "critical": F.col("check_severity") == "critique",
+        "held_back": F.col("check_severity") == "contenu_intercepte",
+        "leaks": F.col("pii_leak") != "",
+        "without_rules": must_review & judge_sends & (F.col("confiance") >= auto_threshold),
+        "judge_sends": judge_sends,
+    }, {
+        "latency": F.col("latency_ms"), "cost": F.col("cost_usd"),
+        "tokens": F.col("tokens_in") + F.col("tokens_out"), "hits": F.col("rag_hits"),
+    })
+    n = F.col("n")
+    reviewed = F.greatest(F.col("must_review"), F.lit(1))
+
+    def percent(name: str, of: Column = n) -> Column:
+        return F.lit(100.0) * F.col(name) / of
+
+    def mean(name: str) -> Column:
+        return F.col(name).cast("double") / n
+
+    return sums.select(
+        *by, n.alias("n_emails"),
+        percent("faux_auto", reviewed).alias("taux_faux_auto_send_pct"),
+        percent("cat").alias("precision_categorie_pct"),
+        percent("pri").alias("precision_priorite_pct"),
+        percent("verdict").alias("concordance_verdict_pct"),
+        percent("escalated").alias("taux_escalade_pct"),
+        mean("latency").cast("long").alias("latence_moyenne_ms"),
+        F.col("__rank_value").alias("latence_p95_ms"),
+        mean("cost").alias("cout_moyen_usd"), F.col("cost").alias("cout_total_usd"),
+        mean("tokens").cast("long").alias("tokens_moyens"),
+        F.col("zero_llm").alias("emails_zero_llm"), mean("hits").alias("rag_hits_moyens"),
+        F.col("critical").alias("brouillons_fautifs_envoyes"),
+        F.col("held_back").alias("brouillons_fautifs_interceptes"),
+        F.col("leaks").alias("fuites_pii"),
+        percent("without_rules", reviewed).alias("faux_auto_send_sans_regles_pct"),
+        percent("judge_sends").alias("judge_auto_send_pct"))
 
 
 def offenders(rows: DataFrame, key: str) -> DataFrame:
     """(kind, id) of the messages behind the alarming figures: a table, however long."""
     kinds = F.array_compact(F.array(
-        F.when("faux_auto_send", "faux_auto_send"),
+        F.when(F.col("faux_auto_send"), "faux_auto_send"),
         F.when(F.col("check_severity") == "critique", "brouillon_fautif_envoye"),
         F.when(F.col("check_severity") == "contenu_intercepte", "brouillon_fautif_intercepte"),
         F.when(F.col("pii_leak") != "", "fuite_pii")))
@@ -149,10 +185,12 @@ def run_figures(calls: DataFrame, by: list[str] | None = None) -> DataFrame:
 # --- stages --------------------------------------------------------------------------------
 def stage_latency(trace: DataFrame, agent: str = "agent") -> DataFrame:
     """Runs, failures, mean and p95 duration per stage of a (long) trace table."""
-    figures = trace.groupBy(agent).agg(
-        F.count(F.lit(1)).alias("runs"), F.count_if(~F.col("success")).alias("failures"),
-        F.avg("duration_ms").alias("mean_ms"))
-    return figures.join(floored_rank(trace, "duration_ms", [agent], out="p95_ms"), agent)
+    sums = _summed(trace, [agent], "duration_ms", {"failures": ~F.col("success")},
+                   {"total_ms": F.col("duration_ms")})
+    return sums.select(
+        agent, F.col("n").alias("runs"), "failures",
+        (F.col("total_ms").cast("double") / F.col("n")).alias("mean_ms"),
+        F.col("__rank_value").alias("p95_ms"))
 
 
 def message_trace(trace: DataFrame, key: str, order: str) -> DataFrame:

@@ -290,7 +290,7 @@ def final_attempt(attempts: DataFrame, key: str = "conv_id", order: str = "attem
     w = Window.partitionBy(key).orderBy(order)
     first = attempts.withColumn("__n", F.row_number().over(w)).where(
         F.col("__n") <= max_retries)
-    stop = F.coalesce(F.min(F.when("critic_approved", F.col("__n"))), F.max("__n"))
+    stop = F.coalesce(F.min(F.when(F.col("critic_approved"), F.col("__n"))), F.max("__n"))
     # At most max_retries rows per message are left here.
     last = first.groupBy(F.col(key).alias("__key")).agg(stop.alias("__stop"))
     return (

@@ -31,6 +31,10 @@ def seconds_after_start(n: Column) -> Column:
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return messages_from(text_table(spark, sf_dir, "documents", "doc_id"))
+
+
+def messages_from(documents: DataFrame) -> DataFrame:
     """Customer messages from documents: whole text plus one sample line."""
     i = F.col("doc_id")
     who = pick(S.DISPLAY_NAMES, i)
@@ -46,7 +50,7 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = F.when(i % 37 == 0, F.lit("..")).otherwise(
         F.concat(F.col("text"), F.lit("\n"), pick(S.SNIPPETS, i)))
     twin = i - F.when(i % 10 == 9, 1).otherwise(0)
-    return text_table(spark, sf_dir, "documents", "doc_id").select(
+    return documents.select(
         "doc_id", "lang", "source",
         F.when(i % 23 != 0, F.concat(F.lit("M"), twin.cast("string"))).alias("message_id"),
         F.when((i % 23 == 0) & (i % 2 == 0), F.concat(F.lit("J"), n)).alias("job_id"),
@@ -153,9 +157,13 @@ def policy_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return calls_from(table(spark, sf_dir, "events"))
+
+
+def calls_from(events: DataFrame) -> DataFrame:
     """Run metrics from events."""
     e = F.col("event_id")
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         "event_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "user_id",
         pick(("AUTO", "HITL", "MANUAL"), e).alias("action"),
         (e % 2000).alias("tokens_in"), (e % 500).alias("tokens_out"),
@@ -164,9 +172,13 @@ def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return requests_from(table(spark, sf_dir, "events"))
+
+
+def requests_from(events: DataFrame) -> DataFrame:
     """Incoming requests from events; every nineteenth has no key."""
     e = F.col("event_id")
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         "event_id", F.col("ts").cast("timestamp_ntz").alias("ts"),
         F.when(e % 19 != 0, F.col("user_id").cast("string")).alias("request_key"),
         F.col("user_id").alias("session_id"),
