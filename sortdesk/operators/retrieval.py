@@ -73,10 +73,8 @@ def document_frequency(chunks: DataFrame, text: str = "text") -> DataFrame:
             .groupBy("term").agg(F.count(F.lit(1)).alias("df")))
 
 
-def inverted_index(chunks: DataFrame, order: list[str], text: str = "text") -> DataFrame:
-    """(order columns, terms, weights): weight = 1 / (1 + df / number of passages)."""
-    listed = chunks.select(*order, terms(text).alias("terms"))
-    n = listed.count()
+def inverted_index(listed: DataFrame, n: int, order: list[str]) -> DataFrame:
+    """(order columns, terms, weights) of n passages: weight = 1 / (1 + df / n)."""
     postings = listed.select(*order, F.explode("terms").alias("term"))
     weights = postings.groupBy("term").agg(
         (1.0 / (1.0 + F.count(F.lit(1)).cast("double") / F.lit(float(max(n, 1)))))
@@ -100,25 +98,44 @@ def _best(score: np.ndarray, ids: np.ndarray, order: np.ndarray, k: int) -> np.n
     return np.column_stack((ids[ranked[:k]], score[ranked[:k]]))
 
 
+def _term_arrays(passages: pd.DataFrame, order: list[str], weigh: bool) -> dict:
+    """Term lists of a block of passages as plain arrays: per word the passages it is in.
+
+    ``weigh`` computes the weights from the block itself, which must then be the whole
+    corpus; otherwise the passages bring them along.
+    """
+    lengths = passages["terms"].map(len).to_numpy(dtype=np.int64)
+    rows = np.repeat(np.arange(len(passages), dtype=np.int64), lengths)
+    filled = lengths.sum() > 0
+    codes, words = pd.factorize(
+        np.concatenate(passages["terms"].to_list()) if filled else np.array([], dtype=object))
+    by_word = np.argsort(codes, kind="stable")
+    frequency = np.bincount(codes, minlength=len(words))
+    if weigh:
+        weight = 1.0 / (1.0 + frequency / float(max(len(passages), 1)))
+    else:
+        weight = np.zeros(len(words))
+        if filled:
+            weight[codes] = np.concatenate(passages["weights"].to_list())
+    return {"words": list(words), "ends": np.cumsum(frequency), "rows": rows[by_word],
+            "weight": weight,
+            "order": passages[order].to_numpy(dtype=np.int64).reshape(-1, len(order))}
+
+
 class _TermBlock:
-    """Term lists of a block of passages."""
-
-    def __init__(self, passages: pd.DataFrame, order: list[str]):
-        self.order = passages[order].to_numpy(dtype=np.int64).reshape(-1, len(order))
-        lists: dict[str, list[int]] = {}
-        self.weight: dict[str, float] = {}
-        for i, (words, weights) in enumerate(zip(passages["terms"], passages["weights"])):
-            for word, weight in zip(words, weights):
-                lists.setdefault(word, []).append(i)
-                self.weight[word] = weight
-        self.lists = {w: np.asarray(ids, dtype=np.int64) for w, ids in lists.items()}
+    """Scores questions against the term lists of a block."""
+
+    def __init__(self, arrays: dict):
+        self.arrays, self.order = arrays, arrays["order"]
+        self.code = {w: i for i, w in enumerate(arrays["words"])}
 
     def top(self, words, k: int) -> np.ndarray:
         total = np.zeros(len(self.order))
+        ends, rows, weight = (self.arrays[n] for n in ("ends", "rows", "weight"))
         for word in words:
-            ids = self.lists.get(word)
-            if ids is not None:
-                total[ids] += self.weight[word]
+            c = self.code.get(word)
+            if c is not None:
+                total[rows[ends[c - 1] if c else 0:ends[c]]] += weight[c]
         hit = np.flatnonzero(total)
         return _best(np.round(total[hit], SCORE_DIGITS), hit, self.order, k)
 
@@ -127,10 +144,10 @@ def _term_hits(block: _TermBlock, queries: pd.DataFrame, query_id: str, order: l
                k: int) -> pd.DataFrame:
     ids, rows, scores = [], [], []
     for qid, words in zip(queries[query_id], queries["terms"]):
-        for at, score in block.top(words, k):
-            ids.append(qid)
-            rows.append(int(at))
-            scores.append(score)
+        best = block.top(words, k)
+        ids += [qid] * len(best)
+        rows += list(best[:, 0].astype(np.int64))
+        scores += list(best[:, 1])
     found = block.order[np.asarray(rows, dtype=np.int64)].reshape(-1, len(order))
     out = pd.DataFrame({query_id: pd.Series(ids, dtype="int64"),
                         "score": pd.Series(scores, dtype="float64")})
@@ -174,28 +191,30 @@ def lexical_topk(queries: DataFrame, chunks: DataFrame, k: int = V.TOP_K,
     (``order``: integer columns), passages without a shared term never appear.
     """
     order = list(order)
-    index = cut_lineage(inverted_index(chunks, order, text))
-    size = index.agg(F.coalesce(F.sum(F.size("terms")), F.lit(0))).first()[0]
+    listed = cut_lineage(chunks.select(*order, terms(text).alias("terms")))
+    n, size = listed.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("terms")), F.lit(0))).first()
     asked = queries.select(F.col(query_id).cast("long").alias(query_id),
                            terms(query).alias("terms"))
     schema = f"{query_id} long, {', '.join(f'{c} long' for c in order)}, score double"
     if size <= broadcast_postings:
-        block = asked.sparkSession.sparkContext.broadcast(
-            _TermBlock(index.toPandas(), order))
+        arrays = asked.sparkSession.sparkContext.broadcast(
+            _term_arrays(listed.toPandas(), order, weigh=True))
 
         def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            block = _TermBlock(arrays.value)
             for batch in batches:
-                yield _term_hits(block.value, batch, query_id, order, k)
+                yield _term_hits(block, batch, query_id, order, k)
 
         hits = asked.mapInPandas(stream, schema)
     else:
         asked = cut_lineage(asked)
 
         def meet(_, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-            return _term_hits(_TermBlock(right, order), left, query_id, order, k)
+            block = _TermBlock(_term_arrays(right, order, weigh=False))
+            return _term_hits(block, left, query_id, order, k)
 
         hits = _meet(
-            asked, index, _blocks_of(size, block_postings),
+            asked, inverted_index(listed, n, order), _blocks_of(size, block_postings),
             _blocks_of(asked.count(), slice_queries), F.xxhash64(query_id),
             F.xxhash64(*order)).applyInPandas(meet, schema)
     return _ranked(hits, query_id, order, k, F.desc("score"))
@@ -260,12 +279,12 @@ def vector_topk(queries: DataFrame, vectors: DataFrame, k: int = V.TOP_K,
         F.col(query_id).cast("long").alias(query_id), F.col(query).alias("__query"))
     schema = f"{query_id} long, {key} long, distance double"
     if size <= broadcast_floats:
-        block = asked.sparkSession.sparkContext.broadcast(
-            _VectorBlock(base.toPandas(), key, "__vector"))
+        whole = asked.sparkSession.sparkContext.broadcast(base.toPandas())
 
         def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            block = _VectorBlock(whole.value, key, "__vector")
             for batch in batches:
-                yield _vector_hits(block.value, batch, query_id, "__query", key, k,
+                yield _vector_hits(block, batch, query_id, "__query", key, k,
                                    exclude_self)
 
         hits = asked.mapInPandas(stream, schema)

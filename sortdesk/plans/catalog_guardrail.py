@@ -35,20 +35,21 @@ def degenerate_messages(spark, sf):
 
 def _register_mask(entity: str, name: str):
     pattern, options = O.PII[entity]
-    found = f"regexp_extract_all(email_body, {O.lit(pattern)}, 0, {O.lit(options)})"
+    body = O.mark("email_body")
+    found = f"regexp_extract_all({body}, {O.lit(pattern)}, 0, {O.lit(options)})"
     if entity == "CB":
-        split = f"string_split_regex(email_body, {O.lit(pattern)})"
+        split = f"string_split_regex({body}, {O.lit(pattern)})"
         masked = (f"array_to_string(list_transform(range(1, len({split}) + 1), lambda k: "
                   f"{split}[k] || coalesce(case when {O.luhn(f'{found}[k]')} then "
                   f"'[CB_MASQUE]' else {found}[k] end, '')), '')")
         n = f"len(list_filter({found}, lambda c: {O.luhn('c')}))"
     else:
-        masked = (f"regexp_replace(email_body, {O.lit(pattern)}, '[{entity}_MASQUE]', "
+        masked = (f"regexp_replace({body}, {O.lit(pattern)}, '[{entity}_MASQUE]', "
                   f"{O.lit('g' + options)})")
         n = f"len({found})"
 
     @register(name, O.with_ctes(O.MESSAGES, final=(
-        f"select doc_id, md5({masked}) as masked_md5, cast({n} as bigint) as n "
+        f"select doc_id, md5({O.unmark(masked)}) as masked_md5, cast({n} as bigint) as n "
         f"from messages")))
     def query(spark, sf):
         masked = M.mask_entity("email_body", entity)

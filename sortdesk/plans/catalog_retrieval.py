@@ -35,7 +35,7 @@ def passages(spark, sf):
 
 
 def questions(spark, sf):
-    return views.table(spark, sf, "benchmark").select(
+    return views.text_table(spark, sf, "benchmark", "item_id").select(
         F.col("item_id").alias("query_id"), "text")
 
 
@@ -115,7 +115,7 @@ select * from (select *, row_number() over (partition by query_id order by dista
   from embeddings a join embeddings b on a.vec_id <> b.vec_id)) where rank <= 3""")
 def vector_topk(spark, sf):
     """Nearest neighbours of every vector."""
-    vectors = views.table(spark, sf, "embeddings").select("vec_id", "embedding")
+    vectors = views.text_table(spark, sf, "embeddings", "vec_id").select("vec_id", "embedding")
     asked = vectors.withColumnRenamed("vec_id", "query_id")
     return H.vector_topk(asked, vectors, 3, exclude_self=True).withColumn(
         "distance", F.round("distance", 9))
