@@ -9,9 +9,9 @@ from ..functions import fixed_values as V
 from ..functions.text import stripped_length_below, text_or_empty
 from ..session import cut_lineage
 
-# A run of requests of one key with more distinct times than this is not folded in one
-# task but resolved by pointer doubling.
-FOLD_LIMIT = 50_000
+# A key with more distinct times than this is not folded in one task but resolved by
+# pointer doubling.
+FOLD_LIMIT = 10_000
 _SLICES = 4096
 
 
@@ -27,17 +27,32 @@ def _micros(ts: str) -> Column:
 
 # --- time-to-live dedupe -------------------------------------------------------------------
 def _fold_anchors(ttl: int) -> Column:
-    """Anchors of one run of ascending times: the first, then each first one past the TTL."""
+    """Anchors of ascending (t, id): the first, then each first one past the TTL."""
     return F.aggregate(
         F.col("times"),
-        F.array().cast("array<bigint>"),
-        lambda acc, t: F.when(
-            (F.size(acc) == 0) | (t > F.element_at(acc, -1) + ttl),
-            F.concat(acc, F.array(t))).otherwise(acc))
+        F.array().cast("array<struct<t:bigint,id:bigint>>"),
+        lambda acc, x: F.when(
+            (F.size(acc) == 0) | (x["t"] > F.element_at(acc, -1)["t"] + ttl),
+            F.concat(acc, F.array(x))).otherwise(acc))
 
 
-def _chain_anchors(times: DataFrame, buckets: DataFrame, ttl: int) -> DataFrame:
-    """Anchors (k, b, t) of runs too long for one task.
+def _runs(times: DataFrame, ttl: int) -> DataFrame:
+    """Buckets of a key with their first time, whether a run (no gap above the TTL) starts
+    in them, and the first time after the next bucket of the same run."""
+    by_key = Window.partitionBy("k").orderBy("b")
+    buckets = times.groupBy("k", "b").agg(F.min("t").alias("lo"), F.max("t").alias("hi"))
+    gap = F.col("lo") - F.lag("hi").over(by_key) > ttl
+    buckets = buckets.withColumn("starts_run", F.coalesce(gap, F.lit(True)))
+    buckets = buckets.withColumn("run", F.sum(F.col("starts_run").cast("int")).over(by_key))
+    follows = Window.partitionBy("k", "run").orderBy("b")
+    next_b, next_lo = F.lead("b").over(follows), F.lead("lo").over(follows)
+    return buckets.withColumn(
+        "past_next", F.when(next_b == F.col("b") + 1, F.lead("lo", 2).over(follows))
+        .otherwise(next_lo))
+
+
+def _chain_anchors(times: DataFrame, ttl: int) -> DataFrame:
+    """Anchors (k, t, id) of keys with too many times for one task.
 
     Every time points to the first later one past its TTL; the anchors are the times
     reached from the first one of a run. Pointers double each round, so a chain of n
@@ -45,6 +60,8 @@ def _chain_anchors(times: DataFrame, buckets: DataFrame, ttl: int) -> DataFrame:
     b + 1, or to the start of the next bucket after it; inside a bucket it is found slice
     by slice (a slice holds at most ttl / 4096 microsecond ticks), never over a whole key.
     """
+    times = cut_lineage(times)
+    buckets = cut_lineage(_runs(times, ttl))
     slice_of = F.floor((F.col("x") - F.col("b") * ttl) * _SLICES / ttl).cast("int")
     own = times.select("k", "b", F.col("t").alias("x"), F.col("t").alias("cand"),
                        F.lit(None).cast("long").alias("src"))
@@ -80,7 +97,7 @@ def _chain_anchors(times: DataFrame, buckets: DataFrame, ttl: int) -> DataFrame:
         jump = cut_lineage(
             jump.where(F.col("nxt").isNotNull()).join(ahead, ["k", "nxt"])
             .select("k", "t", F.col("nxt2").alias("nxt")).where(F.col("nxt").isNotNull()))
-    return reached.select("k", F.floor(F.col("t") / ttl).cast("long").alias("b"), "t")
+    return reached.join(times, ["k", "t"]).select("k", "t", "id")
 
 
 def dedupe_ttl(df: DataFrame, key: str = "request_key", ts: str = "ts", order: str = "event_id",
@@ -92,51 +109,39 @@ def dedupe_ttl(df: DataFrame, key: str = "request_key", ts: str = "ts", order: s
     value of the request whose answer applies) and ``duplicate``; a request without a key
     is never a duplicate.
 
-    Times are first reduced to the distinct ones per key and TTL-wide bucket. Anchors lie
-    more than a TTL apart, so a bucket holds at most one, and the anchor of a request lies
-    in its own bucket or the one before. Runs (no gap above the TTL) are told apart on the
-    buckets alone; short runs are folded, long ones resolved by ``_chain_anchors``.
+    Times are first reduced to the distinct ones per key; a key is folded in one task, or
+    resolved by ``_chain_anchors`` when it has very many. Anchors lie more than a TTL
+    apart, so a TTL-wide bucket holds at most one, and the anchor of a request lies in its
+    own bucket or the one before: requests find it by an equality join on the bucket.
     """
     ttl = ttl_s * 1_000_000
     keyed = F.nullif(F.col(key).cast("string"), F.lit("")).isNotNull()
     work = df.where(keyed).withColumns({"__t": _micros(ts)}).withColumn(
         "__b", F.floor(F.col("__t") / ttl).cast("long"))
-    times = work.groupBy(F.col(key).alias("k"), F.col("__b").alias("b"),
-                         F.col("__t").alias("t")).agg(F.min(order).alias("id"))
-    by_key = Window.partitionBy("k").orderBy("b")
-    buckets = times.groupBy("k", "b").agg(
-        F.min("t").alias("lo"), F.max("t").alias("hi"), F.count(F.lit(1)).alias("n"))
-    gap = F.col("lo") - F.lag("hi").over(by_key) > ttl
-    buckets = buckets.withColumn("starts_run", F.coalesce(gap, F.lit(True)))
-    buckets = buckets.withColumn("run", F.sum(F.col("starts_run").cast("int")).over(by_key))
-    in_run = Window.partitionBy("k", "run")
-    follows = in_run.orderBy("b")
-    next_b, next_lo = F.lead("b").over(follows), F.lead("lo").over(follows)
-    buckets = buckets.withColumns({
-        "run_size": F.sum("n").over(in_run),
-        "past_next": F.when(next_b == F.col("b") + 1, F.lead("lo", 2).over(follows))
-        .otherwise(next_lo)})
-    sized = times.join(buckets.select("k", "b", "run", "run_size"), ["k", "b"])
-    folded = (
-        sized.where(F.col("run_size") <= fold_limit).groupBy("k", "run")
-        .agg(F.sort_array(F.collect_list("t")).alias("times"))
-        .select("k", F.explode(_fold_anchors(ttl)).alias("t"))
-        .withColumn("b", F.floor(F.col("t") / ttl).cast("long")).select("k", "b", "t"))
-    long_buckets = buckets.where(F.col("run_size") > fold_limit)
-    anchors = folded
-    if not long_buckets.isEmpty():
-        long_times = sized.where(F.col("run_size") > fold_limit).select("k", "b", "t")
-        anchors = folded.unionByName(_chain_anchors(long_times, long_buckets, ttl))
-    anchors = anchors.join(times, ["k", "b", "t"])
+    times = work.groupBy(F.col(key).cast("string").alias("k"), F.col("__b").alias("b"),
+                         F.col("__t").alias("t")).agg(F.min(order).cast("long").alias("id"))
+    hot = times.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where(
+        F.col("n") > fold_limit).select("k")
+    has_hot = not hot.isEmpty()
+    foldable = times.join(hot, "k", "left_anti") if has_hot else times
+    anchors = (
+        foldable.groupBy("k").agg(F.sort_array(F.collect_list(F.struct("t", "id")))
+                                  .alias("times"))
+        .select("k", F.inline(_fold_anchors(ttl))))
+    if has_hot:
+        anchors = anchors.unionByName(
+            _chain_anchors(times.join(hot, "k", "left_semi"), ttl))
     # One row per bucket a request may fall into: its own anchor and the one before.
-    here = anchors.select("k", "b", F.struct("t", "id").alias("own"))
-    before = anchors.select("k", (F.col("b") + 1).alias("b"),
-                            F.struct("t", "id").alias("earlier"))
-    lookup = here.join(before, ["k", "b"], "full").select(
-        F.col("k").alias("__k"), F.col("b").alias("__b"), "own", "earlier")
+    mark, home = F.struct("t", "id"), F.floor(F.col("t") / ttl).cast("long")
+    reach = anchors.select("k", mark.alias("a"), home.alias("home"),
+                           F.explode(F.array(home, home + 1)).alias("b"))
+    lookup = reach.groupBy("k", "b").agg(
+        F.max(F.when(F.col("b") == F.col("home"), F.col("a"))).alias("own"),
+        F.max(F.when(F.col("b") != F.col("home"), F.col("a"))).alias("earlier")).select(
+        F.col("k").alias("__k"), F.col("b").alias("__bucket"), "own", "earlier")
     own_applies = F.col("own").isNotNull() & (F.col("own")["t"] <= F.col("__t"))
     answered = work.join(
-        lookup, (work[key] == lookup["__k"]) & (work["__b"] == lookup["__b"])
+        lookup, (F.col(key).cast("string") == F.col("__k")) & (F.col("__b") == F.col("__bucket"))
     ).withColumn("anchor_id", F.when(own_applies, F.col("own")["id"]).otherwise(
         F.col("earlier")["id"]))
     marked = answered.select(
