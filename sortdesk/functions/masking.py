@@ -2,6 +2,9 @@
 
 Every step returns ``struct<text, n>``: the masked text and how many values were
 replaced. A text without a candidate costs one pattern scan and is returned as is.
+
+The steps are written as SQL text over named columns (or any SQL expression): one parsed
+expression instead of dozens of calls into the JVM while a plan is built.
 """
 
 from __future__ import annotations
@@ -10,169 +13,148 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import fixed_values as V
-from .text import ci, col, cs, escape_regex, has_odd_case, strip, text_or_empty
-
-
-def _pattern(entity: str) -> str:
-    pattern, ignore_case = V.PII_PATTERNS[entity]
-    return ci(pattern) if ignore_case else cs(pattern)
-
+from .text import ci, col, cs, has_odd_case_sql, sql_text, strip_sql, text_or_empty
 
 # Necessary conditions that are cheaper to look for than the patterns themselves: a card,
 # phone or NIR number holds six digits in a row with at most one separator in between.
 DIGIT_RUN = r"(?U)\d[\s.\-]?\d[\s.\-]?\d[\s.\-]?\d[\s.\-]?\d[\s.\-]?\d"
 _IBAN_START = r"(?U)[Ff][Rr]\d\d"
+_LETTERS, _SPACES, _EDGE = r"^\p{L}+$", r"(?U)\s+", r"\b"
+_SPECIAL, _QUOTED = r"([\\.\[\]{}()*+?^$|\-])", r"\\$1"
+_REPEATED = r"(?U)\[CLIENT_NAME\](?:\s+\[CLIENT_NAME\])+"
 
 
-def has_digit_run(text: Column) -> Column:
-    return text.rlike(DIGIT_RUN)
+def _pattern(entity: str) -> str:
+    pattern, ignore_case = V.PII_PATTERNS[entity]
+    return sql_text(ci(pattern) if ignore_case else cs(pattern))
 
 
-def _guard(text: Column, entity: str, digit_run: Column | None) -> Column:
-    if entity == "IBAN":
-        return text.rlike(_IBAN_START)
-    if entity == "EMAIL":
-        return text.contains("@")
-    return has_digit_run(text) if digit_run is None else digit_run
+def _placeholder(name: str) -> str:
+    return sql_text("\\" + name)
 
 
-def _result(text: Column, n: Column) -> Column:
-    return F.struct(text.alias("text"), n.cast("int").alias("n"))
+def _result(text: str, n: str) -> str:
+    return f"named_struct('text', {text}, 'n', cast({n} as int))"
 
 
-def _mask_by_pattern(text: Column, entity: str, guard: Column) -> Column:
-    pattern = _pattern(entity)
-    replaced = F.regexp_replace(text, pattern, "\\" + V.PLACEHOLDERS[entity])
-    return F.when(
-        guard & text.rlike(pattern),
-        _result(replaced, F.regexp_count(text, F.lit(pattern))),
-    ).otherwise(_result(text, F.lit(0)))
+def digit_run_sql(text: str) -> str:
+    return f"rlike({text}, {sql_text(DIGIT_RUN)})"
+
+
+def _guard(text: str, entity: str, digit_run: str | None) -> str:
+    if entity == "IBAN":
+        return f"rlike({text}, {sql_text(_IBAN_START)})"
+    if entity == "EMAIL":
+        return f"contains({text}, '@')"
+    return digit_run or digit_run_sql(text)
 
 
-def luhn_holds(candidate: Column) -> Column:
+def luhn_sql(candidate: str) -> str:
     """Checksum of a 13-19 digit number; separators are ignored."""
-    digits = F.regexp_replace(candidate, r"(?U)\D", "")
-    n = F.length(digits)
-    figures = F.transform(
-        F.split(F.reverse(digits), ""),
-        lambda d, i: F.when(i % 2 == 0, d.try_cast("int")).otherwise(
-            F.element_at(F.array(*[F.lit(v) for v in (0, 2, 4, 6, 8, 1, 3, 5, 7, 9)]),
-                         F.coalesce(d.try_cast("int"), F.lit(0)) + 1)
-        ),
-    )
-    total = F.aggregate(figures, F.lit(0), lambda a, d: a + F.coalesce(d, F.lit(0)))
-    return n.between(V.CARD_MIN_DIGITS, V.CARD_MAX_DIGITS) & (total % 10 == 0)
-
-
-def _mask_card(text: Column, guard: Column) -> Column:
-    pattern = _pattern("CB")
-    candidates = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    parts = F.arrays_zip(F.split(text, pattern, -1).alias("between"),
-                         candidates.alias("found"))
-    rebuilt = F.transform(
-        parts,
-        lambda p: F.concat(
-            p["between"],
-            F.when(p["found"].isNull(), "")
-            .when(luhn_holds(p["found"]), V.PLACEHOLDERS["CB"])
-            .otherwise(p["found"]),
-        ),
-    )
-    hits = F.size(F.filter(candidates, luhn_holds))
-    return F.when(
-        guard & text.rlike(pattern), _result(F.array_join(rebuilt, ""), hits)
-    ).otherwise(_result(text, F.lit(0)))
+    digits = f"regexp_replace({candidate}, '[^0-9]', '')"
+    figure = ("if(i % 2 = 0, cast(d as int), "
+              "element_at(array(0, 2, 4, 6, 8, 1, 3, 5, 7, 9), cast(d as int) + 1))")
+    total = (f"aggregate(transform(filter(split(reverse({digits}), ''), d -> d <> ''), "
+             f"(d, i) -> {figure}), 0, (a, d) -> a + d)")
+    return (f"(length({digits}) between {V.CARD_MIN_DIGITS} and {V.CARD_MAX_DIGITS} "
+            f"and {total} % 10 = 0)")
 
 
-def mask_entity(c: Column | str, entity: str, digit_run: Column | None = None) -> Column:
-    """struct<text, n> after masking one kind of personal data.
+def mask_sql(text: str, entity: str, digit_run: str | None = None) -> str:
+    """struct<text, n> after masking one kind of personal data in a non-null text.
 
     ``digit_run`` lets a caller that masks several entities look for it only once.
     """
-    text = text_or_empty(c)
-    guard = _guard(text, entity, digit_run)
+    pattern = _pattern(entity)
     if entity == "CB":
-        return _mask_card(text, guard)
-    return _mask_by_pattern(text, entity, guard)
+        found = f"regexp_extract_all({text}, {pattern}, 0)"
+        parts = f"arrays_zip(split({text}, {pattern}, -1), {found})"
+        shown = (f"case when p.`1` is null then '' when {luhn_sql('p.`1`')} "
+                 f"then '{V.PLACEHOLDERS['CB']}' else p.`1` end")
+        masked = f"array_join(transform({parts}, p -> concat(p.`0`, {shown})), '')"
+        n = f"size(filter({found}, c -> {luhn_sql('c')}))"
+    else:
+        masked = f"regexp_replace({text}, {pattern}, {_placeholder(V.PLACEHOLDERS[entity])})"
+        n = f"regexp_count({text}, {pattern})"
+    return (f"case when {_guard(text, entity, digit_run)} and rlike({text}, {pattern}) "
+            f"then {_result(masked, n)} else {_result(text, '0')} end")
+
+
+def mask_entity(text: str, entity: str) -> Column:
+    """struct<text, n> of a text column (or SQL expression)."""
+    return F.expr(mask_sql(f"coalesce({text}, '')", entity))
 
 
-def mask_iban(c):
-    return mask_entity(c, "IBAN")
+def mask_iban(text: str) -> Column:
+    return mask_entity(text, "IBAN")
 
 
-def mask_nir(c):
-    return mask_entity(c, "NIR")
+def mask_nir(text: str) -> Column:
+    return mask_entity(text, "NIR")
 
 
-def mask_card(c):
-    return mask_entity(c, "CB")
+def mask_card(text: str) -> Column:
+    return mask_entity(text, "CB")
 
 
-def mask_phone(c):
-    return mask_entity(c, "TEL")
+def mask_phone(text: str) -> Column:
+    return mask_entity(text, "TEL")
 
 
-def mask_email(c):
-    return mask_entity(c, "EMAIL")
+def mask_email(text: str) -> Column:
+    return mask_entity(text, "EMAIL")
 
 
 # --- client name ----------------------------------------------------------------------
-def client_name(sender: Column | str) -> Column:
+def client_name(sender: str) -> Column:
     """Display name of a sender, else the alphabetic parts of the local part, else ''."""
-    s = text_or_empty(sender)
-    display = F.regexp_extract(s, cs(V.DISPLAY_NAME), 1)
-    local = strip(F.split_part(s, F.lit("@"), F.lit(1)))
-    tokens = F.filter(
-        F.split(local, V.NAME_TOKEN_SEPARATORS),
-        lambda t: t.rlike(r"^\p{L}+$") & (F.length(t) >= V.NAME_TOKEN_MIN),
-    )
-    from_local = F.array_join(F.transform(tokens, F.initcap), " ")
-    return F.when(s.rlike(cs(V.DISPLAY_NAME)), strip(display)).otherwise(from_local)
-
-
-def mask_client_name(text: Column | str, name: Column | str) -> Column:
+    s, display = f"coalesce({sender}, '')", sql_text(cs(V.DISPLAY_NAME))
+    local = strip_sql(f"split_part({s}, '@', 1)")
+    tokens = (f"filter(split({local}, {sql_text(V.NAME_TOKEN_SEPARATORS)}), t -> "
+              f"rlike(t, {sql_text(_LETTERS)}) "
+              f"and length(t) >= {V.NAME_TOKEN_MIN})")
+    from_local = f"array_join(transform({tokens}, t -> initcap(t)), ' ')"
+    return F.expr(f"case when rlike({s}, {display}) "
+                  f"then {strip_sql(f'regexp_extract({s}, {display}, 1)')} "
+                  f"else {from_local} end")
+
+
+def mask_client_name(text: str, name: str) -> Column:
     """struct<text, n>: full name, then each longer token of it, replaced as whole words.
 
     The pattern differs per row, so rows in which no part of the name occurs are left
     to a plain substring search.
     """
-    t, who = text_or_empty(text), text_or_empty(name)
-    tokens = F.filter(F.split(strip(who), cs(r"\s+")),
-                      lambda w: F.length(w) >= V.NAME_MASK_TOKEN_MIN)
-    words = F.concat(F.array(who), tokens)
-    bounded = F.transform(
-        words, lambda w: F.concat(F.lit(r"(?iU)\b"), escape_regex(w), F.lit(r"\b")))
-    folded = F.aggregate(
-        bounded,
-        _result(t, F.lit(0)),
-        lambda acc, p: _result(
-            F.regexp_replace(acc["text"], p, F.lit("\\" + V.CLIENT_PLACEHOLDER)),
-            acc["n"] + F.regexp_count(acc["text"], p)),
-        lambda acc: _result(
-            F.regexp_replace(
-                acc["text"], r"(?U)\[CLIENT_NAME\](?:\s+\[CLIENT_NAME\])+",
-                "\\" + V.CLIENT_PLACEHOLDER),
-            acc["n"]),
-    )
+    t, who = f"coalesce({text}, '')", f"coalesce({name}, '')"
+    words = (f"concat(array({who}), filter(split({strip_sql(who)}, {sql_text(_SPACES)}), "
+             f"w -> length(w) >= {V.NAME_MASK_TOKEN_MIN}))")
+    bounded = (f"transform({words}, w -> concat({sql_text(ci(_EDGE))}, "
+               f"regexp_replace(w, {sql_text(_SPECIAL)}, {sql_text(_QUOTED)}), "
+               f"{sql_text(_EDGE)}))")
+    placeholder = _placeholder(V.CLIENT_PLACEHOLDER)
+    step = _result(f"regexp_replace(acc.text, p, {placeholder})",
+                   "acc.n + regexp_count(acc.text, p)")
+    finish = _result(f"regexp_replace(acc.text, {sql_text(_REPEATED)}, {placeholder})", "acc.n")
+    folded = (f"aggregate({bounded}, {_result(t, '0')}, (acc, p) -> {step}, "
+              f"acc -> {finish})")
     # The collapse of repeated placeholders also touches a text that already holds them.
-    low = F.lower(t)
-    touched = (
-        F.exists(words, lambda w: F.contains(low, F.lower(w)))
-        | has_odd_case(t) | has_odd_case(who) | t.contains(V.CLIENT_PLACEHOLDER))
-    return F.when((who != "") & (t != "") & touched, folded).otherwise(_result(t, F.lit(0)))
+    touched = (f"exists({words}, w -> contains(lower({t}), lower(w))) "
+               f"or {has_odd_case_sql(t)} or {has_odd_case_sql(who)} "
+               f"or contains({t}, '{V.CLIENT_PLACEHOLDER}')")
+    return F.expr(f"case when {who} <> '' and {t} <> '' and ({touched}) then {folded} "
+                  f"else {_result(t, '0')} end")
 
 
 # --- entity maps ------------------------------------------------------------------------
 def empty_entities() -> Column:
-    return F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<int>"))
+    return F.expr("cast(map() as map<string, int>)")
 
 
-def entity_map(counts: dict[str, Column]) -> Column:
-    """map<entity, n> holding only the entities that were found."""
-    found = F.array_compact(F.array(*[
-        F.when(n > 0, F.struct(F.lit(k).alias("k"), n.cast("int").alias("v")))
-        for k, n in counts.items()]))
-    return F.map_from_entries(found)
+def entity_map(counts: dict[str, str]) -> Column:
+    """map<entity, n> holding only the entities that were found; counts are SQL texts."""
+    found = ", ".join(f"if({n} > 0, named_struct('k', '{k}', 'v', cast({n} as int)), null)"
+                      for k, n in counts.items())
+    return F.expr(f"map_from_entries(array_compact(array({found})))")
 
 
 def merge_entities(body: Column, subject: Column, n_name: Column) -> Column:
@@ -203,8 +185,7 @@ def reinjection_map(draft: Column | str, name: Column | str) -> Column:
     wanted = (text_or_empty(name) != "") & text_or_empty(draft).contains(V.CLIENT_PLACEHOLDER)
     return F.when(
         wanted, F.create_map(F.lit(V.CLIENT_PLACEHOLDER), col(name))
-    ).otherwise(F.map_from_arrays(F.array().cast("array<string>"),
-                                  F.array().cast("array<string>")))
+    ).otherwise(F.expr("cast(map() as map<string, string>)"))
 
 
 def reinject(draft: Column | str, replacements: Column | str) -> Column:

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import or_
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -44,28 +41,24 @@ def stripped_length_below(c: Column | str, n: int) -> Column:
 
 
 # Letters that equal an ASCII letter when case is ignored but are not lowered to it.
-_ODD_CASE = ("ſ", "K", "ı", "İ")
+_ODD_CASE = ("\u017f", "\u212a", "\u0131", "\u0130")
 
 
-def has_odd_case(text: Column) -> Column:
+def has_odd_case_sql(text: str) -> str:
     """Texts for which a search in lower(text) may miss what (?i) finds."""
-    return reduce(or_, [text.contains(c) for c in _ODD_CASE])
+    return "(" + " or ".join(f"contains({text}, '{c}')" for c in _ODD_CASE) + ")"
 
 
-def escape_regex(c: Column) -> Column:
-    """Quote the characters that have a meaning in a pattern."""
-    return F.regexp_replace(c, r"([\\.\[\]{}()*+?^$|\-])", r"\\$1")
+def sql_text(value: str) -> str:
+    """A text as an SQL literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-LABEL_SEPARATOR = "+"
+def strip_sql(text: str) -> str:
+    return f"regexp_replace({text}, {sql_text(cs(r'^\s+|\s+$'))}, '')"
 
 
-def joined_labels(*pairs: tuple[Column, Column | str]) -> Column:
-    """Labels whose condition holds, in the given order, as one a+b+c text."""
-    return F.concat_ws(
-        LABEL_SEPARATOR,
-        *[F.when(cond, F.lit(label) if isinstance(label, str) else label)
-          for cond, label in pairs])
+LABEL_SEPARATOR = "+"
 
 
 def labels(joined: Column | str) -> Column:

@@ -184,13 +184,13 @@ def ready_to_send(state: DataFrame, limit: int = 50) -> DataFrame:
     """
     if not 1 <= limit <= 200:
         raise ValueError("limit must lie between 1 and 200")
-    name = M.client_name("email_from")
     return (
         state.where(F.col("status").isin(*V.APPROVED) & F.col("sent_at").isNull())
         .orderBy("case_id").limit(limit)
+        .withColumn("__name", M.client_name("email_from"))
         .select("case_id", "message_id", "job_id", F.col("email_from").alias("email_to"),
                 F.col("subject_raw").alias("subject"), "final_draft",
-                M.reinjection_map("final_draft", name).alias("pii_reinjection"), "status"))
+                M.reinjection_map("final_draft", "__name").alias("pii_reinjection"), "status"))
 
 
 def apply_sends(commands: DataFrame, cases: DataFrame, sends: DataFrame | None = None

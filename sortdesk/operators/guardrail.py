@@ -25,18 +25,20 @@ def mask_columns(df: DataFrame, outputs: dict[str, tuple[str, str]]) -> DataFram
     mask = {t: f"__mask{i}" for i, t in enumerate(names)}
     digits = {t: f"__digits{i}" for i, t in enumerate(names)}
     count = {(t, e): f"__n{i}_{e}" for i, t in enumerate(names) for e in V.PII_PATTERNS}
-    work = df.withColumns({
-        **{mask[t]: F.struct(text_or_empty(t).alias("text")) for t in names},
-        **{digits[t]: M.has_digit_run(text_or_empty(t)) for t in names}})
-    previous = None
+    start = {}
+    for t in names:
+        text = f"coalesce(`{t}`, '')"
+        start[mask[t]] = F.expr(f"named_struct('text', {text})")
+        start[digits[t]] = F.expr(M.digit_run_sql(text))
+    work, previous = df.withColumns(start), None
     for entity in V.PII_PATTERNS:
-        step = {mask[t]: M.mask_entity(F.col(mask[t])["text"], entity, F.col(digits[t]))
+        step = {mask[t]: F.expr(M.mask_sql(f"{mask[t]}.text", entity, digits[t]))
                 for t in names}
         if previous:
             step |= {count[t, previous]: F.col(mask[t])["n"] for t in names}
         work = work.withColumns(step)
         previous = entity
-    found = {t: {e: F.col(mask[t])["n"] if e == previous else F.col(count[t, e])
+    found = {t: {e: f"{mask[t]}.n" if e == previous else count[t, e]
                  for e in V.PII_PATTERNS} for t in names}
     done = evaluate_once(work, {
         **{outputs[t][0]: F.col(mask[t])["text"] for t in names},
@@ -64,7 +66,7 @@ def mask_messages(df: DataFrame) -> DataFrame:
         "client_name": M.client_name("email_from")})
     work = mask_columns(work, {p: (f"__{p}", f"__{p}_pii") for p in parts})
     work = work.withColumns({
-        f"__{p}": M.mask_client_name(F.col(f"__{p}"), F.col("client_name")) for p in parts})
+        f"__{p}": M.mask_client_name(f"__{p}", "client_name") for p in parts})
     n_name = F.col("__email_subject")["n"] + F.col("__email_body")["n"]
     merged = M.merge_entities(F.col("__email_body_pii"), F.col("__email_subject_pii"), n_name)
     entities = F.when(F.col("degenerate"), M.empty_entities()).otherwise(merged)

@@ -7,15 +7,12 @@ of which any match must contain; the pattern itself only runs on texts that hold
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import or_
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
 from ..functions.once import evaluate_once
-from ..functions.text import (LABEL_SEPARATOR, ci, col, has_odd_case, joined_labels, labels,
+from ..functions.text import (LABEL_SEPARATOR, ci, col, has_odd_case_sql, labels, sql_text,
                               strip, text_or_empty)
 from .guardrail import mask_messages
 from .policy import Policy, policy_fields
@@ -55,34 +52,37 @@ _NEEDED = {
     ),
 }
 
-def _any(conditions) -> Column:
-    return reduce(or_, conditions)
+def _guarded_sql(text: str, low: str, odd: str, label: str, pattern: str) -> str:
+    groups = " and ".join(
+        "(" + " or ".join(f"contains({low}, {sql_text(s)})" for s in group) + ")"
+        for group in _NEEDED[label])
+    return f"(({groups} or {odd}) and rlike({text}, {sql_text(ci(pattern))}))"
 
 
-def _may_match(lowered: Column, odd: Column, label: str) -> Column:
-    groups = [_any(lowered.contains(s) for s in group) for group in _NEEDED[label]]
-    found = groups[0]
-    for g in groups[1:]:
-        found = found & g
-    return found | odd
+def _matches(text: str, label: str, pattern: str) -> str:
+    return _guarded_sql(text, f"lower({text})", has_odd_case_sql(text), label, pattern)
 
 
-def _guarded(text: Column, lowered: Column, odd: Column, label: str, pattern: str) -> Column:
-    return _may_match(lowered, odd, label) & text.rlike(ci(pattern))
+def _joined(pairs: list[tuple[str, str]]) -> str:
+    """Labels whose SQL condition holds, in the given order, as one a+b+c text."""
+    return f"concat_ws('{LABEL_SEPARATOR}', " + ", ".join(
+        f"case when {condition} then {label} end" for condition, label in pairs) + ")"
 
 
 # --- input side ------------------------------------------------------------------------
-def matches_input_rule(text: Column | str, label: str) -> Column:
-    """One input rule as a predicate over any text column."""
-    t = text_or_empty(text)
+def matches_input_rule(text: str, label: str) -> Column:
+    """One input rule as a predicate over any text column (or SQL expression)."""
     pattern = {lab: p for lab, p, _ in V.INPUT_RULES}[label]
-    return _guarded(t, F.lower(t), has_odd_case(t), label, pattern)
+    return F.expr(_matches(f"coalesce({text}, '')", label, pattern))
+
+
+def _from_automat(sender: str) -> str:
+    return f"rlike(coalesce({sender}, ''), {sql_text(ci(V.AUTO_SENDER_ADDRESS))})"
 
 
-def is_automatic_sender(sender: Column | str, text: Column | str) -> Column:
-    t = text_or_empty(text)
-    return text_or_empty(sender).rlike(ci(V.AUTO_SENDER_ADDRESS)) | _guarded(
-        t, F.lower(t), has_odd_case(t), V.AUTO_SENDER_LABEL, V.AUTO_SENDER_TEXT)
+def is_automatic_sender(sender: str, text: str) -> Column:
+    says_so = _matches(f"coalesce({text}, '')", V.AUTO_SENDER_LABEL, V.AUTO_SENDER_TEXT)
+    return F.expr(f"{_from_automat(sender)} or {says_so}")
 
 
 def sensitive_pii(entities: Column | str) -> Column:
@@ -107,44 +107,42 @@ def with_input_hits(df: DataFrame, subject: str = "email_subject", body: str = "
 
     Works on the raw text. ``entities`` adds the structural rules; None leaves them out.
     """
-    text, low, odd = F.col("__text"), F.col("__low"), F.col("__odd")
-    pairs = [(_guarded(text, low, odd, label, pattern), label)
-             for label, pattern, _ in V.INPUT_RULES]
-    pairs.append((
-        text_or_empty(sender).rlike(ci(V.AUTO_SENDER_ADDRESS))
-        | _guarded(text, low, odd, V.AUTO_SENDER_LABEL, V.AUTO_SENDER_TEXT),
-        V.AUTO_SENDER_LABEL))
-    work = df
+    def matches(label: str, pattern: str) -> str:
+        return _guarded_sql("__text", "__low", "__odd", label, pattern)
+
+    pairs = [(matches(label, pattern), sql_text(label)) for label, pattern, _ in V.INPUT_RULES]
+    says_so = matches(V.AUTO_SENDER_LABEL, V.AUTO_SENDER_TEXT)
+    pairs.append((f"{_from_automat(sender)} or {says_so}", sql_text(V.AUTO_SENDER_LABEL)))
+    text = f"concat(coalesce({subject}, ''), '\\n', coalesce({body}, ''))"
+    added = {"__text": F.expr(text)}
     if entities is not None:
-        work = work.withColumn("__pii", sensitive_pii(entities))
-        pairs.append((F.col("__pii").isNotNull(), F.col("__pii")))
-        pairs.append((is_bare_attachment(body), V.ATTACHMENT_LABEL))
+        added["__pii"] = sensitive_pii(entities)
+        added["__bare"] = is_bare_attachment(body)
+        pairs += [("__pii is not null", "__pii"), ("__bare", sql_text(V.ATTACHMENT_LABEL))]
     work = (
-        work.withColumn("__text", F.concat(
-            text_or_empty(subject), F.lit("\n"), text_or_empty(body)))
-        .withColumns({"__low": F.lower(text), "__odd": has_odd_case(text)})
-        .withColumn("__hits", joined_labels(*pairs))
+        df.withColumns(added)
+        .withColumns({"__low": F.expr("lower(__text)"),
+                      "__odd": F.expr(has_odd_case_sql("__text"))})
+        .withColumn("__hits", F.expr(_joined(pairs)))
     )
     return evaluate_once(work, {out: labels("__hits")}).drop(
-        "__text", "__low", "__odd", "__pii", "__hits")
+        "__text", "__low", "__odd", "__pii", "__bare", "__hits")
 
 
 # --- output side -----------------------------------------------------------------------
-def matches_output_rule(draft: Column | str, label: str) -> Column:
-    d = text_or_empty(draft)
+def matches_output_rule(draft: str, label: str) -> Column:
     pattern = {lab: p for lab, p, _ in V.OUTPUT_RULES}[label]
-    return _guarded(d, F.lower(d), has_odd_case(d), label, pattern)
+    return F.expr(_matches(f"coalesce({draft}, '')", label, pattern))
 
 
-def joined_output_hits(draft: Column | str) -> Column:
+def joined_output_hits(draft: str) -> Column:
     """a+b text of the output rules a draft triggers; '' for a clean or blank draft."""
-    d = text_or_empty(draft)
-    low, odd = F.lower(d), has_odd_case(d)
-    return joined_labels(*[(_guarded(d, low, odd, label, pattern), label)
-                           for label, pattern, _ in V.OUTPUT_RULES])
+    d = f"coalesce({draft}, '')"
+    return F.expr(_joined([(_matches(d, label, pattern), sql_text(label))
+                           for label, pattern, _ in V.OUTPUT_RULES]))
 
 
-def check_draft_output(draft: Column | str) -> Column:
+def check_draft_output(draft: str) -> Column:
     return labels(joined_output_hits(draft))
 
 

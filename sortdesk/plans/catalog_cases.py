@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 from ..functions import fixed_values as V
 from ..functions import masking as M
 from ..operators import admission, audit, cases as C, policy as P
+from ..session import cut_lineage
 from ..sources.templates import latest_templates, template_catalogue
 from . import oracle_parts as O
 from . import sample_values as S
@@ -76,8 +77,9 @@ def sends(spark, sf):
     return C.apply_sends(views.commands(spark, sf), views.cases(spark, sf))[0]
 
 
-def state(spark, sf):
-    return C.case_state(views.cases(spark, sf), decided(spark, sf)[0], sends(spark, sf))
+def state(spark, sf, decisions=None):
+    taken = decisions if decisions is not None else decided(spark, sf)[0]
+    return C.case_state(views.cases(spark, sf), taken, sends(spark, sf))
 
 
 @register("accepted_decisions", O.with_ctes(*DECISION_CTES, final="select * from decisions"))
@@ -252,7 +254,8 @@ select case_id, created_at, s.message_id, s.categorie, s.priorite, s.confiance,
   d.decided_at, d.decided_by, d.decision, d.comment
 from state s left join decisions d using (case_id)"""))
 def audit_export(spark, sf):
-    return audit.audit_export(state(spark, sf), decided(spark, sf)[0]).drop(
+    log = cut_lineage(decided(spark, sf)[0])  # read three times, like the log on disk
+    return audit.audit_export(state(spark, sf, log), log).drop(
         "action", "judge_verdict", "cost_usd", "duration_ms")
 
 

@@ -109,7 +109,7 @@ def _fill(template, replacements):
 
 def _raw(spark, sf, templates, marks):
     e = F.col("event_id")
-    return views.table(spark, sf, "events").select(
+    return views.text_table(spark, sf, "events", "event_id").select(
         "event_id", _fill(views.pick(templates, e), marks(e)).alias("completion"))
 
 
