@@ -194,15 +194,8 @@ def stage_latency(trace: DataFrame, agent: str = "agent") -> DataFrame:
 
 
 def message_trace(trace: DataFrame, key: str, order: str) -> DataFrame:
-    """Per message the stages in order and the error texts.
-
-    A message passes each stage once and drafter and judge at most twice, so the arrays
-    hold a handful of entries.
-    """
-    stage = F.struct(order, "agent", "duration_ms", "success", "note")
-    error = F.when(~F.col("success"), F.struct(
-        order, F.concat(F.lit("["), F.col("agent"), F.lit("] "), text_or_empty("note"))
-        .alias("text")))
-    return trace.groupBy(key).agg(
-        F.sort_array(F.collect_list(stage)).alias("agent_trace"),
-        F.sort_array(F.collect_list(error))["text"].alias("errors"))
+    """Stages of every message in order, one row each, with the error text of failed ones."""
+    error = F.when(~F.col("success"), F.concat(
+        F.lit("["), F.col("agent"), F.lit("] "), text_or_empty("note"))).otherwise("")
+    return trace.select(key, order, "agent", "duration_ms", "success", "note",
+                        error.alias("error")).orderBy(key, order)

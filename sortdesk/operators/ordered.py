@@ -23,15 +23,10 @@ def carry_forward(df: DataFrame, keys: list[str], order: list[str], block: Colum
     """
     work = df.withColumn("__v", value).withColumn("__b", block)
     work = work.withColumn("__s", salt if salt is not None else F.lit(0))
-    rank = F.struct(*order)
-    ends = (
-        work.where(F.col("__v").isNotNull())
-        .groupBy(*keys, "__b").agg(F.max_by("__v", rank).alias("__end"))
-    )
-    # Half-open intervals of blocks: a value that ends block b reaches the next block
-    # that has a value of its own.
+    at = F.when(F.col("__v").isNotNull(), F.struct(*order))
+    # One row per block, with its last value or null: the carry runs over these only.
     blocks = (
-        work.select(*keys, "__b").distinct().join(ends, [*keys, "__b"], "left")
+        work.groupBy(*keys, "__b").agg(F.max_by("__v", at).alias("__end"))
         .withColumn("__carry", F.last("__end", ignorenulls=True).over(
             Window.partitionBy(*keys).orderBy("__b")
             .rowsBetween(Window.unboundedPreceding, -1)))

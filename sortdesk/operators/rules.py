@@ -211,18 +211,23 @@ def decide(df: DataFrame, policy: Policy | Column | None = None) -> DataFrame:
 
 
 # --- dictionaries ------------------------------------------------------------------------
+def _dictionary(spark: SparkSession, columns: str, rows: list[tuple[str, ...]]) -> DataFrame:
+    """A fixed list of texts as a local table."""
+    values = ", ".join("(" + ", ".join(sql_text(v) for v in row) + ")" for row in rows)
+    return spark.sql(f"select * from values {values} as t({columns})")
+
+
 def rule_catalogue(spark: SparkSession, sensitive: bool = True,
                    output: bool = True) -> DataFrame:
-    """Rules in force: (side, ord, code, why). Switched-off sides are left out."""
+    """Rules in force: (side, code, why). Switched-off sides are left out."""
     rows = []
     if sensitive:
         rows += [("entree", label, why) for label, _, why in V.INPUT_RULES]
         rows += [("entree", label, why) for label, why in V.STRUCTURAL_REASONS]
     if output:
         rows += [("sortie", label, why) for label, _, why in V.OUTPUT_RULES]
-    return spark.createDataFrame(
-        [(side, i, code, why) for i, (side, code, why) in enumerate(rows)],
-        "side string, ord int, code string, why string")
+    names = _dictionary(spark, "side, code, why", rows or [("", "", "")])
+    return names if rows else names.where(F.lit(False))
 
 
 def with_justification(df: DataFrame, label: str, out: str = "why") -> DataFrame:
@@ -242,8 +247,7 @@ def with_justification(df: DataFrame, label: str, out: str = "why") -> DataFrame
 
 def with_reason_label(df: DataFrame, reason: str = "decision_reason") -> DataFrame:
     """Add escalation_label and escalation_why for a decision reason."""
-    names = df.sparkSession.createDataFrame(
-        V.REASON_LABELS, "__base string, __label string")
+    names = _dictionary(df.sparkSession, "__base, __label", V.REASON_LABELS)
     full = F.coalesce(F.col(reason), F.lit(""))
     base = F.split_part(
         F.when(full == "", F.lit("seuils")).otherwise(full), F.lit(":"), F.lit(1))

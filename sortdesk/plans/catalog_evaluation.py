@@ -471,12 +471,7 @@ def stage_latency(spark, sf):
 
 
 @register("message_traces", O.with_ctes(_TRACE, final="""
-select message, string_agg(agent || '=' || duration_ms, ';' order by seq) as stages,
-  coalesce(string_agg(case when not success then '[' || agent || '] ' || note end, ' | ' order by seq), '') as errors
-from trace group by message"""))
+select message, seq, agent, duration_ms, success,
+  case when success then '' else '[' || agent || '] ' || note end as error from trace"""))
 def message_traces(spark, sf):
-    df = E.message_trace(_trace(spark, sf), "message", "seq")
-    stages = F.transform("agent_trace", lambda s: F.concat(
-        s["agent"], F.lit("="), s["duration_ms"].cast("string")))
-    return df.select("message", F.array_join(stages, ";").alias("stages"),
-                     F.array_join("errors", " | ").alias("errors"))
+    return E.message_trace(_trace(spark, sf), "message", "seq").drop("note")
