@@ -327,8 +327,12 @@ severed as (select *, case when check_failed = '' then 'ok' when action = 'AUTO'
   else 'contenu_intercepte' end as check_severity from checked)"""
 
 
-def checked(spark, sf):
-    results = triage(triage_input(spark, sf)).select(
+def checked(spark, sf, only=None):
+    """Decided messages with their draft checks; ``only`` keeps the messages it lists."""
+    messages = triage_input(spark, sf)
+    if only is not None:
+        messages = messages.join(only.select("doc_id"), "doc_id", "left_semi")
+    results = triage(messages).select(
         "doc_id", "source", "categorie", "priorite", "confiance", "draft", "action",
         "decision_reason", "judge_verdict", "critic_score")
     return E.with_severity(E.check_drafts(results, _checks(spark, sf), "doc_id"))
@@ -343,11 +347,12 @@ def draft_checks(spark, sf):
 def replayed(spark, sf):
     """Decided messages with labels, draft checks, leaks and usage figures."""
     i = F.col("doc_id")
-    rows = G.pii_leak(checked(spark, sf)).withColumns({
+    labels = views.expected(spark, sf)
+    rows = G.pii_leak(checked(spark, sf, only=labels)).withColumns({
         "tokens_in": i % 2000, "tokens_out": i % 500, "llm_calls": i % 6, "rag_hits": i % 4,
         "latency_ms": (i * 7919) % 9000})
     rows = rows.withColumn("cost_usd", G.cost_usd("tokens_in", "tokens_out"))
-    return E.evaluate_rows(rows, views.expected(spark, sf), "doc_id")
+    return E.evaluate_rows(rows, labels, "doc_id")
 
 
 REPLAYED = (
