@@ -298,8 +298,6 @@ def aligned_orders(spark, sf):
 
 
 # --- policy ------------------------------------------------------------------------------------
-_POLICY_COLUMNS = """seuil_auto, seuil_hitl, {categories} as categories, sensitive_on"""
-
 
 def policies(spark, sf):
     return P.policy_rows(views.policy_log(spark, sf))
