@@ -24,7 +24,9 @@ import hashlib
 import re
 import string
 import struct
+import sys
 from collections.abc import Iterator
+from types import ModuleType
 
 import ahocorasick
 import numpy as np
@@ -210,14 +212,20 @@ class _Memory(dict):
         return packed
 
 
-_LOADED: dict[str, Pieces] = {}
+def loaded(model_file: str) -> Pieces:
+    """One vocabulary, with its memory, for the lifetime of a worker process.
+
+    Code travels with each task, so what outlives a task is kept in a module of the process.
+    """
+    home = sys.modules.setdefault("sortdesk_piece_models", ModuleType("sortdesk_piece_models"))
+    if model_file not in vars(home):
+        vars(home)[model_file] = Pieces(model_file)
+    return vars(home)[model_file]
 
 
-def loaded(model_file: str) -> Pieces:
-    """One vocabulary for each worker process."""
-    if model_file not in _LOADED:
-        _LOADED[model_file] = Pieces(model_file)
-    return _LOADED[model_file]
+def _id_lists(ids: list[bytes]) -> pa.Array:
+    edges = np.concatenate([[0], np.cumsum([len(i) // 4 for i in ids])]).astype(np.int32)
+    return pa.ListArray.from_arrays(edges, pa.array(np.frombuffer(b"".join(ids), "<i4")))
 
 
 def encode_pieces(docs: DataFrame, model_file: str, text_col: str = "text",
@@ -229,7 +237,7 @@ def encode_pieces(docs: DataFrame, model_file: str, text_col: str = "text",
     """
     result = free_name(docs, result)
     kind = T.StructType([
-        T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType()),
+        T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType())),
         T.StructField("ids_sha256", T.StringType()), T.StructField("decoded", T.StringType()),
         T.StructField("decoded_sha256", T.StringType())])
     at = docs.columns.index(text_col)
@@ -244,7 +252,7 @@ def encode_pieces(docs: DataFrame, model_file: str, text_col: str = "text",
                 sha = [[hashlib.sha256(b).hexdigest() for b in part] for part in (ids, plain)]
                 column = pa.StructArray.from_arrays([
                     pa.array(np.array([len(i) // 4 for i in ids], np.int64)),
-                    pa.array(ids, pa.binary()), pa.array(sha[0], pa.string()),
+                    _id_lists(ids), pa.array(sha[0], pa.string()),
                     pa.array(plain, pa.binary()).cast(pa.string()), pa.array(sha[1], pa.string())],
                     ["n_tokens", "ids", "ids_sha256", "decoded", "decoded_sha256"])
                 yield pa.RecordBatch.from_arrays([*batch.columns, column],

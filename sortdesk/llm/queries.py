@@ -5,7 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import decontamination, near_duplicates, pieces, repeats
+from . import (decontamination, licences, near_duplicates, neighbours, pieces, pseudonyms,
+               repeats, sharding, toxicity, url_graph)
 from .store import table
 
 QUERIES: dict = {}
@@ -29,6 +30,44 @@ _LETTERS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _ASCII_LOWER = ("translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")
 
 
+#: Key of the registered queries; callers bring their own.
+PSEUDONYM_KEY = "key of the registered queries"
+
+
+@register("op1_link_graph")
+def op1(spark, sf):
+    return url_graph.filter_urls(table(spark, sf, "pages"))
+
+
+@register("op2_classifier_chain")
+def op2(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return toxicity.toxic_documents(docs, table(spark, sf, "labels")).select(
+        "doc_id", F.col("toxicity.junk").alias("p_junk"), F.col("toxicity.toxic").alias("p_toxic"),
+        "toxicity.rejected")
+
+
+@register("op3_two_pass_shuffle")
+def op3(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return sharding.shuffled_shards(docs, shards=16).select(
+        "doc_id", sharding.text_bytes("text").alias("size"),
+        F.coalesce(F.crc32("text"), F.lit(0)).alias("text_crc32"), F.lit("rows").alias("law"),
+        "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@register("op4_licence_classifier")
+def op4(spark, sf):
+    return licences.document_licences(table(spark, sf, "documents"))
+
+
+@register("op5_feistel_pseudonyms")
+def op5(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return pseudonyms.pseudonymise(docs, PSEUDONYM_KEY).select(
+        "doc_id", "text", "pseudonyms.n_found", "pseudonyms.n_replaced")
+
+
 @register("op6_seed_and_extend", f"""
 with words as materialized (
   select doc_id, regexp_extract_all(coalesce(text, ''), '{_SPACED}') as w from documents),
@@ -50,7 +89,36 @@ def op6(spark, sf):
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-@register("op8_fast_similarity_sketching")
+@register("op7_multiprobe_p_stable")
+def op7(spark, sf):
+    vectors = table(spark, sf, "embeddings")
+    return neighbours.nearest(vectors, vectors.where("vec_id % 50 = 0"), k=5)
+
+
+@register("op8_fast_similarity_sketching", f"""
+with recursive words as (
+  select doc_id, regexp_extract_all({_ASCII_LOWER.format("coalesce(text, '')")}, '{_SPACED}') as w
+  from documents),
+sets as materialized (
+  select doc_id, list_distinct(case when len(w) < 2 then
+    case when len(w) = 1 then [w[1]] else cast([] as varchar[]) end else
+    list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) end) as s from words),
+shingles as materialized (select doc_id, len(s) as n, hash(unnest(s)) as h from sets),
+links as materialized (
+  select a.doc_id as u, b.doc_id as v
+  from shingles a join shingles b on a.h = b.h and a.doc_id < b.doc_id
+    and 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+  group by a.doc_id, b.doc_id, a.n, b.n
+  having 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+both_ways as materialized (select u, v from links union all select v, u from links),
+reach as (
+  select distinct u as doc_id, u as other from both_ways
+  union
+  select r.doc_id, e.v from reach r join both_ways e on e.u = r.other),
+least_of as (select doc_id, min(other) as component_id from reach group by doc_id)
+select doc_id, len(s) as n_shingles, coalesce(component_id, doc_id) as component_id,
+  coalesce(component_id, doc_id) = doc_id as kept
+from sets left join least_of using (doc_id)""")
 def op8(spark, sf):
     return near_duplicates.near_duplicates(table(spark, sf, "documents"), shingle=2, percent=80)
 
