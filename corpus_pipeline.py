@@ -44,8 +44,9 @@ def remove_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal numbers and dates become pseudonyms of the same format and length."""
-    return pseudonyms.pseudonymise(docs.select(*COLUMNS), PSEUDONYM_KEY).select(*COLUMNS)
+    """Personal numbers and dates become pseudonyms of the same format."""
+    hidden = pseudonyms.pseudonymise(docs.select(*COLUMNS), PSEUDONYM_KEY).select(*COLUMNS)
+    return hidden.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), "n_chars"))
 
 
 def to_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
