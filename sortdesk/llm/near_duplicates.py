@@ -40,7 +40,7 @@ COORDINATES = 128
 ROWS, BANDS = 4, 32
 #: Buckets up to this size give pairs; larger ones are compared in blocks of bounded size.
 SMALL_BUCKET = 32
-BLOCK_ROWS, BLOCK_SHINGLES, COLUMNS_AT_ONCE = 192, 200_000, 4096
+BLOCK_ROWS, BLOCK_SHINGLES, COLUMNS_AT_ONCE = 1024, 500_000, 2048
 _EMPTY = np.uint32(0xFFFFFFFF)
 _U = np.uint64
 
@@ -165,7 +165,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     named = classes.select("k1", "k2", "node").join(labels, "node", "left").withColumn(
         "label", F.coalesce("label", "node"))
-    least = named.groupBy("label").agg(F.min("node").alias("component_id"))
+    least = written(named.groupBy("label").agg(F.min("node").alias("component_id")), "least")
     named = written(named.join(least, "label").select("k1", "k2", "component_id"), "components")
     key = ["id", "n", "k1", "k2"]
     joined = signed_rows.select(*key).join(named, ["k1", "k2"], "left")
