@@ -107,7 +107,7 @@ def dedupe_ttl(df: DataFrame, key: str = "request_key", ts: str = "ts", order: s
     The anchor is the first request that is no duplicate; repeats do not extend its life,
     and a repeat exactly at the end of the TTL still counts. Adds ``anchor_id`` (the order
     value of the request whose answer applies) and ``duplicate``; a request without a key
-    is never a duplicate.
+    or without a time is never a duplicate, nor an anchor.
 
     Times are first reduced to the distinct ones per key; a key is folded in one task, or
     resolved by ``_chain_anchors`` when it has very many. Anchors lie more than a TTL
@@ -115,7 +115,7 @@ def dedupe_ttl(df: DataFrame, key: str = "request_key", ts: str = "ts", order: s
     own bucket or the one before: requests find it by an equality join on the bucket.
     """
     ttl = ttl_s * 1_000_000
-    keyed = F.nullif(F.col(key).cast("string"), F.lit("")).isNotNull()
+    keyed = F.nullif(F.col(key).cast("string"), F.lit("")).isNotNull() & F.col(ts).isNotNull()
     work = df.where(keyed).withColumns({"__t": _micros(ts)}).withColumn(
         "__b", F.floor(F.col("__t") / ttl).cast("long"))
     times = work.groupBy(F.col(key).cast("string").alias("k"), F.col("__b").alias("b"),

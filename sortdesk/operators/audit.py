@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -77,11 +77,17 @@ def audit_export(state: DataFrame, decisions: DataFrame) -> DataFrame:
 
 
 def write_audit(export: DataFrame, path: str) -> int:
-    """Write the export as CSV and return its row count; an empty one writes nothing."""
+    """Write the export as CSV and return its row count, observed while it is written.
+
+    Quotes are doubled, as CSV readers expect; a value may hold line breaks, so read it with
+    ``multiLine``. An empty export writes no file.
+    """
     if export.isEmpty():
         return 0
-    export.write.mode("overwrite").option("header", True).csv(path)
-    return export.sparkSession.read.option("header", True).csv(path).count()
+    seen = Observation()
+    export.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").options(
+        header=True, escape='"').csv(path)
+    return seen.get["n"]
 
 
 def normal_sender(c: Column | str) -> Column:
@@ -106,19 +112,37 @@ def export_snapshot(cases: DataFrame, decisions: DataFrame, allowed: DataFrame,
     return True
 
 
-def align_schema(df: DataFrame, contract: StructType) -> DataFrame:
+def align_schema(df: DataFrame, contract: StructType, rejects: str | None = None) -> DataFrame:
     """Rows of another schema version in the current one: known columns kept and cast,
-    missing ones null, unknown ones dropped."""
+    missing ones null, unknown ones dropped.
+
+    A value that cannot be cast becomes null; with ``rejects``, a column of that name lists
+    the columns where this happened (empty for a whole row).
+    """
     have = set(df.columns)
-    return df.select(*[
-        (F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name)
-        for f in contract.fields])
-
-
-def load_versions(current: DataFrame, *older: DataFrame, key: str) -> DataFrame:
-    """Current rows plus older rows in the current schema; the first table with a key wins."""
-    out = current
-    for df in older:
-        rows = align_schema(df, current.schema)
-        out = out.unionByName(rows.join(out.select(key), key, "left_anti"))
-    return out
+    cast = [(F.col(f.name).try_cast(f.dataType) if f.name in have
+             else F.lit(None).cast(f.dataType)).alias(f.name) for f in contract.fields]
+    if rejects is None:
+        return df.select(*cast)
+    lost = [F.when(F.col(f.name).isNotNull() & F.col(f.name).try_cast(f.dataType).isNull(),
+                   F.lit(f.name)) for f in contract.fields if f.name in have]
+    return df.select(*cast, F.array_compact(F.array(*lost).cast("array<string>")).alias(rejects))
+
+
+def load_versions(current: DataFrame, *older: DataFrame, key: str,
+                  order: tuple[str, ...] = ()) -> DataFrame:
+    """Current rows plus older rows in the current schema; the first row of a key wins.
+
+    Tables go in the order given, rows of one table by ``order``, then by all their columns.
+    A row without a key is never a repeat.
+    """
+    whole = None
+    for number, df in enumerate((current, *older)):
+        rows = (df if number == 0 else align_schema(df, current.schema)).withColumn(
+            "__table", F.lit(number))
+        whole = rows if whole is None else whole.unionByName(rows)
+    place = F.struct("__table", *order, *[c for c, kind in current.dtypes
+                                          if not kind.startswith("map")])
+    keyed = whole.where(F.col(key).isNotNull()).withColumn(
+        "__n", F.row_number().over(Window.partitionBy(key).orderBy(place))).where("__n = 1")
+    return keyed.drop("__n").unionByName(whole.where(F.col(key).isNull())).drop("__table")

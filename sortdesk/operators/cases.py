@@ -78,11 +78,13 @@ def queue_view(cases: DataFrame) -> DataFrame:
 def apply_decisions(commands: DataFrame, cases: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(accepted, refused) reviewer commands (seq, at, case_id, command, final_draft, ...).
 
-    Refused: an unknown decision, an unknown case, an edit without text, a text that
+    Confirmed sendings (mark_sent) are no decisions; ``apply_sends`` takes them. Refused: an
+    unknown decision, an unknown or missing case, an edit without text, a text that
     triggers an output rule. A validation without text takes the draft in force: the last
     accepted text before it, else the original draft. Only commands that bring their own
     clean text change the draft in force, so one carry along each case settles all of it.
     """
+    commands = commands.where(~F.col("command").eqNullSafe("mark_sent"))
     known = cases.select(
         "case_id", F.lit(True).alias("__known"), text_or_empty("draft").alias("__original"),
         joined_output_hits("draft").alias("__original_hits"))
@@ -104,7 +106,7 @@ def apply_decisions(commands: DataFrame, cases: DataFrame) -> tuple[DataFrame, D
         .when(approving, F.coalesce("__in_force", "__original"))
         .otherwise(""))
     refusal = (
-        F.when(~F.col("command").isin(*V.DECISIONS), "unknown_decision")
+        F.when(~F.coalesce(F.col("command").isin(*V.DECISIONS), F.lit(False)), "unknown_decision")
         .when(F.col("__known").isNull(), "unknown_case")
         .when((F.col("command") == "edited") & is_blank("final_draft"), "text_required")
         .when(hits != "", F.concat(F.lit("output_guardrail:"), hits)))
@@ -154,11 +156,17 @@ def case_state(cases: DataFrame, decisions: DataFrame, sends: DataFrame) -> Data
     }).drop("__final")
 
 
-def case_detail(state: DataFrame, include_raw: bool = False) -> DataFrame:
+def case_detail(state: DataFrame, include_raw: bool = False,
+                decisions: DataFrame | None = None) -> DataFrame:
     """Queue view plus drafts and decision figures; raw text only when asked for.
 
-    The decisions of a case are read from ``history``.
+    With ``decisions`` a case comes out once for each of its decisions, in seq order within
+    the case (undecided cases once, with nulls): a long history stays many rows.
     """
+    if decisions is not None:
+        steps = decisions.select("case_id", "seq", "decided_at", "decided_by", "decision",
+                                 F.col("final_draft").alias("decision_draft"), "comment")
+        return case_detail(state, include_raw).join(steps, "case_id", "left")
     extra = ["case_id", F.col("final_draft").alias("draft"),
              F.col("draft").alias("draft_original"), "n_decisions", "last_decision"]
     optional = ("body_masked", "judge_verdict", "judge_scores", "pii_entities", "contexts",
@@ -206,7 +214,7 @@ def apply_sends(commands: DataFrame, cases: DataFrame, sends: DataFrame | None =
         if sends is not None else None
     firsts = asked.groupBy("case_id").agg(F.min("seq").alias("__first"))
     known = cases.select("case_id", F.lit(True).alias("__known"))
-    work = asked.join(firsts, "case_id").join(known, "case_id", "left")
+    work = asked.join(firsts, "case_id", "left").join(known, "case_id", "left")
     work = (work.join(earlier, "case_id", "left") if earlier is not None
             else work.withColumn("__earlier", F.lit(None).cast("boolean")))
     result = (

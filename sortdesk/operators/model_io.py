@@ -12,56 +12,50 @@ from ..functions.once import evaluate_once
 from ..functions.text import is_blank, strip, text_or_empty
 from .policy import Policy, policy_fields
 
-NO_SENDER = "(inconnu)"
-NO_CONTEXT = "Aucun contexte documentaire fourni."
-WRITE_REPLY = (
-    "Rédige la réponse au client en français, 5-10 lignes max.\n"
-    "Si tu t'adresses au client par son nom, utilise EXACTEMENT le placeholder "
-    "[CLIENT_NAME] (il sera remplacé automatiquement à l'envoi)."
-)
+NO_SENDER = "unknown"
+NO_PASSAGES = "none"
+ANSWER_NOTE = (f"Answer in French, in a few lines. Where the customer is named, write "
+               f"{V.CLIENT_PLACEHOLDER}.")
 
 
 # --- prompts -------------------------------------------------------------------------------
-def _or_default(name: str, default: str) -> Column:
-    return F.coalesce(F.col(name), F.lit(default))
+def _slots(*slots: tuple[str, Column]) -> Column:
+    """One 'name: value' line for each slot."""
+    return F.concat_ws("\n", *[F.concat(F.lit(f"{name}: "), value) for name, value in slots])
 
 
-def _mail_head() -> Column:
+def _message_slots() -> list[tuple[str, Column]]:
     sender = F.coalesce(F.nullif(F.col("email_from_llm"), F.lit("")), F.lit(NO_SENDER))
-    return F.concat(F.lit("De : "), sender, F.lit("\nSujet : "),
-                    text_or_empty("subject_masked"), F.lit("\n\n"))
+    return [("sender", sender), ("subject", text_or_empty("subject_masked")),
+            ("body", strip(text_or_empty("body_masked")))]
+
+
+def _class_slots() -> list[tuple[str, Column]]:
+    return [("category", F.coalesce("categorie", F.lit(V.DEFAULT_CATEGORY))),
+            ("priority", F.coalesce("priorite", F.lit(V.DEFAULT_PRIORITY)))]
 
 
 def classifier_prompt() -> Column:
-    return F.concat(F.lit("Email reçu :\n---\n"), _mail_head(),
-                    strip(text_or_empty("body_masked")), F.lit("\n---"))
+    return _slots(*_message_slots())
 
 
 def drafter_prompt() -> Column:
-    contexts = F.when(
-        F.size(F.coalesce(F.col("contexts"), F.array().cast("array<string>"))) > 0,
-        F.concat(F.lit("Contextes documentaires :\n- "), F.array_join("contexts", "\n- ")),
-    ).otherwise(F.lit(NO_CONTEXT))
+    """Message, class, passages, what the last review refused, and how to answer."""
+    passages = F.coalesce(F.nullif(F.array_join("contexts", " / "), F.lit("")),
+                          F.lit(NO_PASSAGES))
     refused = (text_or_empty("critic_feedback") != "") & ~F.coalesce(
         F.col("critic_approved"), F.lit(True))
-    feedback = F.when(refused, F.concat(
-        F.lit("\n\nRetour critique précédent à corriger : "), F.col("critic_feedback"),
-        F.lit("\nIssues : "), F.coalesce(F.array_join("critic_issues", ", "), F.lit(""))),
-    ).otherwise(F.lit(""))
-    return F.concat(
-        F.lit("Email d'origine :\n---\n"), _mail_head(), text_or_empty("body_masked"),
-        F.lit("\n---\n\nClassification : catégorie="), _or_default("categorie", "autre"),
-        F.lit(", priorité="), _or_default("priorite", "normale"),
-        F.lit(", résumé="), text_or_empty("resume"), F.lit("\n\n"),
-        contexts, feedback, F.lit("\n\n" + WRITE_REPLY))
+    review = F.when(refused, F.concat_ws(
+        "; ", "critic_feedback", F.nullif(F.array_join("critic_issues", ", "), F.lit(""))))
+    return F.concat_ws(
+        "\n", _slots(*_message_slots(), *_class_slots(), ("summary", text_or_empty("resume")),
+                     ("passages", passages)),
+        F.concat(F.lit("refused before: "), review), F.lit(ANSWER_NOTE))
 
 
 def judge_prompt() -> Column:
-    return F.concat(
-        F.lit("Email d'origine :\n"), text_or_empty("body_masked"),
-        F.lit("\n\nClassification : catégorie="), _or_default("categorie", "autre"),
-        F.lit(", priorité="), _or_default("priorite", "normale"),
-        F.lit("\n\nRéponse rédigée à évaluer :\n---\n"), F.col("draft"), F.lit("\n---"))
+    return _slots(("body", strip(text_or_empty("body_masked"))), *_class_slots(),
+                  ("draft", F.col("draft")))
 
 
 _PROMPTS = {"classifier": classifier_prompt, "drafter": drafter_prompt, "judge": judge_prompt}
@@ -77,7 +71,8 @@ def prompts_for(df: DataFrame, agent: str, templates: DataFrame | None = None) -
 
     Degenerate messages never are; a blank body is not classified and a blank draft not
     judged. The filter comes before any model call. ``templates`` (name, version,
-    content; one row per agent) adds the system prompt and its version.
+    content) adds the system prompt and its version; of several rows of an agent the
+    greatest version (as text) is taken, so no prompt is doubled.
     """
     for name, kind in _DRAFTER_INPUT.items():
         if name not in df.columns:
@@ -94,6 +89,9 @@ def prompts_for(df: DataFrame, agent: str, templates: DataFrame | None = None) -
     chosen = templates.where(F.col("name") == agent).select(
         F.col("name").alias("agent"), F.col("content").alias("system_prompt"),
         F.col("version").alias(f"tpl_{agent}"))
+    chosen = chosen.groupBy("agent").agg(
+        F.max_by("system_prompt", f"tpl_{agent}").alias("system_prompt"),
+        F.max(f"tpl_{agent}").alias(f"tpl_{agent}"))
     return out.join(F.broadcast(chosen), "agent", "left")
 
 
@@ -245,8 +243,8 @@ def parse_judge(df: DataFrame, raw: str = "completion", policy: Policy | Column
         .withColumn("critic_approved", opened | (ok & is_approved(
             F.col("judge_verdict"), F.col("critic_score"), policy)))
         .withColumn("critic_feedback", F.when(ok, F.col("__feedback"))
-                    .when(opened, "Judge indisponible")
-                    .otherwise("Sortie judge invalide"))
+                    .when(opened, "judge_unavailable")
+                    .otherwise("judge_output_unusable"))
         .withColumn("critic_issues", F.when(ok, F.col("__issues"))
                     .when(opened, F.array().cast("array<string>"))
                     .otherwise(F.array(F.lit("judge_invalid_output"))))

@@ -19,10 +19,16 @@ def carry_forward(df: DataFrame, keys: list[str], order: list[str], block: Colum
     """Add the last non-null ``value`` before each row (at it too with include_current).
 
     ``block`` must grow with ``order`` within a key. ``salt`` splits the rows of one block
-    further; rows that carry a value must then already be present in every salt.
+    further; rows that carry a value must then already be present in every salt. A row with
+    a null key, or without a first order value, has no place in a sequence: it carries
+    nothing on and comes out with a null.
     """
-    work = df.withColumn("__v", value).withColumn("__b", block)
-    work = work.withColumn("__s", salt if salt is not None else F.lit(0))
+    whole = df.withColumn("__v", value).withColumn("__b", block)
+    whole = whole.withColumn("__s", salt if salt is not None else F.lit(0))
+    placed = F.col("__b").isNotNull() & F.col(order[0]).isNotNull()
+    for key in keys:
+        placed = placed & F.col(key).isNotNull()
+    work, loose = whole.where(placed), whole.where(~placed)
     at = F.when(F.col("__v").isNotNull(), F.struct(*order))
     # One row per block, with its last value or null: the carry runs over these only.
     blocks = (
@@ -36,12 +42,14 @@ def carry_forward(df: DataFrame, keys: list[str], order: list[str], block: Colum
     inside = F.last("__v", ignorenulls=True).over(
         Window.partitionBy(*keys, "__b", "__s").orderBy(*order)
         .rowsBetween(Window.unboundedPreceding, last_row))
-    return (
+    carried = (
         work.withColumn("__in", inside)
         .join(blocks, [*keys, "__b"])
         .withColumn(out, F.coalesce("__in", "__carry"))
-        .drop("__v", "__b", "__s", "__in", "__carry")
-    )
+        .drop("__in", "__carry"))
+    kind = carried.schema[out].dataType
+    return carried.unionByName(loose.withColumn(out, F.lit(None).cast(kind))).drop(
+        "__v", "__b", "__s")
 
 
 def block_of(order: str, width: int) -> Column:

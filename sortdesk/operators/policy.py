@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import asdict, dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
@@ -72,16 +72,33 @@ def policy_rows(overrides: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.where(ordered), rows.where(~ordered)
 
 
+def policy_struct(policy: Policy | None = None, fields: tuple[str, ...] = TUNABLES) -> Column:
+    """A constant policy as a struct, to stand in where no history row applies."""
+    values = policy_fields(policy)
+    return F.struct(*[values[f].alias(f) for f in fields])
+
+
+#: A history of at most so many rows is sent to every task whole.
+SMALL_HISTORY = 1_000
+
+
 def as_of(facts: DataFrame, ts: str, history: DataFrame, fields: list[str],
           valid_from: str = "valid_from", out: str = "policy", width_s: int = 3600,
-          salts: int = 8) -> DataFrame:
+          salts: int = 8, small_history: int = SMALL_HISTORY) -> DataFrame:
     """Policy in force at ``ts``: the last history row with valid_from <= ts, or null.
 
-    History and facts are put on one time line cut into hours. Facts of an hour are
-    spread over ``salts`` groups and the history rows of that hour copied to each, so no
-    task holds more than its share of a busy hour. ``fields`` of the history row that
-    wins become a struct; on equal valid_from the greatest row (by its fields) wins.
+    ``fields`` of the history row that wins become a struct; on equal valid_from the
+    greatest row (by its fields) wins. A fact without a time gets null. History rows are
+    counted first: a few settings saved by hand are broadcast with the end of their
+    validity, and facts are neither shuffled nor sorted.
+
+    A longer history and the facts are put on one time line cut into hours. Facts of an
+    hour are spread over ``salts`` groups and the history rows of that hour copied to each,
+    so no task holds more than its share of a busy hour.
     """
+    history = history.where(F.col(valid_from).isNotNull())
+    if history.limit(small_history + 1).count() <= small_history:
+        return _as_of_small(facts, ts, history, fields, valid_from, out)
     value = F.struct(F.col(valid_from), *[F.col(f) for f in fields])
     epoch = F.unix_seconds(F.col("__at").cast("timestamp"))
     kept = [F.col(c) for c in facts.columns]
@@ -100,3 +117,17 @@ def as_of(facts: DataFrame, ts: str, history: DataFrame, fields: list[str],
         block=F.floor(epoch / width_s), value=F.col("__value"), out=out,
         include_current=True, salt=F.col("__salt"))
     return carried.where(F.col("__kind") == 1).select("__fact.*", out)
+
+
+def _as_of_small(facts: DataFrame, ts: str, history: DataFrame, fields: list[str],
+                 valid_from: str, out: str) -> DataFrame:
+    """``as_of`` with a broadcast range lookup; the windows run over the few history rows."""
+    value = F.struct(F.col(valid_from), *[F.col(f) for f in fields])
+    one_each = history.groupBy(F.col(valid_from).alias("__from")).agg(F.max(value).alias(out))
+    spans = one_each.withColumn("__to", F.lead("__from").over(Window.orderBy("__from")))
+    at = F.col(ts).cast("timestamp")
+    return facts.join(
+        F.broadcast(spans.withColumns({"__from": F.col("__from").cast("timestamp"),
+                                       "__to": F.col("__to").cast("timestamp")})),
+        (at >= F.col("__from")) & (F.col("__to").isNull() | (at < F.col("__to"))),
+        "left").drop("__from", "__to")

@@ -1,10 +1,10 @@
 """Passages for a message: cutting documents, lexical and vector top-k, rendering.
 
 Top-k is exact. A join on terms would put every question and passage that share a common
-word side by side, so scores are added up inside tasks instead and only the k best of a
-question leave a task. While the passages fit a stated bound they are broadcast and the
-questions stream past them without a shuffle. Beyond it both sides are cut into blocks of
-bounded size, every question meets every block once, and the block winners are ranked.
+word side by side, so scores are added up inside the tasks that read the passages, and only
+the k best of a question leave a batch of passages. Passages and vectors stay where they
+are: they are neither shuffled nor sent to the driver. The questions go to the tasks, in
+waves of bounded size; with more questions there are more passes over the passages.
 """
 
 from __future__ import annotations
@@ -12,21 +12,22 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import fixed_values as V
 from ..functions.text import is_blank, strip, text_or_empty
 from ..session import cut_lineage
 
 HEADING = r"(?m)^## +"
-# Broadcast bounds: entries of the term lists, and numbers in the vectors.
-BROADCAST_POSTINGS = 4_000_000
-BROADCAST_FLOATS = 8_000_000
-BLOCK_POSTINGS = 2_000_000
-BLOCK_FLOATS = 4_000_000
-SLICE_QUERIES = 20_000
+# One wave of questions: words of all its questions, or numbers of all its vectors.
+WAVE_TERMS = 500_000
+WAVE_FLOATS = 2_000_000
+# Numbers in one tile of scores or distances.
+TILE = 2_000_000
 SCORE_DIGITS = 12
 
 
@@ -73,235 +74,235 @@ def document_frequency(chunks: DataFrame, text: str = "text") -> DataFrame:
             .groupBy("term").agg(F.count(F.lit(1)).alias("df")))
 
 
-def inverted_index(listed: DataFrame, n: int, order: list[str]) -> DataFrame:
-    """(order columns, terms, weights) of n passages: weight = 1 / (1 + df / n)."""
-    postings = listed.select(*order, F.explode("terms").alias("term"))
-    weights = postings.groupBy("term").agg(
-        (1.0 / (1.0 + F.count(F.lit(1)).cast("double") / F.lit(float(max(n, 1)))))
-        .alias("weight"))
-    entry = F.struct("term", "weight")
-    return (
-        postings.join(weights, "term").groupBy(*order)
-        # A list per passage: as long as the passage has distinct words.
-        .agg(F.sort_array(F.collect_list(entry)).alias("entries"))
-        .select(*order, F.col("entries.term").alias("terms"),
-                F.col("entries.weight").alias("weights")))
-
-
-def _best(score: np.ndarray, ids: np.ndarray, order: np.ndarray, k: int) -> np.ndarray:
-    """Positions of the k highest scores; equal scores keep the corpus order."""
-    if len(score) > k:
-        cut = np.partition(score, len(score) - k)[len(score) - k]
-        near = np.flatnonzero(score >= cut)
-        ids, score = ids[near], score[near]
-    ranked = np.lexsort((*[order[ids, j] for j in range(order.shape[1] - 1, -1, -1)], -score))
-    return np.column_stack((ids[ranked[:k]], score[ranked[:k]]))
-
-
-def _term_arrays(passages: pd.DataFrame, order: list[str], weigh: bool) -> dict:
-    """Term lists of a block of passages as plain arrays: per word the passages it is in.
-
-    ``weigh`` computes the weights from the block itself, which must then be the whole
-    corpus; otherwise the passages bring them along.
-    """
-    lengths = passages["terms"].map(len).to_numpy(dtype=np.int64)
-    rows = np.repeat(np.arange(len(passages), dtype=np.int64), lengths)
-    filled = lengths.sum() > 0
-    codes, words = pd.factorize(
-        np.concatenate(passages["terms"].to_list()) if filled else np.array([], dtype=object))
-    by_word = np.argsort(codes, kind="stable")
-    frequency = np.bincount(codes, minlength=len(words))
-    if weigh:
-        weight = 1.0 / (1.0 + frequency / float(max(len(passages), 1)))
-    else:
-        weight = np.zeros(len(words))
-        if filled:
-            weight[codes] = np.concatenate(passages["weights"].to_list())
-    return {"words": list(words), "ends": np.cumsum(frequency), "rows": rows[by_word],
-            "weight": weight,
-            "order": passages[order].to_numpy(dtype=np.int64).reshape(-1, len(order))}
-
-
-class _TermBlock:
-    """Scores questions against the term lists of a block."""
-
-    def __init__(self, arrays: dict):
-        self.arrays, self.order = arrays, arrays["order"]
-        self.code = {w: i for i, w in enumerate(arrays["words"])}
-
-    def top(self, words, k: int) -> np.ndarray:
-        total = np.zeros(len(self.order))
-        ends, rows, weight = (self.arrays[n] for n in ("ends", "rows", "weight"))
-        for word in words:
-            c = self.code.get(word)
-            if c is not None:
-                total[rows[ends[c - 1] if c else 0:ends[c]]] += weight[c]
-        hit = np.flatnonzero(total)
-        return _best(np.round(total[hit], SCORE_DIGITS), hit, self.order, k)
-
-
-def _term_hits(block: _TermBlock, queries: pd.DataFrame, query_id: str, order: list[str],
-               k: int) -> pd.DataFrame:
-    ids, rows, scores = [], [], []
-    for qid, words in zip(queries[query_id], queries["terms"]):
-        best = block.top(words, k)
-        ids += [qid] * len(best)
-        rows += list(best[:, 0].astype(np.int64))
-        scores += list(best[:, 1])
-    found = block.order[np.asarray(rows, dtype=np.int64)].reshape(-1, len(order))
-    out = pd.DataFrame({query_id: pd.Series(ids, dtype="int64"),
-                        "score": pd.Series(scores, dtype="float64")})
-    for j, name in enumerate(order):
-        out[name] = found[:, j]
-    return out[[query_id, *order, "score"]]
+def _waves(queries: DataFrame, size: Column, bound: int, key: str) -> list[DataFrame]:
+    """Queries in parts whose summed sizes stay near the bound."""
+    total = queries.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+    n = 1 + total // bound
+    return [queries] if n == 1 else [
+        queries.where(F.pmod(F.xxhash64(key), F.lit(n)) == i) for i in range(n)]
 
 
 def _ranked(hits: DataFrame, query_id: str, order: list[str], k: int,
             best_first: Column) -> DataFrame:
+    """k best per question; the rank filter keeps k rows per task before the shuffle."""
     w = Window.partitionBy(query_id).orderBy(best_first, *order)
     return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def _blocks_of(total: int, size: int) -> int:
-    return max(1, -(-total // size))
-
-
-def _meet(left: DataFrame, right: DataFrame, blocks: int, slices: int, spread_left: Column,
-          spread_right: Column):
-    """Both sides keyed so that every slice of the left meets every block of the right."""
-    every_block = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("__block")
-    every_slice = F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("__slice")
-    a = left.select("*", F.pmod(spread_left, F.lit(slices)).cast("int").alias("__slice"),
-                    every_block)
-    b = right.select("*", F.pmod(spread_right, F.lit(blocks)).cast("int").alias("__block"),
-                     every_slice)
-    keys = ["__block", "__slice"]
-    return a.groupBy(*keys).cogroup(b.groupBy(*keys))
+def _place(batch: pa.RecordBatch, order: list[str]) -> np.ndarray:
+    """Place of each row in corpus order, nulls first."""
+    ranked = pc.sort_indices(batch.select(order), sort_keys=[(c, "ascending") for c in order],
+                             null_placement="at_start").to_numpy()
+    place = np.empty(len(ranked), np.int64)
+    place[ranked] = np.arange(len(ranked))
+    return place
+
+
+def _first_k(group: np.ndarray, *keys: np.ndarray, k: int) -> np.ndarray:
+    """Positions of the first k of each group by the keys."""
+    by = np.lexsort((*keys[::-1], group))
+    ordered = group[by]
+    starts = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])) if len(by) else by
+    nth = np.arange(len(by)) - np.repeat(starts, np.diff(np.append(starts, len(by))))
+    return by[nth < k]
+
+
+class _TermWave:
+    """Scores the questions of a wave against batches of passages."""
+
+    def __init__(self, ids: list, term_lists: list, weight: dict):
+        self.ids = ids
+        words = sorted(weight)
+        code = {w: i for i, w in enumerate(words)}
+        pairs = sorted((code[w], q) for q, ws in enumerate(term_lists) for w in ws if w in code)
+        self.words = pa.array(words, pa.string())
+        self.weight = np.array([weight[w] for w in words])
+        self.question = np.array([q for _, q in pairs], np.int64)
+        self.ends = np.searchsorted([c for c, _ in pairs], np.arange(len(words)), side="right")
+
+    def hits(self, batch: pa.RecordBatch, order: list[str], k: int):
+        """(questions, rows, scores) of the k best rows of the batch per question."""
+        lists = batch.column("terms")
+        row = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+        code = pc.index_in(lists.flatten(), self.words).to_numpy(zero_copy_only=False)
+        known = ~np.isnan(code.astype(float))
+        row, code = row[known], code[known].astype(np.int64)
+        start = np.append(0, self.ends)[code] if len(code) else code
+        many = self.ends[code] - start if len(code) else code
+        each = np.repeat(np.arange(len(code)), many)
+        question = self.question[np.arange(len(each)) - np.repeat(np.cumsum(many) - many, many)
+                                 + start[each]]
+        cell = question * batch.num_rows + row[each]
+        cells, at = np.unique(cell, return_inverse=True)
+        score = np.round(np.bincount(at, weights=self.weight[code[each]],
+                                     minlength=len(cells)), SCORE_DIGITS)
+        question, row = cells // batch.num_rows, cells % batch.num_rows
+        first = _first_k(question, -score, _place(batch, order)[row], k=k)
+        return question[first], row[first], score[first]
+
+
+def _same_type(df: DataFrame, name: str) -> T.StructField:
+    return T.StructField(name, df.schema[name].dataType)
 
 
 def lexical_topk(queries: DataFrame, chunks: DataFrame, k: int = V.TOP_K,
                  query_id: str = "query_id", query: str = "text",
                  order: tuple[str, ...] = ("doc_id", "chunk_pos"), text: str = "text",
-                 broadcast_postings: int = BROADCAST_POSTINGS,
-                 block_postings: int = BLOCK_POSTINGS,
-                 slice_queries: int = SLICE_QUERIES) -> DataFrame:
+                 wave_terms: int = WAVE_TERMS) -> DataFrame:
     """(query_id, order columns, score, rank): the k passages sharing most rare words.
 
-    The score adds 1 / (1 + df / n) over the shared terms; equal scores keep corpus order
-    (``order``: integer columns), passages without a shared term never appear.
+    The score adds 1 / (1 + df / n) over the shared terms; equal scores keep corpus order,
+    passages without a shared term never appear. Ids and order columns may be numbers or
+    texts. Document frequencies are counted for the questions' terms only.
     """
     order = list(order)
-    listed = cut_lineage(chunks.select(*order, terms(text).alias("terms")))
-    n, size = listed.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("terms")), F.lit(0))).first()
-    asked = queries.select(F.col(query_id).cast("long").alias(query_id),
-                           terms(query).alias("terms"))
-    schema = f"{query_id} long, {', '.join(f'{c} long' for c in order)}, score double"
-    if size <= broadcast_postings:
-        arrays = asked.sparkSession.sparkContext.broadcast(
-            _term_arrays(listed.toPandas(), order, weigh=True))
-
-        def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            block = _TermBlock(arrays.value)
-            for batch in batches:
-                yield _term_hits(block, batch, query_id, order, k)
-
-        hits = asked.mapInPandas(stream, schema)
-    else:
-        asked = cut_lineage(asked)
+    passages = chunks.select(*order, terms(text).alias("terms"))
+    asked = cut_lineage(queries.where(F.col(query_id).isNotNull()).select(
+        query_id, terms(query).alias("terms")))
+    n = max(chunks.count(), 1)
+    schema = T.StructType([_same_type(queries, query_id), *[_same_type(chunks, c) for c in order],
+                           T.StructField("score", T.DoubleType())])
+    hits = None
+    for wave in _waves(asked, F.size("terms"), wave_terms, query_id):
+        wanted = wave.select(F.explode("terms").alias("term")).distinct()
+        df = passages.select(F.explode("terms").alias("term")).join(
+            F.broadcast(wanted), "term").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+        # both are bounded by the words of the wave
+        weight = {r["term"]: 1.0 / (1.0 + float(r["df"]) / n) for r in df.collect()}
+        rows = wave.collect()
+        found = passages.mapInArrow(_term_scorer(
+            [r[query_id] for r in rows], [r["terms"] for r in rows], weight, order, k, schema),
+            schema)
+        hits = found if hits is None else hits.unionByName(found)
+    return _ranked(hits, query_id, order, k, F.desc("score"))
 
-        def meet(_, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-            block = _TermBlock(_term_arrays(right, order, weigh=False))
-            return _term_hits(block, left, query_id, order, k)
 
-        hits = _meet(
-            asked, inverted_index(listed, n, order), _blocks_of(size, block_postings),
-            _blocks_of(asked.count(), slice_queries), F.xxhash64(query_id),
-            F.xxhash64(*order)).applyInPandas(meet, schema)
-    return _ranked(hits, query_id, order, k, F.desc("score"))
+def _term_scorer(ids: list, term_lists: list, weight: dict, order: list[str], k: int,
+                 schema: T.StructType):
+    from pyspark.sql.pandas.types import to_arrow_type
+    kinds = [to_arrow_type(f.dataType) for f in schema.fields]
+    names = schema.names
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wave = _TermWave(ids, term_lists, weight)
+        known = pa.array(wave.ids, kinds[0])
+        for batch in batches:
+            question, row, value = wave.hits(batch, order, k)
+            yield pa.RecordBatch.from_arrays([
+                known.take(pa.array(question)),
+                *[batch.column(c).take(pa.array(row)) for c in order],
+                pa.array(value, pa.float64())], names)
+    return score
 
 
 # --- vectors -------------------------------------------------------------------------------
-class _VectorBlock:
-    def __init__(self, passages: pd.DataFrame, key: str, vector: str):
-        passages = passages.sort_values(key)
-        self.ids = passages[key].to_numpy(dtype=np.int64)
-        self.rows = np.stack([np.asarray(v, dtype=np.float64) for v in passages[vector]]) \
-            if len(passages) else np.zeros((0, 0))
-        self.norms = (self.rows ** 2).sum(axis=1)
-
-    def top(self, queries: np.ndarray, own: np.ndarray | None, k: int):
-        """Per query (positions, distances) of the k nearest rows.
-
-        One matrix product finds all rows near the k-th distance, with room for its
-        rounding; their distances are then taken from the differences themselves.
-        """
-        norms = (queries ** 2).sum(axis=1)
-        near = norms[:, None] + self.norms[None, :] - 2.0 * queries @ self.rows.T
+def _matrix(column: pa.Array) -> np.ndarray:
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return flat.reshape(len(column), -1)
+
+
+def _nearest_in(batch: pa.RecordBatch, key: str, asked: np.ndarray, own: list | None, k: int):
+    """(questions, rows, distances) of the k nearest rows of a batch, tile by tile.
+
+    One matrix product finds all rows near the k-th distance, with room for its rounding;
+    their distances are then taken from the differences themselves.
+    """
+    rows = _matrix(batch.column("__vector"))
+    place = _place(batch, [key])
+    norms = (rows ** 2).sum(axis=1)
+    step = max(1, TILE // max(len(rows), 1))
+    index = {v: i for i, v in enumerate(batch.column(key).to_pylist())} if own is not None else {}
+    for at in range(0, len(asked), step):
+        q = asked[at:at + step]
+        size = (q ** 2).sum(axis=1)
+        near = size[:, None] + norms[None, :] - 2.0 * q @ rows.T
         if own is not None:
-            near[own[:, None] == self.ids[None, :]] = np.inf
-        room = 1e-9 * (1.0 + norms[:, None] + self.norms.max(initial=0.0))
+            for i, v in enumerate(own[at:at + step]):
+                if v in index:
+                    near[i, index[v]] = np.inf
+        room = 1e-9 * (1.0 + size[:, None] + norms.max(initial=0.0))
         limit = (np.partition(near, k - 1, axis=1)[:, k - 1:k] if near.shape[1] > k
-                 else np.full((len(queries), 1), np.finfo(float).max))
-        for i, (q, row) in enumerate(zip(queries, near)):
-            at = np.flatnonzero((row <= limit[i] + room[i]) & np.isfinite(row))
-            distance = np.round(((self.rows[at] - q) ** 2).sum(axis=1), SCORE_DIGITS)
-            first = np.lexsort((self.ids[at], distance))[:k]
-            yield at[first], distance[first]
-
-
-def _vector_hits(block: _VectorBlock, queries: pd.DataFrame, query_id: str, query: str, key: str,
-                 k: int, exclude_self: bool) -> pd.DataFrame:
-    out = {query_id: [], key: [], "distance": []}
-    if len(queries) and len(block.ids):
-        ids = queries[query_id].to_numpy(dtype=np.int64)
-        for start in range(0, len(ids), 1024):
-            part = slice(start, start + 1024)
-            rows = np.stack([np.asarray(v, dtype=np.float64) for v in queries[query].iloc[part]])
-            own = ids[part] if exclude_self else None
-            for qid, (at, distance) in zip(ids[part], block.top(rows, own, k)):
-                out[query_id] += [qid] * len(at)
-                out[key] += list(block.ids[at])
-                out["distance"] += list(distance)
-    return pd.DataFrame({query_id: pd.Series(out[query_id], dtype="int64"),
-                         key: pd.Series(out[key], dtype="int64"),
-                         "distance": pd.Series(out["distance"], dtype="float64")})
+                 else np.full((len(q), 1), np.finfo(float).max))
+        question, row = np.nonzero((near <= limit + room) & np.isfinite(near))
+        distance = np.round(((rows[row] - q[question]) ** 2).sum(axis=1), SCORE_DIGITS)
+        first = _first_k(question, distance, place[row], k=k)
+        yield question[first] + at, row[first], distance[first]
+
+
+def _usable(vector: str, dimension: int) -> Column:
+    return F.col(vector).isNotNull() & (F.size(vector) == dimension) & ~F.exists(
+        F.col(vector), lambda x: x.isNull() | F.isnan(x))
 
 
 def vector_topk(queries: DataFrame, vectors: DataFrame, k: int = V.TOP_K,
                 query_id: str = "query_id", query: str = "embedding", key: str = "vec_id",
                 vector: str = "embedding", exclude_self: bool = False,
-                broadcast_floats: int = BROADCAST_FLOATS, block_floats: int = BLOCK_FLOATS,
-                slice_queries: int = SLICE_QUERIES) -> DataFrame:
-    """(query_id, key, distance, rank): the k nearest vectors by squared distance, exactly."""
-    base = vectors.select(F.col(key).cast("long").alias(key), F.col(vector).alias("__vector"))
-    size = base.agg(F.coalesce(F.sum(F.size("__vector")), F.lit(0))).first()[0]
-    asked = queries.where(F.col(query).isNotNull()).select(
-        F.col(query_id).cast("long").alias(query_id), F.col(query).alias("__query"))
-    schema = f"{query_id} long, {key} long, distance double"
-    if size <= broadcast_floats:
-        whole = asked.sparkSession.sparkContext.broadcast(base.toPandas())
-
-        def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            block = _VectorBlock(whole.value, key, "__vector")
-            for batch in batches:
-                yield _vector_hits(block, batch, query_id, "__query", key, k,
-                                   exclude_self)
-
-        hits = asked.mapInPandas(stream, schema)
-    else:
-        asked = cut_lineage(asked)
+                wave_floats: int = WAVE_FLOATS) -> DataFrame:
+    """(query_id, key, distance, rank): the k nearest vectors by squared distance, exactly.
 
-        def meet(_, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-            return _vector_hits(_VectorBlock(right, key, "__vector"), left, query_id, "__query",
-                                key, k, exclude_self)
-
-        hits = _meet(
-            asked, base, _blocks_of(size, block_floats),
-            _blocks_of(asked.count(), slice_queries), F.xxhash64(query_id),
-            F.xxhash64(key)).applyInPandas(meet, schema)
+    The dimension is that of the first usable question; vectors that are null, hold nulls or
+    NaN, or have another dimension take no part. Exact search compares every question with
+    every vector; ``vector_topk_approx`` does not.
+    """
+    base = vectors.select(key, F.col(vector).cast("array<double>").alias("__vector"))
+    asked = queries.where(F.col(query).isNotNull() & F.col(query_id).isNotNull()).select(
+        query_id, F.col(query).cast("array<double>").alias("__query"))
+    first = asked.where(F.size("__query") > 0).select(F.size("__query")).first()
+    dimension = first[0] if first else 0
+    base = base.where(_usable("__vector", dimension))
+    asked = cut_lineage(asked.where(_usable("__query", dimension)))
+    schema = T.StructType([_same_type(queries, query_id), _same_type(vectors, key),
+                           T.StructField("distance", T.DoubleType())])
+    hits = None
+    for wave in _waves(asked, F.size("__query"), wave_floats, query_id):
+        rows = wave.collect()
+        found = base.mapInArrow(_distances([r[query_id] for r in rows],
+                                           [r["__query"] for r in rows], key, k, exclude_self,
+                                           schema), schema)
+        hits = found if hits is None else hits.unionByName(found)
     return _ranked(hits, query_id, [key], k, F.asc("distance"))
 
 
+def _distances(ids: list, asked: list, key: str, k: int, exclude_self: bool, schema: T.StructType):
+    from pyspark.sql.pandas.types import to_arrow_type
+    kind, names = to_arrow_type(schema.fields[0].dataType), schema.names
+    asked = np.array(asked, np.float64)
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = pa.array(ids, kind)
+        for batch in batches:
+            if batch.num_rows and len(asked):
+                for question, row, distance in _nearest_in(
+                        batch, key, asked, ids if exclude_self else None, k):
+                    yield pa.RecordBatch.from_arrays([
+                        known.take(pa.array(question)), batch.column(key).take(pa.array(row)),
+                        pa.array(distance)], names)
+    return measure
+
+
+def vector_topk_approx(queries: DataFrame, vectors: DataFrame, max_distance: float,
+                       k: int = V.TOP_K, query_id: str = "query_id", query: str = "embedding",
+                       key: str = "vec_id", vector: str = "embedding", bucket_length: float = 2.0,
+                       tables: int = 4, seed: int = 1) -> DataFrame:
+    """(query_id, key, distance, rank) among vectors that share a hash bucket with the question
+    and lie within ``max_distance`` of it; some neighbours may be missed. A join on buckets
+    in place of a comparison with every vector, for those who ask for it."""
+    from pyspark.ml.feature import BucketedRandomProjectionLSH
+    from pyspark.ml.functions import array_to_vector
+
+    def side(df: DataFrame, name: str, column: str) -> DataFrame:
+        usable = F.col(column).isNotNull() & (F.size(column) > 0)
+        return df.where(usable).select(F.col(name).alias("__id"), array_to_vector(
+            F.col(column).cast("array<double>")).alias("__v"))
+    base, asked = side(vectors, key, vector), side(queries, query_id, query)
+    model = BucketedRandomProjectionLSH(inputCol="__v", outputCol="__h", numHashTables=tables,
+                                        bucketLength=bucket_length, seed=seed).fit(base)
+    pairs = model.approxSimilarityJoin(asked, base, max_distance, "__d").select(
+        F.col("datasetA.__id").alias(query_id), F.col("datasetB.__id").alias(key),
+        (F.col("__d") * F.col("__d")).alias("distance"))
+    return _ranked(pairs, query_id, [key], k, F.asc("distance"))
+
+
 # --- both ----------------------------------------------------------------------------------
 def query_text(subject: Column | str, resume: Column | str, body: Column | str) -> Column:
     """Search text of a message: masked subject, summary and start of the masked body."""
@@ -320,8 +321,9 @@ def retrieve(queries: DataFrame, chunks: DataFrame, vectors: DataFrame | None, k
              order: tuple[str, ...] = ("doc_id", "chunk_pos")) -> DataFrame:
     """(query_id, rank, context): vector hits where there are any, else lexical ones.
 
-    ``vectors`` holds the order columns, a long ``vec_id`` and ``embedding`` of passages.
-    A blank question gets nothing.
+    ``vectors`` holds the order columns, a ``vec_id`` and ``embedding`` of passages; vectors
+    without a passage are left out before ranking, so they take no passage's place. A blank
+    question gets nothing.
     """
     order = list(order)
     asked = queries.where(~is_blank(query))
@@ -329,6 +331,7 @@ def retrieve(queries: DataFrame, chunks: DataFrame, vectors: DataFrame | None, k
     if vectors is None or embedding not in queries.columns:
         rest, by_vector = asked, None
     else:
+        vectors = vectors.join(chunks.select(*order), order, "left_semi")
         by_vector = vector_topk(asked, vectors, k, query_id, embedding).join(
             vectors.select("vec_id", *order), "vec_id").select(query_id, *order, "rank")
         by_vector = cut_lineage(by_vector)
@@ -337,7 +340,8 @@ def retrieve(queries: DataFrame, chunks: DataFrame, vectors: DataFrame | None, k
         query_id, *order, "rank")
     if by_vector is not None:
         hits = hits.unionByName(by_vector)
-    return hits.join(passages, order).select(query_id, "rank", "context")
+    # few winners: adaptive execution sends them to the passages where they are small
+    return passages.join(hits, order).select(query_id, "rank", "context")
 
 
 def contexts(hits: DataFrame, query_id: str = "query_id") -> DataFrame:

@@ -53,7 +53,8 @@ DECISION_CTES = (
   when command not in ('validated', 'edited', 'rejected') then 'unknown_decision'
   when not known then 'unknown_case'
   when command = 'edited' and trim(final_draft) = '' then 'text_required'
-  when hits <> '' then 'output_guardrail:' || hits end as refusal from resolved)""",
+  when hits <> '' then 'output_guardrail:' || hits end as refusal from resolved
+  where command <> 'mark_sent')""",
     """decisions as (select seq, case_id, "at" as decided_at, decided_by, command as decision,
   text_used as final_draft, comment from judged_cmds where refusal is null)""",
     """sent as (select case_id, min("at") as sent_at, arg_min(decided_by, seq) as sent_by from commands
@@ -150,11 +151,25 @@ def queue_view(spark, sf):
     return C.queue_view(state(spark, sf))
 
 
-@register("case_detail", O.with_ctes(*DECISION_CTES, _reasons_cte(), final=_VIEW.format(
-    src="state", extra=""", subject_masked, final_draft as draft, draft as draft_original,
-  n_decisions, last_decision""")))
+@register("case_detail", O.with_ctes(*DECISION_CTES, _reasons_cte(), final=f"""
+select v.*, d.seq, d.decided_by as decided_by, d.decision, d.final_draft as decision_draft, d.comment
+from ({_VIEW.format(src="state", extra=""", subject_masked, final_draft as draft, draft as draft_original,
+  n_decisions, last_decision, body_masked, judge_scores, contexts""")}) v left join decisions d using (case_id)"""
+    .replace("from state join", """from (select *, subject_masked || ' | ' || draft as body_masked,
+    'pertinence=' || (1 + case_id % 5) || ';ton=' || (1 + case_id * 2 % 5) as judge_scores,
+    '[' || categorie || '] ' || draft as contexts from state) state join""")))
 def case_detail(spark, sf):
-    return C.case_detail(state(spark, sf))
+    """Cases with scores, contexts and masked body, once for each decision."""
+    i = F.col("case_id")
+    taken = cut_lineage(decided(spark, sf)[0])
+    cases = state(spark, sf, taken).withColumns({
+        "body_masked": F.concat_ws(" | ", "subject_masked", "draft"),
+        "judge_scores": F.create_map(F.lit("pertinence"), 1 + i % 5, F.lit("ton"), 1 + i * 2 % 5),
+        "contexts": F.array(F.concat(F.lit("["), "categorie", F.lit("] "), "draft"))})
+    scores = F.concat(F.lit("pertinence="), F.col("judge_scores")["pertinence"].cast("string"),
+                      F.lit(";ton="), F.col("judge_scores")["ton"].cast("string"))
+    return C.case_detail(cases, decisions=taken).withColumns({
+        "judge_scores": scores, "contexts": F.array_join("contexts", "\n")}).drop("decided_at")
 
 
 @register("review_queue", """
@@ -340,10 +355,13 @@ select event_id, case when contains('|' || coalesce(categories, '') || '|', '|'
   when priorite = 'haute' then 'priorite:haute' else 'seuils' end as decision_reason,
   case when contains('|' || coalesce(categories, '') || '|', '|' || categorie || '|') or priorite = 'haute' then 'HITL'
     when confiance >= seuil_auto then 'AUTO' when confiance >= seuil_hitl then 'HITL' else 'MANUAL' end as action
+from (select event_id, categorie, priorite, confiance, coalesce(seuil_auto, 0.85) as seuil_auto,
+  coalesce(seuil_hitl, 0.7) as seuil_hitl,
+  coalesce(categories, 'reclamation|resiliation|donnees_personnelles|spam|autre') as categories
 from (select event_id, ts, """ + O.pick(S.CATEGORY_CYCLE, "event_id") + " as categorie, "
     + O.pick(S.PRIORITY_CYCLE, "event_id // 9") + """ as priorite,
   cast((event_id * 37) % 101 as double) / 100 as confiance from calls) f
-asof join policies on f.ts >= policies.valid_from"""))
+asof left join policies on f.ts >= policies.valid_from)"""))
 def decisions_under_policy_history(spark, sf):
     """Decide every past call again with the policy that was in force at its time."""
     from ..operators.rules import decide
@@ -354,7 +372,10 @@ def decisions_under_policy_history(spark, sf):
         "event_id", "ts", views.pick(S.CATEGORY_CYCLE, e).alias("categorie"),
         views.pick(S.PRIORITY_CYCLE, F.floor(e / 9)).alias("priorite"),
         ((e * 37) % 101).cast("double").alias("pct"))
-    facts = P.as_of(facts, "ts", ok, list(P.TUNABLES)).where(F.col("policy").isNotNull())
+    known = P.as_of(facts, "ts", ok, list(P.TUNABLES))
+    values = F.struct(*[F.col("policy")[f].alias(f) for f in P.TUNABLES])
+    facts = known.withColumn("policy", F.when(F.col("policy").isNull(), P.policy_struct())
+                             .otherwise(values))
     facts = facts.select(
         "event_id", "categorie", "priorite", (F.col("pct") / 100).alias("confiance"), "policy",
         F.lit(False).alias("degenerate"), none.alias("input_hits"),

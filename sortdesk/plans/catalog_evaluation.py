@@ -43,13 +43,13 @@ def _prompt_input(spark, sf):
 
 
 _PROMPTED = (*GUARDED_CTES, O.classified("guarded", "c0"), O.drafted("c0", "c1"))
-_HEAD = ("'De : ' || coalesce(nullif(email_from_llm, ''), '(inconnu)') || chr(10) || 'Sujet : ' "
-         "|| subject_masked || chr(10) || chr(10)")
+_HEAD = ("'sender: ' || coalesce(nullif(email_from_llm, ''), 'unknown') || chr(10) || 'subject: ' "
+         f"|| subject_masked || chr(10) || 'body: ' || {O.strip('body_masked')}")
+_CLASS = "'category: ' || categorie || chr(10) || 'priority: ' || priorite"
 
 
 @register("classifier_prompts", O.with_ctes(*_PROMPTED, final=f"""
-select doc_id, md5('Email reçu :' || chr(10) || '---' || chr(10) || {_HEAD}
-  || {O.strip("body_masked")} || chr(10) || '---') as prompt_md5 from c1
+select doc_id, md5({_HEAD}) as prompt_md5 from c1
 where not degenerate and {O.strip("body_masked")} <> ''"""))
 def classifier_prompts(spark, sf):
     return D.prompts_for(_prompt_input(spark, sf), "classifier").select(
@@ -57,30 +57,29 @@ def classifier_prompts(spark, sf):
 
 
 @register("drafter_prompts", O.with_ctes(*_PROMPTED, final=f"""
-select doc_id, md5('Email d''origine :' || chr(10) || '---' || chr(10) || {_HEAD} || body_masked
-  || chr(10) || '---' || chr(10) || chr(10) || 'Classification : catégorie=' || categorie
-  || ', priorité=' || priorite || ', résumé=' || lang || chr(10) || chr(10)
-  || case when doc_id % 3 = 0 then 'Contextes documentaires :' || chr(10) || '- [a] un' || chr(10) || '- [b] deux'
-     else 'Aucun contexte documentaire fourni.' end
-  || case when doc_id % 4 = 0 and doc_id % 8 <> 0 then chr(10) || chr(10)
-     || 'Retour critique précédent à corriger : trop long' || chr(10) || 'Issues : ton, longueur' else '' end
-  || chr(10) || chr(10) || {O.lit(D.WRITE_REPLY)}) as prompt_md5 from c1 where not degenerate"""))
+select doc_id, md5({_HEAD} || chr(10) || {_CLASS} || chr(10) || 'summary: ' || lang || chr(10)
+  || 'passages: ' || case when doc_id % 3 = 0 then '[a] un / [b] deux' else 'none' end || chr(10)
+  || case when doc_id % 4 = 0 and doc_id % 8 <> 0
+    then 'refused before: trop long; ton, longueur' || chr(10) else '' end
+  || {O.lit(D.ANSWER_NOTE)}) as prompt_md5 from c1 where not degenerate"""))
 def drafter_prompts(spark, sf):
     return D.prompts_for(_prompt_input(spark, sf), "drafter").select(
         "doc_id", F.md5("prompt").alias("prompt_md5"))
 
 
-@register("judge_prompts", O.with_ctes(*_PROMPTED, final="""
-select doc_id, md5('Email d''origine :' || chr(10) || body_masked || chr(10) || chr(10)
-  || 'Classification : catégorie=' || categorie || ', priorité=' || priorite || chr(10) || chr(10)
-  || 'Réponse rédigée à évaluer :' || chr(10) || '---' || chr(10) || draft || chr(10) || '---') as prompt_md5
+@register("judge_prompts", O.with_ctes(*_PROMPTED, final=f"""
+select doc_id, md5('body: ' || {O.strip("body_masked")} || chr(10) || {_CLASS} || chr(10)
+  || 'draft: ' || draft) as prompt_md5
 from c1 where not degenerate and trim(draft) <> ''"""))
 def judge_prompts(spark, sf):
     return D.prompts_for(_prompt_input(spark, sf), "judge").select(
         "doc_id", F.md5("prompt").alias("prompt_md5"))
 
 
-@register("batch_inference")
+@register("batch_inference", O.with_ctes(*_PROMPTED, final=f"""
+select doc_id, 'demande' as categorie, 0.9::double as confiance, length({_HEAD}) // 4 as tokens_in,
+  12::bigint as tokens_out
+from c1 where not degenerate and {O.strip("body_masked")} <> ''"""))
 def batch_inference(spark, sf):
     """Classifier prompts of all messages through the batch hook, with a stand-in model."""
     def call(batches):
@@ -196,7 +195,7 @@ _JUDGED_RAW = (
     """parsed as (select event_id, valid, is_object,
   case when valid then j ->> '$.verdict' else 'HUMAN_REVIEW' end as judge_verdict,
   case when valid then (pertinence_n + ton_n + conformite_n + factualite_n) / 20 else 0.0 end as critic_score,
-  case when valid then coalesce(j ->> '$.feedback', '') else 'Sortie judge invalide' end as critic_feedback,
+  case when valid then coalesce(j ->> '$.feedback', '') else 'judge_output_unusable' end as critic_feedback,
   case when valid then coalesce(j ->> '$.issues[0]', '') else 'judge_invalid_output' end as issues from ok)""",
 )
 
@@ -273,7 +272,7 @@ def baseline_classifier(spark, sf):
     docs = views.text_table(spark, sf, "documents", "doc_id").select("doc_id", "text")
     labelled = docs.join(views.table(spark, sf, "labels"), "doc_id").select(
         "doc_id", "text", F.col("quality").cast("string").alias("label"))
-    model = D.train_classifier(labelled, features=1 << 12, iterations=5)
+    model = D.train_classifier(labelled)
     return D.score_classifier(model, docs).select("doc_id", "categorie", "confiance")
 
 

@@ -424,10 +424,16 @@ def escalation_reasons(spark, sf):
 
 @register("judge_rejections", O.with_ctes(
     O.MESSAGES, O.drafted("messages"), O.judged("drafted"),
-    final="select doc_id, judge_verdict = 'REJECT' as rejected from judged"))
+    final="""select doc_id, case when judge_verdict = 'REJECT' then 'judge_reject' else '' end as forced_reason
+from judged"""))
 def judge_rejections(spark, sf):
-    df = views.judged(views.drafted(views.messages(spark, sf)))
-    return df.select("doc_id", (F.col("judge_verdict") == "REJECT").alias("rejected"))
+    """The rule table on messages where only the verdict can speak."""
+    none = F.array().cast("array<string>")
+    df = views.judged(views.drafted(views.messages(spark, sf))).withColumns({
+        "degenerate": F.lit(False), "categorie": F.lit("demande"), "priorite": F.lit("normale"),
+        "input_hits": none, "output_hits": none})
+    return R.evaluate(df).select(
+        "doc_id", F.coalesce("forced_reason", F.lit("")).alias("forced_reason"))
 
 
 @register("rule_census", O.with_ctes(*HIT_CTES, final="""

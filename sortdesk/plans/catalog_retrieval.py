@@ -142,7 +142,8 @@ _RETRIEVED = (
   select query_id, vec_id, row_number() over (partition by query_id order by distance, vec_id) as rank from (
     select q.item_id as query_id, b.vec_id, round(list_sum(list_transform(range(1, 65),
       lambda i: power(cast(a.embedding[i] as double) - cast(b.embedding[i] as double), 2))), 12) as distance
-    from benchmark q join embeddings a on a.vec_id = q.item_id and q.item_id % 3 <> 0, embeddings b))
+    from benchmark q join embeddings a on a.vec_id = q.item_id and q.item_id % 3 <> 0,
+      embeddings b join chunks on chunks.doc_id = b.vec_id and chunk_pos = 0))
   where rank <= 3)""",
     """retrieved as (select query_id, doc_id, chunk_pos, rank from by_vector union all
   select query_id, doc_id, chunk_pos, rank from top

@@ -7,7 +7,6 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
-from ..operators import guardrail as G
 from ..session import checkpoint_dir
 from ..sources import sinks
 from ..streaming import jobs
@@ -34,14 +33,27 @@ def _work_folder(spark) -> str:
     return f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
 
 
+BATCHES = 4
+
+
 def _stream(spark, sf, name):
     schema = views.table(spark, sf, name).schema
     return spark.readStream.schema(schema).parquet(f"{sf}/{name}*.parquet")
 
 
-def _messages(spark, sf):
-    return views.judged(views.drafted(views.classified(
-        views.messages_from(_stream(spark, sf, "documents")))))
+def _stream_of_batches(spark, sf, name, order, folder):
+    """The table as a stream of several micro-batches: its rows in order, one file each."""
+    rows = views.table(spark, sf, name)
+    rows.repartitionByRange(BATCHES, order).sortWithinPartitions(order).write.parquet(
+        f"{folder}/in")
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(
+        f"{folder}/in")
+
+
+def _messages(spark, sf, documents=None):
+    if documents is None:
+        documents = _stream(spark, sf, "documents")
+    return views.judged(views.drafted(views.classified(views.messages_from(documents))))
 
 
 @register("stream_triage_decisions", GUARDRAIL["triage_decisions"])
@@ -57,7 +69,8 @@ def stream_triage_decisions(spark, sf):
 @register("stream_dedupe_ttl", CASES["dedupe_ttl"])
 def stream_dedupe_ttl(spark, sf):
     folder = _work_folder(spark)
-    requests = views.requests_from(_stream(spark, sf, "events")).drop("body")
+    events = _stream_of_batches(spark, sf, "events", "ts", folder)
+    requests = views.requests_from(events).drop("body")
     jobs.dedupe_to_files(requests, f"{folder}/out", f"{folder}/state").start(
         ).awaitTermination()
     return spark.read.parquet(f"{folder}/out/results").select(
@@ -68,7 +81,8 @@ def stream_dedupe_ttl(spark, sf):
 def stream_enqueued_cases(spark, sf):
     from .triage import triage
     folder = _work_folder(spark)
-    results = triage(_messages(spark, sf)).select(
+    documents = _stream_of_batches(spark, sf, "documents", "doc_id", folder)
+    results = triage(_messages(spark, sf, documents)).select(
         "doc_id", "message_id", "job_id", "received_at", "requires_human", "decision_reason")
     jobs.enqueue_to_files(results, f"{folder}/out", f"{folder}/state",
                           ("received_at", "doc_id")).start().awaitTermination()
@@ -89,20 +103,31 @@ def stream_run_metrics(spark, sf):
         *[name for name, _ in V.RUN_METRICS_COLUMNS])
 
 
-@register("stream_metrics_by_hour", O.with_ctes(O.CALLS, final="""
-select time_bucket(interval 1 hour, ts) as window_start, count(*) as n,
+_HOURS = """select time_bucket(interval 1 hour, ts) as window_start, count(*) as n,
   count(*) filter (where action = 'AUTO') as n_auto, count(*) filter (where action <> 'AUTO') as n_escalated,
   cast(sum(tokens_in) as bigint) as tokens_in, cast(sum(tokens_out) as bigint) as tokens_out,
-  round(cast(sum(tokens_in) as double) * 0.4 / 1e6 + cast(sum(tokens_out) as double) * 1.6 / 1e6, 6) as cost_usd
-from calls group by 1
+  round(cast(sum(tokens_in) as double) * 0.4 / 1e6 + cast(sum(tokens_out) as double) * 1.6 / 1e6, 6) as cost_usd,
+  round(cast(count(*) filter (where action <> 'AUTO') as double) / count(*), 6) as escalation_rate
+from calls group by 1"""
+
+
+def _hour(df):
+    return df.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+@register("metrics_by_hour", O.with_ctes(O.CALLS, final=_HOURS))
+def metrics_by_hour(spark, sf):
+    """All hours with all their calls."""
+    return _hour(jobs.metrics_by_hour(views.calls(spark, sf)))
+
+
+@register("stream_metrics_by_hour", O.with_ctes(O.CALLS, final=_HOURS + """
 having time_bucket(interval 1 hour, any_value(ts)) + interval 1 hour <= (select max(ts) from calls) - interval 10 minute"""))
 def stream_metrics_by_hour(spark, sf):
-    """Windows the watermark has closed."""
+    """The part of ``metrics_by_hour`` whose windows the watermark has closed."""
     folder = _work_folder(spark)
     hours = jobs.metrics_by_hour(views.calls_from(_stream(spark, sf, "events")))
     (hours.writeStream.format("parquet").outputMode("append")
      .option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state")
      .trigger(availableNow=True).start().awaitTermination())
-    return spark.read.parquet(f"{folder}/out").withColumns({
-        "window_start": F.col("window_start").cast("timestamp_ntz"),
-        "cost_usd": F.round(G.cost_usd("tokens_in", "tokens_out"), 6)})
+    return _hour(spark.read.parquet(f"{folder}/out"))

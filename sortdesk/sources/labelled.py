@@ -25,12 +25,34 @@ def read_labelled(spark: SparkSession, labelled: str, adversarial: str | None =
                   ) -> DataFrame:
     """Labelled messages, with the adversarial ones appended when asked for.
 
-    Blank lines are skipped; fields a file lacks come out null.
+    Blank lines are skipped; fields a file lacks come out null. A line that is no message
+    ends the job with its text: figures over fewer messages than the file holds would
+    mislead. ``labelled_lines`` sorts such lines out instead.
     """
-    out = spark.read.schema(LABELLED).json(labelled)
+    rows, _ = labelled_lines(spark, labelled, adversarial, fail=True)
+    return rows
+
+
+def labelled_lines(spark: SparkSession, labelled: str, adversarial: str | None = None,
+                   fail: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(messages, rejects): rejects (line, problem) are lines that are broken or lack an id."""
+    lines = spark.read.text(labelled)
     if adversarial is not None:
-        out = out.unionByName(spark.read.schema(LABELLED).json(adversarial))
-    return out.where(F.col("id").isNotNull())
+        lines = lines.unionByName(spark.read.text(adversarial))
+    shape = T.StructType([*LABELLED.fields, T.StructField("_corrupt", T.StringType())])
+    parsed = lines.where(F.trim("value") != "").select(
+        "value", F.from_json("value", shape, {"columnNameOfCorruptRecord": "_corrupt"}).alias("m"))
+    problem = F.when(F.col("m").isNull() | F.col("m._corrupt").isNotNull(), "broken").when(
+        F.col("m.id").isNull(), "no_id")
+    parsed = parsed.withColumn("problem", problem)
+    if fail:
+        text = F.concat(F.lit("labelled line without a message: "), F.col("value"))
+        parsed = parsed.withColumn("problem", F.when(
+            F.col("problem").isNotNull(), F.raise_error(text).cast("string")))
+    rows = parsed.where(F.col("problem").isNull()).select(
+        *[F.col(f"m.{f.name}") for f in LABELLED.fields])
+    return rows, parsed.where(F.col("problem").isNotNull()).select(
+        F.col("value").alias("line"), "problem")
 
 
 def read_checks(spark: SparkSession, path: str) -> DataFrame:

@@ -70,8 +70,9 @@ def read_run_metrics(spark: SparkSession, path: str, version: str | None = None)
 
 
 def write_eval(detail: DataFrame, summary: DataFrame, path: str) -> None:
-    """Detail as CSV with a header, summary as JSON."""
+    """Detail as CSV with a header and doubled quotes, summary as JSON."""
     flat = [F.array_join(c, " | ").alias(c) if kind.startswith("array") else F.col(c)
             for c, kind in detail.dtypes]
-    detail.select(*flat).write.mode("overwrite").option("header", True).csv(f"{path}/detail")
+    detail.select(*flat).write.mode("overwrite").options(
+        header=True, escape='"').csv(f"{path}/detail")
     summary.write.mode("overwrite").json(f"{path}/summary")

@@ -1,8 +1,9 @@
 """The triage jobs on streams of messages.
 
 Masking, rules and decision are row-wise, so a stream runs the very functions a table
-does. Jobs with memory across batches keep it in append logs: every batch writes to a
-folder named by its number, a replayed batch overwrites its own folder and never reads it.
+does. Jobs with memory across batches keep it in append logs, by day or by key hash first and by
+batch number second: a batch reads the folders that its own rows can touch, and a replayed
+batch overwrites its own folders and never reads them.
 """
 
 from __future__ import annotations
@@ -14,7 +15,8 @@ from pyspark.sql.streaming import DataStreamWriter
 
 from ..functions import fixed_values as V
 from ..operators.admission import _micros, dedupe_ttl
-from ..operators.cases import enqueue
+from ..operators.cases import enqueue, idempotency_key
+from ..operators.guardrail import cost_usd
 from ..operators.policy import Policy
 from ..plans.triage import triage
 from ..sources.sinks import _dated, run_metrics, schema_version
@@ -25,14 +27,26 @@ def _available(writer: DataStreamWriter, checkpoint: str) -> DataStreamWriter:
 
 
 def _log_before(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
-    """Rows of an append log written by earlier batches, or None."""
+    """Rows of an append log written by earlier batches, or None before the first one.
+
+    Only a missing folder, or one without any file yet, counts as no log: a log that is
+    there and cannot be read ends the job.
+    """
     try:
         log = spark.read.parquet(path)
-    except AnalysisException:
-        return None
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
     return log.where(F.col("batch_id") < batch_id)
 
 
+def _append_batch(rows: DataFrame, path: str, by: str, batch_id: int) -> None:
+    """Write a batch into folders by=.../batch_id=..., leaving all other folders alone."""
+    (rows.withColumn("batch_id", F.lit(batch_id)).repartition(by).write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy(by, "batch_id").parquet(path))
+
+
 # --- triage and metrics --------------------------------------------------------------------
 def triage_to_files(messages: DataFrame, path: str, checkpoint: str, columns: list[str],
                     policy: Policy | None = None) -> DataStreamWriter:
@@ -51,16 +65,27 @@ def metrics_to_files(results: DataFrame, path: str, checkpoint: str) -> DataStre
 
 def metrics_by_hour(calls: DataFrame, ts: str = "ts", late: str = "10 minutes",
                     width: str = "1 hour") -> DataFrame:
-    """Actions and cost per tumbling window. Rows later than ``late`` are dropped."""
+    """Actions, tokens, cost and escalation rate per tumbling window.
+
+    On a stream, rows later than ``late`` are dropped and a window comes out when the
+    watermark has passed it; on a table every window comes out, with all its rows.
+    """
+    timed = calls.withColumn("__ts", F.col(ts).cast("timestamp"))
+    if calls.isStreaming:
+        timed = timed.withWatermark("__ts", late)
     return (
-        calls.withColumn("__ts", F.col(ts).cast("timestamp")).withWatermark("__ts", late)
-        .groupBy(F.window("__ts", width))
+        timed.groupBy(F.window("__ts", width))
         .agg(F.count(F.lit(1)).alias("n"),
              F.count_if(F.col("action") == "AUTO").alias("n_auto"),
              F.count_if(F.col("action").isin("HITL", "MANUAL")).alias("n_escalated"),
              F.sum("tokens_in").alias("tokens_in"), F.sum("tokens_out").alias("tokens_out"))
         .select(F.col("window.start").alias("window_start"), "n", "n_auto", "n_escalated",
-                "tokens_in", "tokens_out"))
+                "tokens_in", "tokens_out",
+                F.round(cost_usd("tokens_in", "tokens_out"), 6).alias("cost_usd"),
+                F.round(F.col("n_escalated") / F.col("n"), 6).alias("escalation_rate")))
+
+
+_DAY = 86_400_000_000   # microseconds
 
 
 # --- dedupe --------------------------------------------------------------------------------
@@ -68,8 +93,8 @@ def dedupe_batch(batch: DataFrame, batch_id: int, path: str, key: str = "request
                  ts: str = "ts", order: str = "event_id", ttl_s: int = V.DEDUPE_TTL_S) -> None:
     """Mark repeats of one micro-batch against the anchors of earlier ones.
 
-    Anchors are stored by TTL-wide time bucket; only those that can still cover a row of
-    this batch are read. A row inside the life of an earlier anchor is its duplicate, the
+    Anchors are stored by day with their TTL-wide time bucket; only those that can still
+    cover a row of this batch are read. A row inside the life of an earlier anchor is its duplicate, the
     others are settled among themselves. A row that arrives out of time order is judged
     by the anchors known at that moment.
     """
@@ -81,7 +106,9 @@ def dedupe_batch(batch: DataFrame, batch_id: int, path: str, key: str = "request
         anchors = _log_before(spark, f"{path}/anchors", batch_id)
         span = rows.agg(F.min("__b"), F.max("__b")).first()
         if anchors is not None and span[0] is not None:
-            near = anchors.where(F.col("bucket").between(span[0] - 1, span[1]))
+            days = [b * ttl // _DAY for b in (span[0] - 1, span[1] + 1)]
+            near = anchors.where(F.col("day").between(*days)).where(
+                F.col("bucket").between(span[0] - 1, span[1]))
             mark = F.struct("t", "id")
             # Out-of-order rows may leave two anchors in one bucket: the latest one that
             # is not after the row counts, so every anchor reaches its own bucket and the
@@ -106,11 +133,12 @@ def dedupe_batch(batch: DataFrame, batch_id: int, path: str, key: str = "request
         done.write.mode("overwrite").parquet(f"{path}/results/batch_id={batch_id}")
         # Read back what was written: the log, not a second run of the fold.
         written = spark.read.parquet(f"{path}/results/batch_id={batch_id}")
-        kept = F.nullif(F.col(key).cast("string"), F.lit("")).isNotNull()
+        kept = F.nullif(F.col(key).cast("string"), F.lit("")).isNotNull() & F.col(ts).isNotNull()
         new = written.where(~F.col("duplicate") & kept).select(
             F.col(key).alias("k"), _micros(ts).alias("t"), F.col(order).alias("id"))
-        new.withColumn("bucket", F.floor(F.col("t") / ttl).cast("long")).write.mode(
-            "overwrite").partitionBy("bucket").parquet(f"{path}/anchors/batch_id={batch_id}")
+        new = new.withColumns({"bucket": F.floor(F.col("t") / ttl).cast("long"),
+                               "day": F.floor(F.col("t") / _DAY).cast("long")})
+        _append_batch(new, f"{path}/anchors", "day", batch_id)
     finally:
         batch.unpersist()
 
@@ -123,11 +151,26 @@ def dedupe_to_files(requests: DataFrame, path: str, checkpoint: str, **options
 
 
 # --- queue ---------------------------------------------------------------------------------
+KEY_FOLDERS = 64
+
+
 def enqueue_batch(batch: DataFrame, batch_id: int, path: str, order: tuple) -> None:
-    """Append the escalations of one micro-batch whose key is not queued yet."""
-    existing = _log_before(batch.sparkSession, path, batch_id)
-    enqueue(batch, existing, order).write.mode("overwrite").parquet(
-        f"{path}/batch_id={batch_id}")
+    """Append the escalations of one micro-batch whose key is not queued yet.
+
+    The queue lies in folders by key hash; only those of the batch's own keys are read.
+    """
+    batch = batch.persist()
+    try:
+        part = F.pmod(F.xxhash64(idempotency_key()), F.lit(KEY_FOLDERS)).cast("int")
+        existing = _log_before(batch.sparkSession, path, batch_id)
+        if existing is not None:
+            # at most KEY_FOLDERS numbers
+            parts = [r[0] for r in batch.select(part).distinct().collect()]
+            existing = existing.where(F.col("part").isin(parts))
+        new = enqueue(batch, existing, order)
+        _append_batch(new.withColumn("part", part), path, "part", batch_id)
+    finally:
+        batch.unpersist()
 
 
 def enqueue_to_files(results: DataFrame, path: str, checkpoint: str,

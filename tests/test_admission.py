@@ -47,6 +47,50 @@ def test_dedupe_equals_brute_force(spark, fold_limit):
     assert got == brute_force(rows)
 
 
+@pytest.mark.parametrize("fold_limit", [100, 0])
+def test_dedupe_keeps_requests_without_time(spark, fold_limit):
+    df = spark.sql("select * from values (1L, 'k', null), (2L, 'k', timestamp_ntz'2024-01-01'), "
+                   "(3L, 'k', timestamp_ntz'2024-01-01 00:10:00') as t(event_id, request_key, ts)")
+    got = sorted(tuple(r) for r in A.dedupe_ttl(df, fold_limit=fold_limit).select(
+        "event_id", "anchor_id", "duplicate").collect())
+    assert got == [(1, 1, False), (2, 2, False), (3, 2, True)]
+
+
+def test_dedupe_batches_with_null_times_and_disorder(spark, tmp_path):
+    out = str(tmp_path / "out")
+    at = "timestamp_ntz'2024-01-01 0{}:00:00'"
+    for n, rows in enumerate([f"(1L, 'k', {at.format(5)}), (2L, 'k', null)",
+                              f"(3L, 'k', {at.format(1)}), (4L, 'k', {at.format(6)})",
+                              f"(5L, 'k', {at.format(2)}), (6L, 'q', null)"]):
+        batch = spark.sql(f"select * from values {rows} as t(event_id, request_key, ts)")
+        jobs.dedupe_batch(batch, n, out)
+    got = sorted((r.event_id, r.anchor_id) for r in spark.read.parquet(f"{out}/results").collect())
+    assert got == [(1, 1), (2, 2), (3, 3), (4, 1), (5, 3), (6, 6)]
+
+
+def test_unreadable_log_ends_the_job(spark, tmp_path):
+    out = tmp_path / "out"
+    (out / "anchors" / "day=1" / "batch_id=0").mkdir(parents=True)
+    (out / "anchors" / "day=1" / "batch_id=0" / "part-0.parquet").write_text("no parquet")
+    batch = frame(spark, [(1, "a", 5)])
+    with pytest.raises(Exception):
+        jobs.dedupe_batch(batch, 1, str(out))
+
+
+def test_enqueue_over_batches(spark, tmp_path):
+    out = str(tmp_path / "queue")
+    schema = "received_at int, message_id string, job_id string, requires_human boolean"
+    batches = [[(1, "M1", None, True), (2, "M2", None, True), (3, None, None, True)],
+               [(4, "M2", None, True), (5, "M0", None, True), (6, None, "", True)],
+               [(0, "M1", None, True), (7, "M9", None, False), (8, "M8", None, True)]]
+    for n, rows in enumerate(batches):
+        jobs.enqueue_batch(spark.createDataFrame(rows, schema), n, out, ("received_at",))
+        if n == 1:  # a replay
+            jobs.enqueue_batch(spark.createDataFrame(rows, schema), n, out, ("received_at",))
+    got = sorted(r.received_at for r in spark.read.parquet(out).collect())
+    assert got == [1, 2, 3, 5, 6, 8]
+
+
 def test_dedupe_over_batches(spark, tmp_path):
     rows = sorted(requests(2), key=lambda r: (r[2], r[0]))
     source = tmp_path / "in"
@@ -93,13 +137,16 @@ def test_admission_equals_simulation(spark):
     assert {r.refusal for r in A.admit(df, enabled=False).collect()} == {"disabled"}
 
 
-def test_policy_as_of(spark):
+@pytest.mark.parametrize("small", [1000, 0])
+def test_policy_as_of(spark, small):
     history = spark.createDataFrame([(0, 0.8), (5000, 0.9), (9000, 0.7)], "s long, a double")
     history = history.selectExpr("timestamp_seconds(s)::timestamp_ntz valid_from", "a")
-    facts = spark.range(-2, 30).selectExpr("id", "timestamp_seconds(id * 500)::timestamp_ntz ts")
-    got = {r.id: r.policy and r.policy.a for r in P.as_of(facts, "ts", history, ["a"]).collect()}
-    assert got == {i: None if i < 0 else 0.8 if i < 10 else 0.9 if i < 18 else 0.7
-                   for i in range(-2, 30)}
+    facts = spark.range(-2, 31).selectExpr(
+        "id", "timestamp_seconds(nullif(id, 30) * 500)::timestamp_ntz ts")
+    got = {r.id: r.policy and r.policy.a for r in P.as_of(
+        facts, "ts", history, ["a"], small_history=small).collect()}
+    assert got == {i: None if i < 0 or i == 30 else 0.8 if i < 10 else 0.9 if i < 18 else 0.7
+                   for i in range(-2, 31)}
 
 
 def test_policy_rows(spark):

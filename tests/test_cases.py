@@ -62,6 +62,48 @@ def test_decisions_equal_simulation(spark, monkeypatch):
     assert {r.case_id: r.final_draft for r in state.collect()} == want_final
 
 
+def test_commands_without_case_are_refused_and_sends_left_alone(spark):
+    rows = [(1, None, "validated", ""), (2, 1, "validated", ""), (3, 1, "mark_sent", ""),
+            (4, None, "mark_sent", ""), (5, 1, None, "")]
+    accepted, refused = C.apply_decisions(command_frame(spark, rows), case_frame(spark))
+    assert [r.seq for r in accepted.collect()] == [2]
+    assert {r.seq: r.refusal for r in refused.collect()} == {
+        1: "unknown_case", 5: "unknown_decision"}
+    _, outcome = C.apply_sends(command_frame(spark, rows), case_frame(spark))
+    assert {r.seq: r.result for r in outcome.collect()} == {3: "marked_sent", 4: "not_found"}
+
+
+def test_case_detail_with_decisions(spark):
+    rows = [(1, 1, "rejected", ""), (2, 1, "validated", "")]
+    cases = case_frame(spark)
+    accepted, _ = C.apply_decisions(command_frame(spark, rows), cases)
+    sends = spark.createDataFrame([], "case_id long, sent_at timestamp_ntz, sent_by string")
+    detail = C.case_detail(C.case_state(cases, accepted, sends), decisions=accepted)
+    got = sorted((r.case_id, r.seq, r.decision) for r in detail.collect() if r.seq)
+    assert got == [(1, 1, "rejected"), (1, 2, "validated")]
+    assert detail.count() == cases.count() + 1
+
+
+def test_versions_and_casts(spark):
+    current = spark.createDataFrame([(2, "a", 1.0), (2, "b", 2.0), (None, "c", 3.0), (None, "c", 3.0)],
+                                    "k long, s string, x double")
+    older = spark.createDataFrame([("2", "9"), ("7", "no number"), ("7", "4")], "k string, x string")
+    got = sorted(map(str, map(tuple, audit.load_versions(current, older, key="k").collect())))
+    assert got == ["(2, 'a', 1.0)", "(7, None, None)", "(None, 'c', 3.0)", "(None, 'c', 3.0)"]
+    lost = audit.align_schema(older, current.schema, rejects="lost").collect()
+    assert [r.lost for r in lost] == [[], ["x"], []]
+
+
+def test_audit_file_is_standard_csv(spark, tmp_path):
+    import csv
+    export = spark.createDataFrame([(1, 'il a dit "non", puis'), (2, "deux\nlignes")],
+                                   "case_id long, comment string").coalesce(1)
+    assert audit.write_audit(export, str(tmp_path / "a")) == 2
+    part = next((tmp_path / "a").glob("part-*.csv"))
+    with open(part, newline="") as f:
+        assert list(csv.reader(f))[1:] == [["1", 'il a dit "non", puis'], ["2", "deux\nlignes"]]
+
+
 def test_sends(spark):
     rows = [(1, 1, "mark_sent", ""), (2, 1, "mark_sent", ""), (3, 9, "mark_sent", ""),
             (4, 2, "mark_sent", "")]

@@ -22,6 +22,17 @@ def test_labelled_files(spark, tmp_path):
     assert labelled.read_labelled(spark, str(a)).count() == 1
 
 
+def test_broken_labelled_lines_are_named(spark, tmp_path):
+    f = tmp_path / "a.jsonl"
+    f.write_text('{"id": "E1", "email_body": "b"}\n{"id": "E2", \n{"email_body": "no id"}\n')
+    with pytest.raises(Exception, match="labelled line without a message"):
+        labelled.read_labelled(spark, str(f)).collect()
+    rows, rejects = labelled.labelled_lines(spark, str(f))
+    assert [r.id for r in rows.collect()] == ["E1"]
+    assert sorted(tuple(r) for r in rejects.collect()) == [
+        ('{"email_body": "no id"}', "no_id"), ('{"id": "E2", ', "broken")]
+
+
 def test_draft_checks(spark, tmp_path):
     f = tmp_path / "checks.json"
     f.write_text(json.dumps({"_note": {"x": 1}, "A1": {
@@ -87,19 +98,55 @@ def rows(df):
     return sorted(map(tuple, df.collect()))
 
 
-def test_lexical_paths_agree(spark):
+def test_lexical_waves_agree(spark):
     q, p = catalog.questions(spark, SF), catalog.passages(spark, SF)
-    want = rows(H.lexical_topk(q, p, 3))
-    assert want == rows(H.lexical_topk(q, p, 3, broadcast_postings=0, block_postings=5000,
-                                       slice_queries=9))
+    assert rows(H.lexical_topk(q, p, 3)) == rows(H.lexical_topk(q, p, 3, wave_terms=50))
 
 
-def test_vector_paths_agree(spark):
+def test_vector_waves_and_tiles_agree(spark, monkeypatch):
     v = views.table(spark, SF, "embeddings").select("vec_id", "embedding")
     q = v.withColumnRenamed("vec_id", "query_id")
     want = rows(H.vector_topk(q, v, 3, exclude_self=True))
-    assert want == rows(H.vector_topk(q, v, 3, exclude_self=True, broadcast_floats=0,
-                                      block_floats=5000, slice_queries=100))
+    assert want == rows(H.vector_topk(q, v, 3, exclude_self=True, wave_floats=5000))
+    monkeypatch.setattr(H, "TILE", 700)
+    assert want == rows(H.vector_topk(q, v, 3, exclude_self=True))
+
+
+def test_vectors_without_place(spark):
+    nan = float("nan")
+    v = spark.createDataFrame([("a", [1.0, 0.0]), ("b", None), ("c", [1.0]), ("d", [nan, 1.0]),
+                               ("e", [0.0, 1.0])], "vec_id string, embedding array<double>")
+    q = spark.createDataFrame([("x", [1.0, 0.0]), ("y", None)],
+                              "query_id string, embedding array<double>")
+    assert [tuple(r) for r in H.vector_topk(q, v, 5).orderBy("rank").collect()] == [
+        ("x", "a", 0.0, 1), ("x", "e", 2.0, 2)]
+    near = H.vector_topk_approx(q, v.where("vec_id in ('a', 'e')"), 2.0, 5).collect()
+    assert ("x", "a") in {(r.query_id, r.vec_id) for r in near}
+
+
+def test_corpus_to_contexts(spark, tmp_path):
+    """Markdown files, sections, passages for message texts: all with text ids."""
+    (tmp_path / "faq.md").write_text("# Foire\n## Facture\nVotre facture arrive chaque trimestre ici.\n")
+    (tmp_path / "contrat.md").write_text("## Contrat\nLe contrat annuel se termine au printemps suivant.\n")
+    chunks = H.chunk_sections(labelled.read_corpus(spark, str(tmp_path)), min_chars=20)
+    asked = spark.createDataFrame(
+        [("M1", "facture du trimestre"), ("M2", "contrat annuel, facture"), ("M3", "rien")],
+        "query_id string, text string")
+    hits = H.lexical_topk(asked, chunks, 2, order=("source", "chunk_pos"))
+    assert {(r.query_id, r.source, r["rank"]) for r in hits.collect()} == {
+        ("M1", "faq", 1), ("M2", "contrat", 1), ("M2", "faq", 2)}
+    got = H.contexts(H.retrieve(asked, chunks, None, 2, order=("source", "chunk_pos")))
+    assert {r.query_id: len(r.contexts) for r in got.collect()} == {"M1": 1, "M2": 2}
+
+
+def test_vectors_without_passage_take_no_place(spark):
+    chunks = spark.createDataFrame([("s", 1, 0, "texte un"), ("s", 3, 0, "texte trois")],
+                                   "source string, doc_id long, chunk_pos long, text string")
+    vectors = spark.createDataFrame([(1, [0.0], 1, 0), (2, [0.1], 2, 0), (3, [0.2], 3, 0)],
+                                    "vec_id long, embedding array<double>, doc_id long, chunk_pos long")
+    asked = spark.createDataFrame([(9, "q", [0.0])], "query_id long, text string, embedding array<double>")
+    got = H.retrieve(asked, chunks, vectors, 2).orderBy("rank").collect()
+    assert [r.context for r in got] == ["[s] texte un", "[s] texte trois"]
 
 
 def test_retrieve_blank_and_limits(spark):
