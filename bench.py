@@ -10,6 +10,7 @@ import json
 import os
 import statistics
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -23,7 +24,8 @@ HEADLINE = (
     "accepted_decisions", "case_states", "audit_export", "dedupe_ttl", "admitted_requests",
     "policy_as_of", "lexical_topk", "vector_topk", "document_frequency",
     "parsed_classifications", "parsed_judgements", "final_attempts", "evaluation_summary",
-    "latency_p95",
+    "latency_p95", "retrieved_contexts", "kb_search", "decisions_under_policy_history",
+    "metrics_by_hour", "stream_triage_decisions", "baseline_classifier",
 )
 
 
@@ -37,6 +39,7 @@ def main() -> None:
         .config("spark.sql.shuffle.partitions", cpus)
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="sortdesk-bench-"))
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")

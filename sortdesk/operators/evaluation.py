@@ -66,8 +66,10 @@ def floored_rank(df: DataFrame, value: str, by: list[str], share: float = 0.95,
     """Value at 1-based position floor(share * n) of the sorted values; 0 for n < 2.
 
     Values are counted first, so the ordered window sees one row per distinct value
-    (whole milliseconds) and never the messages themselves.
+    (whole milliseconds) and never the messages themselves. That is why only whole numbers
+    are taken: a continuous value has as many distinct ones as rows.
     """
+    _check_whole(df, value)
     counts = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("__c"))
     group = Window.partitionBy(*by)
     upto = group.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -80,6 +82,11 @@ def floored_rank(df: DataFrame, value: str, by: list[str], share: float = 0.95,
         F.when(F.max("__n") < 2, F.lit(0)).otherwise(F.min(hit)).alias(out))
 
 
+def _check_whole(df: DataFrame, value: str) -> None:
+    if dict(df.dtypes)[value] not in ("tinyint", "smallint", "int", "bigint"):
+        raise ValueError(f"{value} must hold whole numbers")
+
+
 def _percent(condition: Column) -> Column:
     return 100.0 * F.count_if(condition) / F.count(F.lit(1))
 
@@ -91,6 +98,7 @@ def _summed(rows: DataFrame, by: list[str], value: str, counts: dict[str, Column
     Everything is combined per distinct value first. The ordered window and the final sums
     both work on those rows, so the input is read and shuffled once.
     """
+    _check_whole(rows, value)
     first = rows.groupBy(*by, value).agg(
         F.count(F.lit(1)).alias("n"),
         *[F.count_if(c).alias(name) for name, c in counts.items()],
@@ -194,8 +202,15 @@ def stage_latency(trace: DataFrame, agent: str = "agent") -> DataFrame:
 
 
 def message_trace(trace: DataFrame, key: str, order: str) -> DataFrame:
-    """Stages of every message in order, one row each, with the error text of failed ones."""
+    """One row per message: its stages in order as ``trace``, the texts of failed ones as
+    ``errors``. A message passes a dozen stages at most, so the arrays stay small; the table
+    is not sorted as a whole."""
     error = F.when(~F.col("success"), F.concat(
-        F.lit("["), F.col("agent"), F.lit("] "), text_or_empty("note"))).otherwise("")
-    return trace.select(key, order, "agent", "duration_ms", "success", "note",
-                        error.alias("error")).orderBy(key, order)
+        F.lit("["), F.col("agent"), F.lit("] "), text_or_empty("note")))
+    step = F.struct(F.col(order), "agent", "duration_ms", "success", text_or_empty("note").alias("note"),
+                    error.alias("error"))
+    steps = trace.groupBy(key).agg(F.array_sort(F.collect_list(step)).alias("__steps"))
+    return steps.select(
+        key, F.transform("__steps", lambda s: s.dropFields("error")).alias("trace"),
+        F.filter(F.transform("__steps", lambda s: s["error"]), lambda e: e.isNotNull())
+        .alias("errors"))

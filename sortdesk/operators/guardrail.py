@@ -15,23 +15,25 @@ def is_degenerate(body: Column | str, min_chars: int = V.DEGENERATE_MIN_CHARS) -
     return stripped_length_below(body, min_chars)
 
 
-def mask_columns(df: DataFrame, outputs: dict[str, tuple[str, str]]) -> DataFrame:
+def mask_columns(df: DataFrame, outputs: dict[str, tuple[str, str]],
+                 entities: tuple[str, ...] = tuple(V.PII_PATTERNS)) -> DataFrame:
     """Mask several text columns: {text column: (masked column, entity map column)}.
 
-    The five entities are masked one after the other, each on the output of the step
-    before, and every step is one projection over all columns, so no pattern runs twice.
+    The entities are masked one after the other, each on the output of the step before, and
+    every step is one projection over all columns, so no pattern runs twice. ``entities``
+    may stop short of the last ones where only the first are asked for.
     """
     names = list(outputs)
     mask = {t: f"__mask{i}" for i, t in enumerate(names)}
     digits = {t: f"__digits{i}" for i, t in enumerate(names)}
-    count = {(t, e): f"__n{i}_{e}" for i, t in enumerate(names) for e in V.PII_PATTERNS}
+    count = {(t, e): f"__n{i}_{e}" for i, t in enumerate(names) for e in entities}
     start = {}
     for t in names:
         text = f"coalesce(`{t}`, '')"
         start[mask[t]] = F.expr(f"named_struct('text', {text})")
         start[digits[t]] = F.expr(M.digit_run_sql(text))
     work, previous = df.withColumns(start), None
-    for entity in V.PII_PATTERNS:
+    for entity in entities:
         step = {mask[t]: F.expr(M.mask_sql(f"{mask[t]}.text", entity, digits[t]))
                 for t in names}
         if previous:
@@ -39,7 +41,7 @@ def mask_columns(df: DataFrame, outputs: dict[str, tuple[str, str]]) -> DataFram
         work = work.withColumns(step)
         previous = entity
     found = {t: {e: f"{mask[t]}.n" if e == previous else count[t, e]
-                 for e in V.PII_PATTERNS} for t in names}
+                 for e in entities} for t in names}
     done = evaluate_once(work, {
         **{outputs[t][0]: F.col(mask[t])["text"] for t in names},
         **{outputs[t][1]: M.entity_map(found[t]) for t in names}})
@@ -81,6 +83,21 @@ def mask_messages(df: DataFrame) -> DataFrame:
     return work.drop(*[c for p in parts for c in (f"__{p}", f"__{p}_pii")])
 
 
+def with_sensitive_entities(df: DataFrame) -> DataFrame:
+    """Add degenerate and pii_entities, as far as the decision reads them: the entities that
+    force human review, in subject and body. Sender, names, the other entities and the masked
+    texts themselves are left alone; ``mask_messages`` has them all."""
+    parts = ("email_subject", "email_body")
+    last = max(list(V.PII_PATTERNS).index(e) for e in V.SENSITIVE_ENTITIES)
+    work = mask_columns(
+        df.withColumn("degenerate", is_degenerate("email_body")),
+        {p: (f"__{p}", f"__{p}_pii") for p in parts}, tuple(V.PII_PATTERNS)[:last + 1])
+    merged = M.merge_entities(F.col("__email_body_pii"), F.col("__email_subject_pii"), F.lit(0))
+    entities = F.when(F.col("degenerate"), M.empty_entities()).otherwise(merged)
+    return work.withColumn("pii_entities", entities).drop(
+        *[c for p in parts for c in (f"__{p}", f"__{p}_pii")])
+
+
 def pii_leak(df: DataFrame, draft: str = "draft", out: str = "pii_leak") -> DataFrame:
     """Personal data still readable in a draft, as K=n;K=n (mail addresses tolerated)."""
     kept = F.map_filter(F.col("__leak"), lambda k, _: k.isin(*V.DRAFT_FORBIDDEN_ENTITIES))

@@ -207,7 +207,8 @@ def parse_judge(df: DataFrame, raw: str = "completion", policy: Policy | Column
     """Add scores, verdict, feedback, issues, score and approval of a judge completion.
 
     An object that breaks the contract is never approved. Text that is no JSON object
-    counts the same way; outage="open" accepts such a draft with score 0.5 instead.
+    counts the same way; outage="open" accepts such a draft with score 0.5 instead. ``judge_unavailable`` tells
+    drafts that nobody judged; ``decide`` sends them to a reviewer under that name.
     """
     issues_kind = _kind("issues")
     issues_ok = issues_kind.isNull() | issues_kind.isin("ARRAY<STRING>", "ARRAY<VOID>")
@@ -248,6 +249,7 @@ def parse_judge(df: DataFrame, raw: str = "completion", policy: Policy | Column
         .withColumn("critic_issues", F.when(ok, F.col("__issues"))
                     .when(opened, F.array().cast("array<string>"))
                     .otherwise(F.array(F.lit("judge_invalid_output"))))
+        .withColumn("judge_unavailable", ~F.col("__object") & F.lit(outage != "open"))
         .drop("__json", "__object", "__verdict", "__feedback", "__issues", "__valid",
               "__opened", *[f"__{c}" for c in V.JUDGE_CRITERIA])
     )

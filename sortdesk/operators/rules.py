@@ -165,10 +165,11 @@ def forced_priority(priorite: Column | str, priorities: Column) -> Column:
     return F.when(F.array_contains(priorities, p), F.concat(F.lit("priorite:"), p))
 
 
-def forced_reason(policy: Policy | Column | None) -> Column:
+def forced_reason(policy: Policy | Column | None, unjudged: Column | None = None) -> Column:
     """Reason of the first rule that applies, null when none does.
 
     Expects degenerate, categorie, priorite, input_hits, output_hits, judge_verdict.
+    ``unjudged`` marks drafts that no judge could be asked about.
     """
     p = policy_fields(policy)
     sensitive = F.when(
@@ -182,16 +183,24 @@ def forced_reason(policy: Policy | Column | None) -> Column:
         F.when(F.col("degenerate"), F.lit("degenerate_input")),
         forced_category("categorie", p["hitl_force_categories"]),
         forced_priority("priorite", p["hitl_force_priorities"]),
-        sensitive, unsendable, rejected)
+        sensitive, unsendable, rejected,
+        F.when(F.lit(False) if unjudged is None else unjudged, F.lit("judge_unavailable")))
+
+
+def _unjudged(df: DataFrame) -> Column | None:
+    return F.col("judge_unavailable") if "judge_unavailable" in df.columns else None
 
 
 def evaluate(df: DataFrame, policy: Policy | Column | None = None) -> DataFrame:
     """Add forced_reason (null when no rule applies)."""
-    return df.withColumn("forced_reason", forced_reason(policy))
+    return df.withColumn("forced_reason", forced_reason(policy, _unjudged(df)))
 
 
 def decide(df: DataFrame, policy: Policy | Column | None = None) -> DataFrame:
-    """Add action, requires_human and decision_reason: rules first, then thresholds."""
+    """Add action, requires_human and decision_reason: rules first, then thresholds.
+
+    With a column judge_unavailable, drafts nobody judged go to a reviewer.
+    """
     p = policy_fields(policy)
     confidence = F.coalesce(F.col("confiance").cast("double"), F.lit(0.0))
     approved = F.coalesce(F.col("critic_approved"), F.lit(False))
@@ -202,7 +211,7 @@ def decide(df: DataFrame, policy: Policy | Column | None = None) -> DataFrame:
         .when(confidence >= p["seuil_hitl"], "HITL")
         .otherwise("MANUAL"))
     return (
-        df.withColumn("__forced", forced_reason(policy))
+        df.withColumn("__forced", forced_reason(policy, _unjudged(df)))
         .withColumn("action", action)
         .withColumn("requires_human", F.col("action") != "AUTO")
         .withColumn("decision_reason", F.coalesce(forced, F.lit("seuils")))

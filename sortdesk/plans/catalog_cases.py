@@ -15,18 +15,9 @@ from . import sample_values as S
 from . import views
 from .catalog_guardrail import JUDGED_CTES, _reasons_cte, triage_input
 from .triage import triage
+from .registry import registry
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
-
-
-def register(name: str, sql: str | None = None):
-    def add(fn):
-        QUERIES[name] = fn
-        if sql is not None:
-            ORACLE[name] = sql
-        return fn
-    return add
+QUERIES, ORACLE, register = registry()
 
 
 # The output rules on the fixed reply lines: two checks against plain text suffice there.
@@ -217,7 +208,7 @@ select doc_id, case_key, decision_reason from (
   select *, {_KEY} as case_key, row_number() over (partition by {_KEY} order by received_at, doc_id) as rn
   from decided where action <> 'AUTO') where case_key is null or rn = 1"""))
 def enqueued_cases(spark, sf):
-    results = triage(triage_input(spark, sf)).select(
+    results = triage(triage_input(spark, sf), texts=False).select(
         "doc_id", "message_id", "job_id", "received_at", "requires_human", "decision_reason")
     return C.enqueue(results, order=("received_at", "doc_id")).select(
         "doc_id", "case_key", "decision_reason")

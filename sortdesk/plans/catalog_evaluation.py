@@ -15,18 +15,9 @@ from . import sample_values as S
 from . import views
 from .catalog_guardrail import GUARDED_CTES, JUDGED_CTES, triage_input
 from .triage import triage
+from .registry import registry
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
-
-
-def register(name: str, sql: str | None = None):
-    def add(fn):
-        QUERIES[name] = fn
-        if sql is not None:
-            ORACLE[name] = sql
-        return fn
-    return add
+QUERIES, ORACLE, register = registry()
 
 
 # --- prompts -----------------------------------------------------------------------------------
@@ -331,7 +322,7 @@ def checked(spark, sf, only=None):
     messages = triage_input(spark, sf)
     if only is not None:
         messages = messages.join(only.select("doc_id"), "doc_id", "left_semi")
-    results = triage(messages).select(
+    results = triage(messages, texts=False).select(
         "doc_id", "source", "categorie", "priorite", "confiance", "draft", "action",
         "decision_reason", "judge_verdict", "critic_score")
     return E.with_severity(E.check_drafts(results, _checks(spark, sf), "doc_id"))
@@ -475,7 +466,14 @@ def stage_latency(spark, sf):
 
 
 @register("message_traces", O.with_ctes(_TRACE, final="""
-select message, seq, agent, duration_ms, success,
-  case when success then '' else '[' || agent || '] ' || note end as error from trace"""))
+select message, count(*) as n, string_agg(seq || ':' || agent || ':' || duration_ms || ':' || success, ' ' order by seq) as trace,
+  coalesce(string_agg('[' || agent || '] ' || note, '; ' order by seq) filter (where not success), '') as errors
+from trace group by message"""))
 def message_traces(spark, sf):
-    return E.message_trace(_trace(spark, sf), "message", "seq").drop("note")
+    traced = E.message_trace(_trace(spark, sf), "message", "seq")
+    step = F.transform("trace", lambda s: F.concat_ws(
+        ":", s["seq"].cast("string"), s["agent"], s["duration_ms"].cast("string"),
+        s["success"].cast("string")))
+    return traced.select("message", F.size("trace").cast("long").alias("n"),
+                         F.array_join(step, " ").alias("trace"),
+                         F.array_join("errors", "; ").alias("errors"))

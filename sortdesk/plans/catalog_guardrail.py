@@ -11,18 +11,9 @@ from ..operators import rules as R
 from . import oracle_parts as O
 from . import views
 from .triage import triage
+from .registry import registry
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
-
-
-def register(name: str, sql: str | None = None):
-    def add(fn):
-        QUERIES[name] = fn
-        if sql is not None:
-            ORACLE[name] = sql
-        return fn
-    return add
+QUERIES, ORACLE, register = registry()
 
 
 # --- guardrail -----------------------------------------------------------------------------
@@ -407,7 +398,7 @@ def rule_evaluation(spark, sf):
 select doc_id, message_id, categorie, priorite, action, action <> 'AUTO' as requires_human,
   decision_reason from decided"""))
 def triage_decisions(spark, sf):
-    return triage(triage_input(spark, sf)).select(
+    return triage(triage_input(spark, sf), texts=False).select(
         "doc_id", "message_id", "categorie", "priorite", "action", "requires_human",
         "decision_reason")
 
@@ -417,7 +408,7 @@ select decision_reason, count(*) as n from decided where action <> 'AUTO' group
 def escalation_reasons(spark, sf):
     """Why would messages be escalated? Most frequent reason first."""
     return (
-        triage(triage_input(spark, sf)).where("requires_human")
+        triage(triage_input(spark, sf), texts=False).where("requires_human")
         .groupBy("decision_reason").agg(F.count(F.lit(1)).alias("n"))
         .orderBy(F.desc("n"), "decision_reason"))
 

@@ -10,18 +10,9 @@ from ..operators import retrieval as H
 from . import oracle_parts as O
 from . import views
 from .catalog_guardrail import GUARDED_CTES
+from .registry import registry
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
-
-
-def register(name: str, sql: str | None = None):
-    def add(fn):
-        QUERIES[name] = fn
-        if sql is not None:
-            ORACLE[name] = sql
-        return fn
-    return add
+QUERIES, ORACLE, register = registry()
 
 
 def documents(spark, sf):

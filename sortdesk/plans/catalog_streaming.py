@@ -12,20 +12,12 @@ from ..sources import sinks
 from ..streaming import jobs
 from . import views
 from .catalog_cases import ORACLE as CASES
+from .catalog_guardrail import JUDGED_CTES
 from .catalog_guardrail import ORACLE as GUARDRAIL
 from . import oracle_parts as O
+from .registry import registry
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
-
-
-def register(name: str, sql: str | None = None):
-    def add(fn):
-        QUERIES[name] = fn
-        if sql is not None:
-            ORACLE[name] = sql
-        return fn
-    return add
+QUERIES, ORACLE, register = registry()
 
 
 def _work_folder(spark) -> str:
@@ -42,10 +34,16 @@ def _stream(spark, sf, name):
 
 
 def _stream_of_batches(spark, sf, name, order, folder):
-    """The table as a stream of several micro-batches: its rows in order, one file each."""
+    """The table as a stream of several micro-batches that follow each other in order."""
     rows = views.table(spark, sf, name)
-    rows.repartitionByRange(BATCHES, order).sortWithinPartitions(order).write.parquet(
-        f"{folder}/in")
+    shares = ", ".join(str(i / BATCHES) for i in range(1, BATCHES))
+    cuts = rows.selectExpr(f"percentile_approx({order}, array({shares}), 1000)").first()[0]
+    o = F.col(order)
+    for low, high in zip([None, *cuts], [*cuts, None]):
+        # one after the other: the source takes files by age
+        part = rows.where((F.lit(low is None) | (o > F.lit(low)))
+                          & (F.lit(high is None) | (o <= F.lit(high))))
+        part.coalesce(1).write.mode("append").parquet(f"{folder}/in")
     return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(
         f"{folder}/in")
 
@@ -82,14 +80,31 @@ def stream_enqueued_cases(spark, sf):
     from .triage import triage
     folder = _work_folder(spark)
     documents = _stream_of_batches(spark, sf, "documents", "doc_id", folder)
-    results = triage(_messages(spark, sf, documents)).select(
+    results = triage(_messages(spark, sf, documents), texts=False).select(
         "doc_id", "message_id", "job_id", "received_at", "requires_human", "decision_reason")
     jobs.enqueue_to_files(results, f"{folder}/out", f"{folder}/state",
                           ("received_at", "doc_id")).start().awaitTermination()
     return spark.read.parquet(f"{folder}/out").select("doc_id", "case_key", "decision_reason")
 
 
-@register("stream_run_metrics")
+_FOUND = ", ".join(f"case when b_{e} + s_{e} > 0 then '{e}=' || (b_{e} + s_{e}) end"
+                   for e in V.PII_PATTERNS)
+
+
+@register("stream_run_metrics", O.with_ctes(*JUDGED_CTES, final=f"""
+select received_at as timestamp_utc, coalesce(job_id, '') as job_id, coalesce(message_id, '') as message_id,
+  categorie, priorite, round(confiance, 3) as confiance,
+  case when degenerate then 0 else {" + ".join(f"b_{e} + s_{e}" for e in V.PII_PATTERNS)} + n_name end as pii_total,
+  case when degenerate then '' else concat_ws(';', {_FOUND}, case when n_name > 0 then 'NOM=' || n_name end) end as pii_entities,
+  case when degenerate then 'none' else 'regex' end as pii_engine, judge_verdict,
+  pertinence as judge_pertinence, ton as judge_ton, conformite as judge_conformite,
+  factualite as judge_factualite, round(case when doc_id % 41 = 0 then 0 else raw_score end, 3) as judge_score,
+  cast(null as int) as drafter_retries, action, action <> 'AUTO' as requires_human, decision_reason,
+  doc_id % 2000 as tokens_in, doc_id % 500 as tokens_out,
+  round((doc_id % 2000) * 0.4::double / 1e6 + (doc_id % 500) * 1.6::double / 1e6, 6) as cost_usd,
+  '' as human_decision, cast(null as bigint) as duration_ms, cast(null as varchar) as errors,
+  cast(null as varchar) as tpl_classifier, cast(null as varchar) as tpl_drafter,
+  cast(null as varchar) as tpl_judge from decided"""))
 def stream_run_metrics(spark, sf):
     from .triage import triage
     folder = _work_folder(spark)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
-from ..operators.guardrail import mask_messages
+from ..operators.guardrail import mask_messages, with_sensitive_entities
 from ..operators.model_io import approve
 from ..operators.policy import Policy
 from ..operators.rules import decide, with_input_hits, with_output_hits
@@ -24,8 +24,12 @@ def degenerate_defaults(df: DataFrame) -> DataFrame:
         for name, value in fixed.items()})
 
 
-def triage(messages: DataFrame, policy: Policy | Column | None = None) -> DataFrame:
-    """Mask, apply the rules on both sides and decide. No shuffle: works on streams too."""
-    work = with_input_hits(mask_messages(messages))
-    work = degenerate_defaults(approve(work, policy))
+def triage(messages: DataFrame, policy: Policy | Column | None = None,
+           texts: bool = True) -> DataFrame:
+    """Mask, apply the rules on both sides and decide. No shuffle: works on streams too.
+
+    ``texts=False`` leaves out masked texts, names and the entities no decision reads.
+    """
+    masked = mask_messages(messages) if texts else with_sensitive_entities(messages)
+    work = degenerate_defaults(approve(with_input_hits(masked), policy))
     return decide(with_output_hits(work), policy)

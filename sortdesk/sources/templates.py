@@ -44,11 +44,15 @@ def latest_templates(catalogue: DataFrame, pins: DataFrame | None = None
     return chosen, pins.join(versioned, ["name", "version"], "left_anti")
 
 
-def with_template_versions(df: DataFrame, chosen: DataFrame) -> DataFrame:
-    """Results with the version of every agent's template as tpl_<name>.
+AGENTS = ("classifier", "drafter", "judge")
 
-    A handful of agents make one row of versions, read once on the driver like any other
-    setting of a run.
+
+def with_template_versions(df: DataFrame, chosen: DataFrame,
+                           agents: tuple[str, ...] = AGENTS) -> DataFrame:
+    """Results with the version of every agent's template as tpl_<name>, null without one.
+
+    The versions become one row, whatever the size of the catalogue, and that row is joined.
     """
-    versions = {r["name"]: r["version"] for r in chosen.select("name", "version").collect()}
-    return df.withColumns({f"tpl_{n}": F.lit(v) for n, v in sorted(versions.items())})
+    versions = chosen.where(F.col("name").isin(*agents)).agg(*[
+        F.max(F.when(F.col("name") == a, F.col("version"))).alias(f"tpl_{a}") for a in agents])
+    return df.join(F.broadcast(versions))
