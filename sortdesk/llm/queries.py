@@ -34,7 +34,61 @@ _ASCII_LOWER = ("translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopq
 PSEUDONYM_KEY = "key of the registered queries"
 
 
-@register("op1_link_graph")
+def _host_sql(url: str) -> str:
+    return _ASCII_LOWER.format(f"coalesce(regexp_extract({url}, '(?s)^.*?://([^/?#]*)', 1), '')")
+
+
+def _rule_sql() -> str:
+    ordered = sorted(url_graph.RULES, key=lambda r: -len(r[1]) - len(r[2]))
+    cases = " ".join(
+        f"when (host = '{h}' or ends_with(host, '.{h}')) and starts_with(path, '{p}') then '{h}{p}'"
+        for _, h, p in ordered)
+    return f"case {cases} end"
+
+
+_VERDICTS = " ".join(f"when '{h}{p}' then '{v}'" for v, h, p in url_graph.RULES)
+_ROUNDS = ",\n".join(f"""r{i + 1} as materialized (select kind, host, cast(sum(part) as hugeint) as rank from (
+  select e.kind, e.dst as host, (r.rank * e.n * 85) // (e.total * 100) as part
+  from r{i} r join flows e on e.kind = r.kind and e.src = r.host
+  union all select kind, host, (base * 15) // 100 from bases) group by all)""" for i in range(12))
+
+
+@register("op1_link_graph", f"""
+with split as (select page_id, html, {_host_sql("url")} as host,
+    coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') as path from pages),
+judged as materialized (select *, {_rule_sql()} as rule from split),
+told as materialized (select *, case rule {_VERDICTS} end as told from judged),
+links as (select host as src, unnest(list_distinct(regexp_extract_all(html,
+    '(?i)\\b(?:href|src)\\s*=\\s*["'']?((?:https?:)?//[^"''\\s>]+)', 1))) as url
+  from told where host <> ''),
+linked as (select src, {_host_sql("case when starts_with(url, '//') then 'http:' || url else url end")} as dst
+  from links),
+domains as (select distinct array_to_string(list_slice(parts, i, len(parts)), '.') as host from (
+  select parts, unnest(range(1, len(parts))) as i from (
+    select distinct string_split(host, '.') as parts from told
+    where contains(host, '.') and not regexp_full_match(host, '[0-9.]+')))),
+family as (select host, regexp_replace(host, '^[^.]+\\.', '') as up from domains
+  where regexp_matches(host, '^[^.]+\\.[^.]+\\.[^.]+') and not regexp_full_match(host, '[0-9.]+')),
+edges as materialized (select src, dst, count(*) as n from (
+  select src, dst from linked where dst <> '' and src <> dst
+  union all select host, up from family union all select up, host from family) group by all),
+ways as (select 'trust' as kind, src, dst, n from edges union all select 'distrust', dst, src, n from edges),
+flows as materialized (select kind, src, dst, cast(n as hugeint) as n,
+  cast(sum(n) over (partition by kind, src) as hugeint) as total from ways),
+seeds as (select host, count(*) filter (where told = 'allow') as trust,
+  count(*) filter (where told = 'block') as distrust from told where host <> '' group by host),
+masses as (select 'trust' as kind, host, trust as n from seeds where trust > 0
+  union all select 'distrust', host, distrust from seeds where distrust > 0),
+bases as materialized (select kind, host, (cast(n as hugeint) * {url_graph.SCALE})
+  // cast(sum(n) over (partition by kind) as hugeint) as base from masses),
+r0 as (select kind, host, base as rank from bases),
+{_ROUNDS},
+spread as (select host, coalesce(max(rank) filter (where kind = 'trust'), 0) as trust,
+  coalesce(max(rank) filter (where kind = 'distrust'), 0) as distrust from r12 group by host)
+select page_id, host, path, rule, coalesce(told, case when coalesce(distrust, 0) > coalesce(trust, 0)
+    then 'block' else 'allow' end) as verdict,
+  cast(coalesce(trust, 0) as bigint) as trust, cast(coalesce(distrust, 0) as bigint) as distrust
+from told left join spread using (host)""")
 def op1(spark, sf):
     return url_graph.filter_urls(table(spark, sf, "pages"))
 
