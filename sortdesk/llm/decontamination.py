@@ -281,7 +281,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, max_share
     """docs without item passages: hit spans leave the text, and documents of which more than
     max_share of the words is hit are dropped. Untouched texts stay as they are, byte by byte.
 
-    A removed span runs from its first word's first to its last word's last byte.
+    A removed span runs from its first word's first to its last word's last byte. Windows are
+    judged on the text as it came in, not on words that meet where a span was cut out.
     """
     found = contamination(docs, items, window, text_col, item_id, item_text)
     names = docs.columns
