@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .store import free_name
+from .store import free_name, written
 from .words import LETTERS_DIGITS, cut, mix, slices
 
 #: Words are runs of 0-9, a-z and characters from U+0080 on, A-Z as a-z.
@@ -207,8 +207,10 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def item_waves(items: DataFrame, id_col: str, text_col: str, window: int) -> list[list]:
-    """[[(id, words)]]: pieces of the items, dealt by hash into waves of bounded size."""
+def item_waves(items: DataFrame, id_col: str, text_col: str,
+               window: int) -> Iterator[tuple[list, bool]]:
+    """([(id, words)], whether more follow): pieces of the items, dealt by hash into waves of
+    bounded size, one at a time."""
     texts = items.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("id"),
                          F.col(text_col).cast("string").alias("text"))
     words = F.regexp_extract_all(
@@ -222,11 +224,10 @@ def item_waves(items: DataFrame, id_col: str, text_col: str, window: int) -> lis
     size = pieces.agg(F.sum(F.length(F.array_join("words", " ")) * 2)).first()[0] or 0
     waves = 1 + size // WAVE_BYTES
     dealt = pieces.withColumn("wave", F.pmod(F.xxhash64("id", "words"), F.lit(waves)))
-    out = []
     for wave in range(waves):
         rows = dealt.where(F.col("wave") == wave).select("id", "words").collect()
-        out.append(sorted((r["id"], [w.encode() for w in r["words"]]) for r in rows))
-    return out
+        yield (sorted((r["id"], [w.encode() for w in r["words"]]) for r in rows),
+               wave < waves - 1)
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = 10, text_col: str = "text",
@@ -241,14 +242,16 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, text_col:
     kind = T.StructType.fromDDL("n_words bigint, n_hit bigint, "
                                 "spans array<struct<start:bigint,end:bigint>>, items array<string>")
     out = docs
-    for i, wave in enumerate(item_waves(items, item_id, item_text, window)):
+    for i, (wave, more) in enumerate(item_waves(items, item_id, item_text, window)):
         schema = out.schema if i else T.StructType(
             [*out.schema.fields, T.StructField(result, kind)])
-        out = out.mapInArrow(_marker(Finder(wave, window), text_col, result, i == 0, kind), schema)
+        out = out.mapInArrow(_marker(Finder(wave, window), text_col, result, i == 0), schema)
+        if more:   # so that the driver, too, holds one wave at a time
+            out = written(out, "wave")
     return out
 
 
-def _marker(finder: Finder, text_col: str, result: str, first: bool, kind: T.StructType):
+def _marker(finder: Finder, text_col: str, result: str, first: bool):
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text_col):
             n = batch.num_rows
