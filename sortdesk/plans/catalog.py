@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import (catalog_cases, catalog_evaluation, catalog_guardrail, catalog_retrieval,
-               catalog_streaming)
+from . import (catalog_cases, catalog_evaluation, catalog_files, catalog_guardrail,
+               catalog_retrieval, catalog_streaming)
 
 _GROUPS = (catalog_guardrail, catalog_cases, catalog_retrieval, catalog_evaluation,
-           catalog_streaming)
+           catalog_streaming, catalog_files)
 
 
 def queries() -> dict:
