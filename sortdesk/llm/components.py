@@ -47,7 +47,9 @@ def _step(edges: DataFrame, round_no: int) -> DataFrame:
         return F.struct(F.xxhash64(F.lit(round_no), c).alias("h"), F.col(c).alias("x"))
 
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    near = both.groupBy("u").agg(F.least(F.min(rank("v")), F.first(rank("u"))).alias("m"))
+    # written, so that the join below has an exchange on either side and hubs can be split
+    near = written(both.groupBy("u").agg(
+        F.least(F.min(rank("v")), F.first(rank("u"))).alias("m")), "nearest")
     beside = both.join(near.select(F.col("u").alias("v"), "m"), "v")
     far = beside.unionByName(near.select(F.lit(None).cast("long").alias("v"), "u", "m"))
     step = written(far.groupBy("u").agg(F.min("m").alias("m")).select(
