@@ -16,9 +16,9 @@ aggregated before the shuffle, and its rows meet one row per anchor in a join th
 execution can split. Window and anchor hashes together make 128 bits.
 
 Defined results. Order is by id, then start. Null or word-less text: no words, nothing removed.
-Null ids come after all others. Rows that share an id are the same document: of windows that
-start at the same place none is earlier, so both stay; repeated rows get equal results. Empty
-table: no rows. Other columns are not read.
+Null ids come after all others. Rows that share an id are the same document: each is judged
+against smaller ids and against itself, not against the others; repeated rows get equal
+results. Empty table: no rows. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -36,7 +36,9 @@ from .words import Spans, Words, cut, mix, signed, slices
 
 ANCHOR_WORDS = 6
 _LAST = (1 << 63) - 1
-_ANCHORS = "id long, sub long, h long, u long, lo int, hi int"
+#: place = lo * 2048 + (hi - lo) * 2 + (1 if the same document holds it before)
+_ANCHORS = "id long, sub int, h long, u long, place long"
+_WINDOWS = "id long, sub int, h long, w long, place long"
 
 
 def _anchors(words: Words, window: int):
@@ -60,90 +62,106 @@ def _anchors(words: Words, window: int):
     hi = start[np.append(np.flatnonzero(new)[1:], len(start)) - 1]
     place = place[new]
     extent = spans.hash(lo, hi - lo + window)
-    extent = mix(extent ^ mix(((place - lo) * 64 + hi - lo).astype(np.uint64)))
+    extent = mix(extent ^ mix(((place - lo) * 4096 + hi - lo).astype(np.uint64)))
     return row[lo], signed(grams[place]), signed(extent), lo, hi
 
 
+def _again(*keys: np.ndarray) -> np.ndarray:
+    """Whether equal keys stand at an earlier position."""
+    order = np.lexsort(keys)
+    same = np.ones(max(len(order) - 1, 0), bool)
+    for key in keys:
+        same &= key[order[1:]] == key[order[:-1]]
+    out = np.zeros(len(order), np.int64)
+    out[order[1:][same]] = 1
+    return out
+
+
 def _find_anchors(window: int):
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             words = cut(batch.column("text"))
             row, h, u, lo, hi = _anchors(words, window)
-            base = words.first[row]
             taken = pa.array(row)
+            place = (lo - words.first[row]) * 2048 + (hi - lo) * 2 + _again(u, h, row)
             yield pa.RecordBatch.from_arrays([
                 batch.column("id").take(taken), batch.column("sub").take(taken),
-                pa.array(h, pa.int64()), pa.array(u, pa.int64()),
-                pa.array((lo - base).astype(np.int32)), pa.array((hi - base).astype(np.int32))],
-                ["id", "sub", "h", "u", "lo", "hi"])
+                pa.array(h, pa.int64()), pa.array(u, pa.int64()), pa.array(place, pa.int64())],
+                ["id", "sub", "h", "u", "place"])
     return find
 
 
 def _extend(window: int):
-    """Windows (h, w, id, sub, lo) of the requested anchors of each text."""
+    """Windows (id, sub, h, w, place) of the requested anchors of each text."""
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             words = cut(batch.column("text"))
             asked = batch.column("asked")
             row = np.repeat(np.arange(batch.num_rows), np.diff(asked.offsets.to_numpy()))
             asked = asked.flatten()
-            h, lo, hi = (asked.field(i).to_numpy(zero_copy_only=False).astype(np.int64)
-                         for i in range(3))
-            many = hi - lo + 1
+            h, place = (asked.field(i).to_numpy(zero_copy_only=False) for i in range(2))
+            lo, many = place >> 11, (place >> 1 & 1023) + 1
             each = np.repeat(np.arange(len(lo)), many)
             start = lo[each] + np.arange(len(each)) - np.repeat(np.cumsum(many) - many, many)
-            w = Spans(words.hash).hash(start + words.first[row[each]], window)
+            w = signed(Spans(words.hash).hash(start + words.first[row[each]], window))
+            order = np.argsort(start, kind="stable")   # so that _again means an earlier start
+            each, start, w = each[order], start[order], w[order]
             taken = pa.array(row[each])
             yield pa.RecordBatch.from_arrays([
-                pa.array(h[each]), pa.array(signed(w)), batch.column("id").take(taken),
-                batch.column("sub").take(taken), pa.array(start.astype(np.int32))],
-                ["h", "w", "id", "sub", "lo"])
+                batch.column("id").take(taken), batch.column("sub").take(taken),
+                pa.array(h[each]), pa.array(w),
+                pa.array(start * 2048 + _again(w, h[each], row[each]))],
+                ["id", "sub", "h", "w", "place"])
     return extend
 
 
-def _at() -> F.Column:
-    """Place in the corpus: id and word, as one number."""
-    return (F.col("id").cast("decimal(20,0)") * F.lit(1 << 32).cast("decimal(11,0)")
-            + F.col("lo")).cast("decimal(38,0)")
+def _is_again():
+    return F.col("place") % 2 == 1
+
+
+def _span(window: int) -> list:
+    lo = F.shiftright("place", 11)
+    more = F.shiftright("place", 1) % 1024
+    return [lo.cast("int").alias("start"), (lo + more + window).cast("int").alias("end")]
 
 
 def repeated_spans(docs: DataFrame, window: int = 20, id_col: str = "doc_id",
                    text_col: str = "text") -> DataFrame:
     """(id, sub, text, spans) for every row: spans are the [start, end) word ranges covered by
     windows whose words also start earlier in the corpus; sub tells texts of one id apart."""
+    if not ANCHOR_WORDS < window < 1000:
+        raise ValueError(f"the window must lie between {ANCHOR_WORDS} and 1000 words")
     source = docs.select(F.coalesce(as_long(id_col), F.lit(_LAST)).alias("id"),
                          F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
                          as_long(id_col).isNull().alias("no_id"))
-    source = source.select("id", F.xxhash64("text").alias("sub"), "text", "no_id")
+    source = source.select("id", F.hash("text").alias("sub"), "text", "no_id")
     anchors = source.select("id", "sub", "text").mapInArrow(_find_anchors(window), _ANCHORS)
 
     shared = written(
-        anchors.withColumn("at", _at()).groupBy("h").agg(
+        anchors.groupBy("h").agg(
             F.count("*").alias("n"), F.min("u").alias("u0"), F.max("u").alias("u1"),
-            F.min("at").alias("first")).where("n > 1").select(
+            F.min("id").alias("first")).where("n > 1").select(
             "h", "first", (F.col("u0") == F.col("u1")).alias("alike")), "shared-anchors")
-    seeds = written(anchors.join(shared, "h").withColumn("at", _at()).where(
-        "not alike or at > first"), "seeds")
-    mixed = seeds.where("not alike")
-    firsts = written(mixed.groupBy("h", "u").agg(F.min("at").alias("first_like")), "extents")
+    seeds = written(anchors.join(shared, "h").where(
+        ~F.col("alike") | (F.col("id") > F.col("first")) | _is_again()), "seeds")
+    mixed = seeds.where("not alike").drop("first")
+    firsts = written(mixed.groupBy("h", "u").agg(F.min("id").alias("first")), "extents")
     placed = mixed.join(firsts, ["h", "u"])
-    span = [F.col("lo").alias("start"), (F.col("hi") + window).alias("end")]
-    sure = seeds.where("alike").select("id", "sub", *span).unionByName(
-        placed.where("at > first_like").select("id", "sub", *span))
+    later = (F.col("id") > F.col("first")) | _is_again()
+    sure = seeds.where("alike").select("id", "sub", *_span(window)).unionByName(
+        placed.where(later).select("id", "sub", *_span(window)))
     sure = written(sure.distinct(), "repeats")
     asked = written(
-        placed.where("at = first_like").select("id", "sub", "h", "lo", "hi").distinct()
-        .groupBy("id", "sub").agg(F.collect_list(F.struct("h", "lo", "hi")).alias("asked")),
-        "asked")
+        placed.where(~later).select("id", "sub", "h", "place").distinct()
+        .groupBy("id", "sub").agg(F.collect_list(F.struct("h", "place")).alias("asked")), "asked")
 
     texts = source.select("id", "sub", "text")
-    windows = texts.join(asked, ["id", "sub"]).mapInArrow(
-        _extend(window), "h long, w long, id long, sub long, lo int").withColumn("at", _at())
-    earliest = windows.groupBy("h", "w").agg(F.min("at").alias("first"), F.max("at").alias("last"))
-    repeated = windows.join(earliest.where("first < last").select("h", "w", "first"),
-                            ["h", "w"]).where("at > first")
-    found = sure.unionByName(repeated.select(
-        "id", "sub", F.col("lo").alias("start"), (F.col("lo") + window).alias("end")))
+    windows = texts.join(asked, ["id", "sub"]).mapInArrow(_extend(window), _WINDOWS)
+    earliest = windows.groupBy("h", "w").agg(
+        F.min("id").alias("first"), F.max("id").alias("last"), F.max(F.col("place") % 2).alias("twice"))
+    repeated = windows.join(earliest.where("first < last or twice = 1").select("h", "w", "first"),
+                            ["h", "w"]).where(later)
+    found = sure.unionByName(repeated.select("id", "sub", *_span(window)))
     spans = found.groupBy("id", "sub").agg(
         F.collect_set(F.struct("start", "end")).alias("spans"))
     return source.join(spans, ["id", "sub"], "left")
