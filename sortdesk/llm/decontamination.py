@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .store import free_name, written
+from .store import free_name, small_batches, written
 from .words import LETTERS_DIGITS, cut, mix, slices
 
 #: Words are runs of 0-9, a-z and characters from U+0080 on, A-Z as a-z.
@@ -238,6 +238,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, text_col:
     A window is `window` consecutive words of an item, or a whole shorter item. spans are
     [start, end) in words, joined where they meet; items are the ids, in order.
     """
+    small_batches(docs)
     result = free_name(docs, result)
     kind = T.StructType.fromDDL("n_words bigint, n_hit bigint, "
                                 "spans array<struct<start:bigint,end:bigint>>, items array<string>")

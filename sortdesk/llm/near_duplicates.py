@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import roots
-from .store import as_long, written
+from .store import as_long, small_batches, written
 from .words import cut, mix, shingle_sets, signed, slices
 
 COORDINATES = 128
@@ -153,6 +153,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shingles of `shingle` words. Documents are linked from `percent` similarity on; the
     component is named by its least id, and that document is kept.
     """
+    small_batches(docs)
     source = docs.select(as_long(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     signed_rows = written(source.mapInArrow(
         _signer(shingle), "id long, n long, k1 long, k2 long, bands array<long>"), "signatures")

@@ -34,13 +34,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .store import free_name
+from .store import free_name, small_batches
 
 SPACE = "▁"
 LETTER = r"[^\W\d_]"
-#: Parts and pairs remembered by one worker; beyond it the memory starts anew.
-REMEMBERED = 250_000
-_PAIRS = 300_000
+#: Parts remembered by one worker, about 45 MB. When they are too many, the first ones stay:
+#: parts that are met early are the frequent ones.
+REMEMBERED, FREQUENT = 200_000, 60_000
+_PAIRS = 150_000
 
 
 class Pieces:
@@ -65,28 +66,28 @@ class Pieces:
             raise ValueError("every character of a piece must be a piece, every byte a byte piece")
         if model.normalize("  ﬁ x ") != f"{SPACE}{SPACE}{SPACE}ﬁ{SPACE}x{SPACE}":
             raise ValueError("only models without normalisation, with a leading space, are read")
-        if any("\n" in t for t in self.ids):
-            raise ValueError("line breaks must be byte pieces")
+        if any("\n" in t for t in self.ids) or n > 1 << 16:
+            raise ValueError("line breaks must be byte pieces, ids must fit 16 bits")
         after = {m for t in self.ids for m in re.findall(f"{LETTER}([!-/:-@\\[-`{{-~])", t)}
         safe = "".join(re.escape(c) for c in string.punctuation if c not in after)
-        self.parts = re.compile(f"{SPACE}*{LETTER}+(?=[{SPACE}\n{safe}]|$)|{SPACE}+[^{SPACE}\n]*"
-                                f"|[^{SPACE}\n]+|\n+")
+        self.parts = re.compile(f" *{LETTER}+(?=[ \n{safe}]|$)| +[^ \n]*|[^ \n]+|\n+")
         raw = {i: t.replace(SPACE, " ").encode() for t, i in self.ids.items()}
         raw.update({i: bytes([b]) for b, i in self.bytes.items()})
         raw = [raw.get(i, b"") for i in range(n)]
         self._size = np.array([len(r) for r in raw], np.int64)
         self._from = np.cumsum(self._size) - self._size
         self._raw = np.frombuffer(b"".join(raw), np.uint8)
-        self.found = ahocorasick.Automaton()
-        for t in self.ids:
-            self.found.add_word(t, len(t))
+        self.texts = texts
+        self.found, self.longest = ahocorasick.Automaton(), ahocorasick.Automaton()
+        for t, i in self.ids.items():
+            if len(t) == 1 or self.merge(t) == [t]:   # else the piece is never a merge result
+                self.found.add_word(t, (len(t), i))
+                self.longest.add_word(t, i)
         self.found.make_automaton()
-        self.longest = ahocorasick.Automaton()
-        for t in self.ids:
-            self.longest.add_word(t, t)
         self.longest.make_automaton()
-        self._pairs: dict[tuple[str, str], bool] = {}
-        self._whole: dict[str, bool] = {}
+        known = "".join(re.escape(t) for t in self.ids if len(t) == 1)
+        self.unknown = re.compile(f"[^{known}]")
+        self._pairs: dict[int, bool] = {}   # left << 16 | right
         self._memory = _Memory(self)
 
     def merge(self, text: str) -> list[str]:
@@ -103,73 +104,72 @@ class Pieces:
             parts[at:at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def reachable(self, piece: str) -> bool:
-        """Whether merging the piece's own characters gives the piece."""
-        ok = self._whole.get(piece)
-        if ok is None:
-            ok = self._whole[piece] = len(piece) == 1 or self.merge(piece) == [piece]
-        return ok
-
-    def compatible(self, left: str, right: str) -> bool:
+    def compatible(self, left: int, right: int) -> bool:
         """Whether merging the joined text anew gives these two pieces."""
-        ok = self._pairs.get((left, right))
+        ok = self._pairs.get(left << 16 | right)
         if ok is None:
             if len(self._pairs) >= _PAIRS:
                 self._pairs.clear()
-            ok = self._pairs[left, right] = self.merge(left + right) == [left, right]
+            pair = [self.texts[left], self.texts[right]]
+            ok = self._pairs[left << 16 | right] = self.merge("".join(pair)) == pair
         return ok
 
-    def split(self, run: str) -> list[str]:
-        """Pieces of a run of known characters."""
+    def split(self, run: str) -> list[int]:
+        """Ids of the pieces of a run of known characters."""
         out = [piece for _, piece in self.longest.iter_long(run)]
-        if all(map(self.reachable, out)) and all(map(self.compatible, out, out[1:])):
-            return out  # the walk below would not step back
-        return self._walk(run)
-
-    def _walk(self, run: str) -> list[str]:
-        ends: list[list[int]] = [[] for _ in run]
-        for last, size in self.found.iter(run):
-            ends[last + 1 - size].append(size)
-        for sizes in ends:
-            sizes.sort(reverse=True)
-        out: list[str] = []
-        tried = [0]
-        at, failed = 0, 0
+        known = self._pairs
+        for i in range(1, len(out)):
+            ok = known.get(out[i - 1] << 16 | out[i])
+            if not (self.compatible(out[i - 1], out[i]) if ok is None else ok):
+                return self._walk(run, out[:i])
+        return out
+
+    def _walk(self, run: str, out: list[int]) -> list[int]:
+        """Go on after the longest pieces `out`, whose next longest piece does not fit."""
+        fits: list[list[tuple[int, int]]] = [[] for _ in run]   # (size, piece) from each place, rising
+        for last, piece in self.found.iter(run):
+            fits[last + 1 - piece[0]].append(piece)
+        left, at = [], 0    # left: how many pieces of each place are untried
+        for piece in out:
+            left.append(len(fits[at]) - 1)
+            at += len(self.texts[piece])
+        left.append(len(fits[at]) - 1)
+        failed, known = 0, self._pairs
         while at < len(run):
-            sizes, i = ends[at], tried[-1]
-            while i < len(sizes):
-                piece = run[at:at + sizes[i]]
-                i += 1
-                if (failed >> (at + len(piece))) & 1 or not self.reachable(piece):
+            i, here = left[-1], fits[at]
+            while i:
+                i -= 1
+                size, piece = here[i]
+                if failed >> (at + size) & 1:
                     continue
-                if not out or self.compatible(out[-1], piece):
-                    tried[-1] = i
-                    out.append(piece)
-                    tried.append(0)
-                    at += len(piece)
-                    break
+                if out:
+                    ok = known.get(out[-1] << 16 | piece)
+                    if not (self.compatible(out[-1], piece) if ok is None else ok):
+                        continue
+                left[-1] = i
+                out.append(piece)
+                at += size
+                left.append(len(fits[at]) if at < len(run) else 0)
+                break
             else:
                 if not out:
                     raise ValueError("no sequence of pieces fits")
                 failed |= 1 << at
-                tried.pop()
-                at -= len(out.pop())
+                left.pop()
+                at -= len(self.texts[out.pop()])
         return out
 
     def encode_word(self, word: str) -> list[int]:
-        """Ids of one word; characters outside the vocabulary become their bytes."""
-        ids: list[int] = []
-        at = 0
-        while at < len(word):
-            end = at
-            while end < len(word) and word[end] in self.ids:
-                end += 1
+        """Ids of one part; characters outside the vocabulary become their bytes."""
+        word = word.replace(" ", SPACE)
+        ids, at = [], 0
+        for other in [*self.unknown.finditer(word), None]:
+            end = other.start() if other else len(word)
             if end > at:
-                ids += [self.ids[p] for p in self.split(word[at:end])]
-            while end < len(word) and word[end] not in self.ids:
-                ids += [self.bytes[b] for b in word[end].encode()]
-                end += 1
-            at = end
+                ids += self.split(word[at:end])
+            if other:
+                ids += [self.bytes[b] for b in other[0].encode()]
+                at = other.end()
         return ids
 
     def encode(self, text: str | None) -> bytes:
@@ -177,7 +177,7 @@ class Pieces:
         begin, end = struct.pack("<I", self.bos), struct.pack("<I", self.eos)
         if not text:
             return begin + end
-        parts = self.parts.findall(SPACE + text.replace(" ", SPACE))
+        parts = self.parts.findall(" " + text.replace(SPACE, " "))
         return b"".join([begin, *map(self._memory.__getitem__, parts), end])
 
     def decode(self, ids: bytes) -> bytes:
@@ -196,7 +196,7 @@ class Pieces:
 
 
 class _Memory(dict):
-    """Ids of the parts met so far; starts anew when it is full."""
+    """Ids of the parts met so far; keeps the first ones when it is full."""
 
     def __init__(self, pieces: Pieces):
         super().__init__()
@@ -207,7 +207,8 @@ class _Memory(dict):
         packed = struct.pack(f"<{len(ids)}I", *ids)
         if len(part) <= 64:
             if len(self) >= REMEMBERED:
-                self.clear()
+                for old in list(self)[FREQUENT:]:
+                    del self[old]
             self[part] = packed
         return packed
 
@@ -235,6 +236,7 @@ def encode_pieces(docs: DataFrame, model_file: str, text_col: str = "text",
     model_file is read by each worker; it must be present on every executor. The result column
     is called `result`, with underscores added while docs has a column of that name.
     """
+    small_batches(docs)
     result = free_name(docs, result)
     kind = T.StructType([
         T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType())),

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import as_long, written
+from .store import as_long, small_batches, written
 from .words import Spans, Words, cut, mix, signed, slices
 
 ANCHOR_WORDS = 6
@@ -131,6 +131,7 @@ def repeated_spans(docs: DataFrame, window: int = 20, id_col: str = "doc_id",
     windows whose words also start earlier in the corpus; sub tells texts of one id apart."""
     if not ANCHOR_WORDS < window < 1000:
         raise ValueError(f"the window must lie between {ANCHOR_WORDS} and 1000 words")
+    small_batches(docs)
     source = docs.select(F.coalesce(as_long(id_col), F.lit(_LAST)).alias("id"),
                          F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
                          as_long(id_col).isNull().alias("no_id"))

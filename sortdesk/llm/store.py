@@ -36,6 +36,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(df: DataFrame, rows: int = 1000) -> None:
+    """Let the session hand `rows` rows at a time to Python: texts may be long, and a batch is
+    held by the JVM and by the worker at once. A smaller setting of the session stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(name)) <= rows:
+        conf.set(name, str(rows))
+
+
 def free_name(df: DataFrame, wanted: str) -> str:
     """A column name that df does not have, whatever its own columns are called."""
     taken = {c.lower() for c in df.columns}

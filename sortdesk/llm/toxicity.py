@@ -29,8 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .store import as_long, free_name
-from .words import LETTERS_DIGITS, Words, cut, signed, slices, text_bytes
+from .store import as_long, free_name, small_batches
+from .words import LETTERS_DIGITS, Words, cut, give_back, signed, slices, text_bytes
 
 MAX_TRAINING = 10_000
 MAX_WORDS = 4096
@@ -232,12 +232,15 @@ def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                        targets.flatten().to_numpy().reshape(rows.num_rows, -1))
         plain = pickle.dumps([(m.words, m.weights, t) for m, t in zip(models, thresholds)])
         yield pa.RecordBatch.from_arrays([pa.array([plain])], ["chain"])
+        del batches, rows, words, dense, targets, h, row, models
+        give_back()
 
 
 def train(docs: DataFrame, labels: DataFrame, chain=CHAIN, id_col: str = "doc_id",
           text_col: str = "text", max_training: int = MAX_TRAINING
           ) -> tuple[list[Model], list[float]]:
     """(models, thresholds) fitted on at most max_training labelled documents; empty without any."""
+    small_batches(docs)
     ids = as_long(id_col)
     wanted = labels.select(ids.alias("id"), *[
         F.expr(target).cast("int").alias(f"t{i}") for i, (_, target) in enumerate(chain)]).dropna()
@@ -256,6 +259,7 @@ def score(docs: DataFrame, models: list[Model], thresholds: list[float], chain=C
           text_col: str = "text", result: str = "toxicity") -> DataFrame:
     """docs with a column <a probability for each category, rejected>; rejected: the last category
     reaches its threshold. If nothing was fitted, probabilities are 0 and nothing is rejected."""
+    small_batches(docs)
     result = free_name(docs, result)
     names = [name for name, _ in chain]
     kind = T.StructType([*[T.StructField(n, T.DoubleType()) for n in names],

@@ -6,6 +6,7 @@ here is per-row Python, and memory is bounded by the slice (or by one text, if i
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -14,8 +15,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 2 << 20
-HASH_BYTES = 1 << 20
+SLICE_BYTES = 1 << 20
+HASH_BYTES = 1 << 19
 LONG_WORD = 2048
 
 _U = np.uint64
@@ -87,6 +88,15 @@ def slices(batches: Iterator[pa.RecordBatch], text: str,
         for a, b in zip(cuts, cuts[1:]):
             if b > a:
                 yield batch.slice(a, b - a)
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system, as workers outlive their tasks and share an executor."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)   # where the C library has it
+    if trim is not None:
+        trim(0)
 
 
 def cut(texts: pa.Array, kind: np.ndarray = SPACED, lower: bool = False) -> Words:
