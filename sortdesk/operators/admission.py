@@ -124,9 +124,15 @@ def dedupe_ttl(df: DataFrame, key: str = "request_key", ts: str = "ts", order: s
         F.col("n") > fold_limit).select("k")
     has_hot = not hot.isEmpty()
     foldable = times.join(hot, "k", "left_anti") if has_hot else times
+    # No anchor reaches over a gap longer than the TTL, so runs between such gaps are folded
+    # one by one; the lists stay short, and the key's partition serves both steps.
+    by_key = Window.partitionBy("k").orderBy("t")
+    starts = F.coalesce(F.col("t") - F.lag("t").over(by_key) > ttl, F.lit(True)).cast("int")
+    foldable = foldable.withColumn("starts", starts).withColumn(
+        "run", F.sum("starts").over(by_key))
     anchors = (
-        foldable.groupBy("k").agg(F.sort_array(F.collect_list(F.struct("t", "id")))
-                                  .alias("times"))
+        foldable.groupBy("k", "run").agg(F.sort_array(F.collect_list(F.struct("t", "id")))
+                                         .alias("times"))
         .select("k", F.inline(_fold_anchors(ttl))))
     if has_hot:
         anchors = anchors.unionByName(
