@@ -230,6 +230,25 @@ def item_waves(items: DataFrame, id_col: str, text_col: str,
                wave < waves - 1)
 
 
+_SPAN = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
+_MARK = T.StructType([
+    T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()),
+    T.StructField("spans", T.ArrayType(_SPAN)), T.StructField("items", T.ArrayType(T.StringType()))])
+
+
+def _up_to_last_wave(docs: DataFrame, items: DataFrame, window: int, text_col: str, item_id: str,
+                     item_text: str, result: str) -> tuple[DataFrame, Finder, bool]:
+    """(docs, marked by all waves but the last; the last wave's finder; whether it is the only
+    one). Earlier waves are written, so that the driver, too, holds one wave at a time."""
+    small_batches(docs)
+    for i, (wave, more) in enumerate(item_waves(items, item_id, item_text, window)):
+        finder = Finder(wave, window)
+        if not more:
+            break
+        docs = written(_marked(docs, finder, text_col, result, i == 0), "wave")
+    return docs, finder, i == 0
+
+
 def contamination(docs: DataFrame, items: DataFrame, window: int = 10, text_col: str = "text",
                   item_id: str = "item_id", item_text: str = "text",
                   result: str = "contamination") -> DataFrame:
@@ -238,45 +257,44 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, text_col:
     A window is `window` consecutive words of an item, or a whole shorter item. spans are
     [start, end) in words, joined where they meet; items are the ids, in order.
     """
-    small_batches(docs)
     result = free_name(docs, result)
-    kind = T.StructType.fromDDL("n_words bigint, n_hit bigint, "
-                                "spans array<struct<start:bigint,end:bigint>>, items array<string>")
-    out = docs
-    for i, (wave, more) in enumerate(item_waves(items, item_id, item_text, window)):
-        schema = out.schema if i else T.StructType(
-            [*out.schema.fields, T.StructField(result, kind)])
-        out = out.mapInArrow(_marker(Finder(wave, window), text_col, result, i == 0), schema)
-        if more:   # so that the driver, too, holds one wave at a time
-            out = written(out, "wave")
-    return out
+    marked, finder, only = _up_to_last_wave(docs, items, window, text_col, item_id, item_text, result)
+    return _marked(marked, finder, text_col, result, only)
+
+
+def _found(finder: Finder, batch: pa.RecordBatch, text_col: str, old: pa.Array | None):
+    """(word counts, joined spans, item names) of each row, with those of earlier waves."""
+    words = cut(batch.column(text_col), LETTERS_DIGITS, lower=True)
+    spans: list[list] = [[] for _ in range(batch.num_rows)]
+    items: list[set] = [set() for _ in range(batch.num_rows)]
+    finder.hits(words, words.row, spans, items)
+    if old is not None:
+        for r, mark in enumerate(old.to_pylist()):
+            spans[r] += [(s["start"], s["end"]) for s in mark["spans"]]
+            items[r] |= set(mark["items"])
+    return words.counts, [merged(s) for s in spans], items
 
 
-def _marker(finder: Finder, text_col: str, result: str, first: bool):
+def _marked(docs: DataFrame, finder: Finder, text_col: str, result: str, first: bool) -> DataFrame:
+    names = [c for c in docs.columns if first or c != result]
+
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text_col):
-            n = batch.num_rows
-            words = cut(batch.column(text_col), LETTERS_DIGITS, lower=True)
-            spans: list[list] = [[] for _ in range(n)]
-            items: list[set] = [set() for _ in range(n)]
-            finder.hits(words, words.row, spans, items)
-            if not first:
-                for r, old in enumerate(batch.column(result).to_pylist()):
-                    spans[r] += [(s["start"], s["end"]) for s in old["spans"]]
-                    items[r] |= set(old["items"])
-            spans = [merged(s) for s in spans]
+            old = None if first else batch.column(result)
+            counts, spans, items = _found(finder, batch, text_col, old)
             column = pa.array([{
                 "n_words": int(c), "n_hit": sum(b - a for a, b in s),
-                "spans": [{"start": a, "end": b} for a, b in s], "items": sorted(names)}
-                for c, s, names in zip(words.counts, spans, items)],
+                "spans": [{"start": a, "end": b} for a, b in s], "items": sorted(found)}
+                for c, s, found in zip(counts, spans, items)],
                 pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()),
                            ("spans", pa.list_(pa.struct([("start", pa.int64()),
                                                          ("end", pa.int64())]))),
                            ("items", pa.list_(pa.string()))]))
-            columns = batch.columns[:-1] if not first else batch.columns
             yield pa.RecordBatch.from_arrays(
-                [*columns, column], [*batch.schema.names[:len(columns)], result])
-    return mark
+                [*[batch.column(i) for i in range(len(names))], column], [*names, result])
+
+    fields = [docs.schema[c] for c in names]
+    return docs.mapInArrow(mark, T.StructType([*fields, T.StructField(result, _MARK)]))
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, max_share: float = 0.8,
@@ -288,23 +306,23 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, max_share
     A removed span runs from its first word's first to its last word's last byte. Windows are
     judged on the text as it came in, not on words that meet where a span was cut out.
     """
-    found = contamination(docs, items, window, text_col, item_id, item_text)
-    names = docs.columns
-    at = names.index(text_col)
+    names, schema = docs.columns, docs.schema
+    at, result = names.index(text_col), free_name(docs, "contamination")
+    marked, finder, only = _up_to_last_wave(docs, items, window, text_col, item_id, item_text, result)
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            marks = batch.column(len(names)).to_pylist()
-            share = np.array([m["n_hit"] / max(m["n_words"], 1) for m in marks])
-            texts = [t if not m["spans"] else without(t, [(s["start"], s["end"])
-                                                          for s in m["spans"]])
-                     for t, m in zip(batch.column(at).to_pylist(), marks)]
-            columns = list(batch.columns[:-1])
+        for batch in slices(batches, text_col):
+            old = None if only else batch.column(result)
+            counts, spans, _ = _found(finder, batch, text_col, old)
+            hit = np.array([sum(b - a for a, b in s) for s in spans])
+            texts = [without(t, s) if s else t
+                     for t, s in zip(batch.column(at).to_pylist(), spans)]
+            columns = [batch.column(i) for i in range(len(names))]
             columns[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(columns, names).filter(
-                pa.array(share <= max_share))
+                pa.array(hit <= max_share * counts))
 
-    return found.mapInArrow(strip, docs.schema)
+    return marked.mapInArrow(strip, schema)
 
 
 _LOWER = str.maketrans({c: c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"})
