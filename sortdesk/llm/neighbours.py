@@ -11,6 +11,10 @@ visit them. A block of vectors meets a block of queries as one matrix product in
 only the best k of each query leave it: no candidate pairs are built, a bucket that holds a third
 of all vectors is spread over many tasks, and no bucket is cut short.
 
+Equal vectors take part as one row with their k + 1 least ids, more than any query can use. The
+matrix product only sorts out: all vectors within MARGIN of a query's k-th score stay, and the
+cosine that ranks them is summed in one order for every pair.
+
 Width, tables and probes are parameters; recall on the test vectors, whose neighbours hardly
 stand out, is in the README. The directions come from a seed, so results do not change.
 
@@ -34,6 +38,8 @@ from .store import as_long, written
 
 TABLES, HASHES, WIDTH, PROBES = 6, 4, 1.5, 16
 BLOCK_VECTORS, BLOCK_QUERIES = 512, 256
+#: Far above the rounding of a matrix product.
+MARGIN = 1e-9
 
 
 class Hashing:
@@ -89,6 +95,14 @@ def usable_vectors(vectors: DataFrame, id_col: str, vector_col: str) -> DataFram
     return good.groupBy("id").agg(F.min("vector").alias("vector"))
 
 
+def distinct_vectors(base: DataFrame, n: int) -> DataFrame:
+    """(id, vector, ids): equal vectors once, with their n least ids, id the least."""
+    least = F.row_number().over(Window.partitionBy("vector").orderBy("id"))
+    few = base.withColumn("r", least).where(F.col("r") <= n)
+    return few.groupBy("vector").agg(F.array_sort(F.collect_list("id")).alias("ids")).select(
+        F.col("ids")[0].alias("id"), "vector", "ids")
+
+
 def _index(hashing: Hashing):
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -115,23 +129,20 @@ def _flat(batch: pa.RecordBatch, keys: np.ndarray) -> pa.RecordBatch:
 
 
 def _best(k: int):
-    """Best k of each query block and vector block."""
+    """Vectors of each query block and vector block that can be among a query's best k."""
     def best(left: pa.Table, right: pa.Table) -> pa.Table:
         out = [pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()),
                          "score": pa.array([], pa.float64())})]
         if left.num_rows and right.num_rows:
             x, q = (_matrix(t.column("vector").combine_chunks()) for t in (left, right))
             ids, qids = (t.column("id").to_numpy() for t in (left, right))
-            order = np.argsort(ids, kind="stable")
-            ids, x = ids[order], x[order]
+            alone = left.column("alone").to_numpy()
             score = (q @ x.T) / (np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(x, axis=1))
-            score[qids[:, None] == ids[None, :]] = -np.inf
-            n = min(k + 3, len(ids))     # a few more than k: the last digit is settled later
-            top = np.argsort(-score, axis=1, kind="stable")[:, :n]
-            s = np.take_along_axis(score, top, axis=1)
-            row, at = np.nonzero(np.isfinite(s))
-            out.append(pa.table({"query_id": qids[row], "vec_id": ids[top[row, at]],
-                                 "score": s[row, at]}))
+            score[(qids[:, None] == ids[None, :]) & alone] = -np.inf
+            n = min(k, len(ids))
+            kth = -np.partition(-score, n - 1, axis=1)[:, n - 1:n]
+            row, at = np.nonzero((score >= kth - MARGIN) & np.isfinite(score))
+            out.append(pa.table({"query_id": qids[row], "vec_id": ids[at], "score": score[row, at]}))
         return pa.concat_tables(out)
     return best
 
@@ -149,7 +160,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "v
     dimension = common["d"] if common else 1
     base, asked = (df.where(F.size("vector") == dimension) for df in (base, asked))
     hashing = Hashing(dimension, tables, hashes, width, probes, seed)
-    base, asked = written(base, "vectors"), written(asked, "queries")
+    base = written(distinct_vectors(base, k + 1), "vectors")
+    asked = written(asked, "queries")
 
     rows = base.mapInArrow(_index(hashing), "id long, bucket long")
     visits = asked.mapInArrow(_visits(hashing), "id long, bucket long")
@@ -162,22 +174,28 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "v
     right = visits.join(load, "bucket").withColumn("q", F.pmod(F.xxhash64("id"), "qb")).withColumn(
         "v", F.explode(F.expr("sequence(0L, vb - 1)")))
     side = ["bucket", "v", "q"]
-    left, right = (x.select(*side, "id").join(y, "id").select(*side, "id", "vector")
-                   for x, y in ((left, base), (right, asked)))
+    left = left.select(*side, "id").join(base, "id").select(
+        *side, "id", "vector", (F.size("ids") == 1).alias("alone"))
+    right = right.select(*side, "id").join(asked, "id").select(*side, "id", "vector")
     found = left.groupBy(*side).cogroup(right.groupBy(*side)).applyInArrow(
         _best(k), "query_id long, vec_id long, score double")
 
-    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("rough"))
-    near = found.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(
-        F.desc("rough"), "vec_id"))).where(F.col("r") <= k + 3)
+    found = written(found.groupBy("query_id", "vec_id").agg(F.max("score").alias("rough")), "found")
+    best = Window.partitionBy("query_id").orderBy(F.desc("rough"), "vec_id")
+    kth = found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).groupBy(
+        "query_id").agg(F.count("*").alias("n"), F.min("rough").alias("kth"))
+    near = found.join(kth, "query_id").where(
+        (F.col("n") < k) | (F.col("rough") >= F.col("kth") - MARGIN))
     # the contract's measure, summed in one order for every pair
     pairs = near.join(asked.select(F.col("id").alias("query_id"), F.col("vector").alias("x")),
-                      "query_id").join(base.select(F.col("id").alias("vec_id"),
+                      "query_id").join(base.select(F.col("id").alias("vec_id"), "ids",
                                                    F.col("vector").alias("y")), "vec_id")
-    pairs = pairs.select("query_id", "vec_id", F.expr("""
+    pairs = pairs.select("query_id", "ids", F.expr("""
         aggregate(zip_with(x, y, (a, b) -> a * b), 0d, (s, v) -> s + v)
         / (sqrt(aggregate(x, 0d, (s, v) -> s + v * v)) * sqrt(aggregate(y, 0d, (s, v) -> s + v * v)))
         """).alias("score"))
+    pairs = pairs.select("query_id", F.explode("ids").alias("vec_id"), "score").where(
+        "query_id <> vec_id")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return pairs.withColumn("rank", rank).where(F.col("rank") <= k).select(
         "query_id", "rank", "vec_id", "score")

@@ -160,6 +160,41 @@ def test_hot_buckets_are_cut_into_blocks_without_loss(spark, monkeypatch):
         assert by[q] == [i for _, i in sorted((-cosine(rows[q][1], v), i) for i, v in rows if i != q)[:4]]
 
 
+def test_ties_of_thousands_of_equal_vectors_go_to_the_least_ids(spark):
+    """Over blocks of many shapes, which round the same product differently."""
+    rng = np.random.default_rng(4)
+    base = rng.standard_normal(64).tolist()
+    schema = "vec_id long, embedding array<double>"
+    vectors = spark.createDataFrame([(i, base) for i in range(5000)], schema)
+    asked = spark.createDataFrame(
+        [(i, base) for i in (0, 3, 4999)]
+        + [(10_000 + i, rng.standard_normal(64).tolist()) for i in range(600)], schema)
+    by = defaultdict(list)
+    for r in neighbours.nearest(vectors, asked, k=5, hashes=1).orderBy("query_id", "rank").collect():
+        by[r.query_id].append(r.vec_id)
+    assert len(by) > 500
+    for q, found in by.items():
+        assert found == [i for i in range(6) if i != q][:5]
+
+
+def test_equal_directions_of_many_lengths_are_ranked_by_the_exact_score(spark):
+    rng = np.random.default_rng(6)
+    base = rng.standard_normal(64)
+    rows = [(i, (base * rng.uniform(0.1, 9)).tolist()) for i in range(1500)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = neighbours.nearest(vectors, vectors.where("vec_id % 100 = 0"), k=5)
+    by = defaultdict(list)
+    for r in got.orderBy("query_id", "rank").collect():
+        by[r.query_id].append((r.vec_id, r.score))
+    x = vectors.where("vec_id % 100 = 0").alias("q").join(vectors.alias("v"), F.expr(
+        "q.vec_id <> v.vec_id")).selectExpr("q.vec_id as q", "v.vec_id as v", """
+        aggregate(zip_with(q.embedding, v.embedding, (a, b) -> a * b), 0d, (s, v) -> s + v)
+        / (sqrt(aggregate(q.embedding, 0d, (s, v) -> s + v * v))
+           * sqrt(aggregate(v.embedding, 0d, (s, v) -> s + v * v))) as score""").collect()
+    for q in range(0, 1500, 100):
+        assert by[q] == sorted(((r.v, r.score) for r in x if r.q == q), key=lambda p: (-p[1], p[0]))[:5]
+
+
 def test_vectors_that_take_no_part(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 0.0]), (4, None), (5, [nan, 1.0]),
