@@ -15,12 +15,14 @@ Equal vectors take part as one row with their k + 1 least ids, more than any que
 matrix product only sorts out: all vectors within MARGIN of a query's k-th score stay, and the
 cosine that ranks them is summed in one order for every pair.
 
+Queries that meet fewer than k candidates in their buckets meet all vectors, in the same blocks.
+
 Width, tables and probes are parameters; recall on the test vectors, whose neighbours hardly
 stand out, is in the README. The directions come from a seed, so results do not change.
 
 Defined results. Vectors that are null, of another dimension than most, zero, or hold null or
 non-finite numbers take no part. Rows with a null id are left out. Repeated ids: the first of
-equal ids by content is taken. Ties go to the smaller id. Fewer candidates than k: all of them.
+equal ids by content is taken. Ties go to the smaller id. Fewer other vectors than k: all of them.
 Empty tables: no rows. Other columns are not read.
 """
 
@@ -147,6 +149,27 @@ def _best(k: int):
     return best
 
 
+def _met(base: DataFrame, asked: DataFrame, rows: DataFrame, visits: DataFrame,
+         k: int) -> DataFrame:
+    """(query_id, vec_id, rough): vectors of the buckets that a query visits which can be among
+    its best k. rows and visits: (id, bucket)."""
+    load = rows.groupBy("bucket").agg(F.count("*").alias("n")).join(
+        visits.groupBy("bucket").agg(F.count("*").alias("q")), "bucket")
+    load = written(load.select("bucket", F.ceil(F.col("n") / BLOCK_VECTORS).alias("vb"),
+                               F.ceil(F.col("q") / BLOCK_QUERIES).alias("qb")), "buckets")
+    left = rows.join(load, "bucket").withColumn("v", F.pmod(F.xxhash64("id"), "vb")).withColumn(
+        "q", F.explode(F.expr("sequence(0L, qb - 1)")))
+    right = visits.join(load, "bucket").withColumn("q", F.pmod(F.xxhash64("id"), "qb")).withColumn(
+        "v", F.explode(F.expr("sequence(0L, vb - 1)")))
+    side = ["bucket", "v", "q"]
+    left = left.select(*side, "id").join(base, "id").select(
+        *side, "id", "vector", (F.size("ids") == 1).alias("alone"))
+    right = right.select(*side, "id").join(asked, "id").select(*side, "id", "vector")
+    found = left.groupBy(*side).cogroup(right.groupBy(*side)).applyInArrow(
+        _best(k), "query_id long, vec_id long, score double")
+    return written(found.groupBy("query_id", "vec_id").agg(F.max("score").alias("rough")), "found")
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id",
             vector_col: str = "embedding", tables: int = TABLES, hashes: int = HASHES,
             width: float = WIDTH, probes: int = PROBES, seed: int = 5) -> DataFrame:
@@ -163,24 +186,18 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "v
     base = written(distinct_vectors(base, k + 1), "vectors")
     asked = written(asked, "queries")
 
-    rows = base.mapInArrow(_index(hashing), "id long, bucket long")
-    visits = asked.mapInArrow(_visits(hashing), "id long, bucket long")
-    load = rows.groupBy("bucket").agg(F.count("*").alias("n")).join(
-        visits.groupBy("bucket").agg(F.count("*").alias("q")), "bucket")
-    load = written(load.select("bucket", F.ceil(F.col("n") / BLOCK_VECTORS).alias("vb"),
-                               F.ceil(F.col("q") / BLOCK_QUERIES).alias("qb")), "buckets")
-    left = rows.join(load, "bucket").withColumn("v", F.pmod(F.xxhash64("id"), "vb")).withColumn(
-        "q", F.explode(F.expr("sequence(0L, qb - 1)")))
-    right = visits.join(load, "bucket").withColumn("q", F.pmod(F.xxhash64("id"), "qb")).withColumn(
-        "v", F.explode(F.expr("sequence(0L, vb - 1)")))
-    side = ["bucket", "v", "q"]
-    left = left.select(*side, "id").join(base, "id").select(
-        *side, "id", "vector", (F.size("ids") == 1).alias("alone"))
-    right = right.select(*side, "id").join(asked, "id").select(*side, "id", "vector")
-    found = left.groupBy(*side).cogroup(right.groupBy(*side)).applyInArrow(
-        _best(k), "query_id long, vec_id long, score double")
+    found = _met(base, asked, base.mapInArrow(_index(hashing), "id long, bucket long"),
+                 asked.mapInArrow(_visits(hashing), "id long, bucket long"), k)
+    others = F.size(F.array_remove("ids", F.col("query_id")))
+    enough = found.join(base.select(F.col("id").alias("vec_id"), "ids"), "vec_id").groupBy(
+        "query_id").agg(F.sum(others).alias("n")).where(F.col("n") >= k)
+    short = written(asked.select("id").join(
+        enough.select(F.col("query_id").alias("id")), "id", "left_anti"), "short")
+    if not short.isEmpty():
+        everywhere = (x.select("id", F.lit(0).cast("long").alias("bucket")) for x in (base, short))
+        found = found.join(short.select(F.col("id").alias("query_id")), "query_id", "left_anti"
+                           ).unionByName(_met(base, asked, *everywhere, k))
 
-    found = written(found.groupBy("query_id", "vec_id").agg(F.max("score").alias("rough")), "found")
     best = Window.partitionBy("query_id").orderBy(F.desc("rough"), "vec_id")
     kth = found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).groupBy(
         "query_id").agg(F.count("*").alias("n"), F.min("rough").alias("kth"))

@@ -195,6 +195,26 @@ def test_equal_directions_of_many_lengths_are_ranked_by_the_exact_score(spark):
         assert by[q] == sorted(((r.v, r.score) for r in x if r.q == q), key=lambda p: (-p[1], p[0]))[:5]
 
 
+def test_queries_that_meet_too_few_candidates_get_all_there_are(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "BLOCK_VECTORS", 7)
+    rng = np.random.default_rng(8)
+    near = rng.standard_normal(16)
+    rows = [(i, (near + rng.standard_normal(16) * 0.01).tolist()) for i in range(40)]
+    rows += [(40, (-near).tolist()), (41, (-near).tolist())]
+    rows += [(i, rng.standard_normal(16).tolist()) for i in range(42, 50)]
+    few = [(i, x) for i, x in enumerate(np.vstack([np.eye(4), -np.eye(4)[:1]]).tolist())]
+    for table in (rows, few):
+        vectors = spark.createDataFrame(table, "vec_id long, embedding array<double>")
+        by = defaultdict(list)
+        for r in neighbours.nearest(vectors, vectors, k=5).orderBy("query_id", "rank").collect():
+            by[r.query_id].append((r.vec_id, r.score))
+        for q, x in table:
+            others = [(-cosine(x, v), i) for i, v in table if i != q]
+            assert len(by[q]) == min(5, len(others))
+            if q in (40, 41) or table is few:
+                assert [i for i, _ in by[q]] == [i for _, i in sorted(others)[:5]]
+
+
 def test_vectors_that_take_no_part(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 0.0]), (4, None), (5, [nan, 1.0]),
