@@ -9,7 +9,12 @@ paragraph whose best family stays below MIN_PROBABILITY is of unknown family. A
 counts only if the paragraph holds enough of the word triples of one of the family's notices.
 
 Paragraphs without any of the trigger words below have no licence feature and are unknown by
-definition; a substring search passes them over. Paragraphs are runs of text between line breaks.
+definition; a substring search passes them over.
+
+Paragraphs are runs of text between blank lines, read without comment marks and with their lines
+joined, so that a notice may be wrapped. The lines of a paragraph are candidates too. A notice
+counts once: a paragraph stands for its lines of no family if none of them has its family already,
+and a paragraph of no family gives way to its lines.
 
 Defined results. Null or empty texts: no paragraphs, no family. Rows that share an id are one
 document; null ids too. Repeated rows: found once more each. An empty table gives no rows.
@@ -21,7 +26,7 @@ from __future__ import annotations
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizer
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .store import written
@@ -97,6 +102,9 @@ OTHERS = [
 ]
 TRIGGERS = ("licen", "copyright", "permission", "redistribut", "spdx", "public domain",
             "subject to the terms", "free software")
+#: Comment marks at the start and at the end of a line.
+OPENING = r"(?m)^[ \t]*(?:/\*+|\*+/|\*+|//+!?|#+|;+|%+|<!--+|--+|>+|(?i:dnl|rem)\b)?[ \t]*"
+CLOSING = r"(?m)(?<![ \t*#-])[ \t]*+(?:\*++/?|--+>|#++)?+[ \t]*+$"
 WORD = r"[a-z0-9][a-z0-9.+-]*[a-z0-9]|[a-z0-9]"
 MIN_PROBABILITY, MIN_SHARE = 0.5, 0.6
 VARIANTS, HELD_OUT = 24, 4
@@ -198,22 +206,41 @@ def _template_share(family: Column, triples: Column, spark: SparkSession) -> Col
 
 def licence_paragraphs(docs: DataFrame, model: LicenceModel, id_col: str = "doc_id",
                        text_col: str = "text") -> DataFrame:
-    """(id, paragraph, text, family, probability, share): paragraphs with trigger words. family is
-    unknown where the model or the notices do not bear it out."""
+    """(id, paragraph, line, text, family, probability, share): paragraphs (line 0) and single
+    lines (from 1) with trigger words. family is unknown where the model or the notices do not
+    bear it out."""
     spark = docs.sparkSession
     triggers = "|".join(TRIGGERS)
+    wrapped = triggers.replace(" ", r"\W+(?:(?:dnl|rem)\W+)?")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("whole")).where(
-        F.col("whole").rlike(f"(?i){triggers}"))
-    parts = texts.select("id", F.posexplode(F.split("whole", r"[\r\n]+")).alias("paragraph", "text"))
+        F.col("whole").rlike(f"(?i){wrapped}")).withColumn("row", F.monotonically_increasing_id())
+    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(
+        "whole", r"\r\n?", "\n"), OPENING, ""), CLOSING, "")
+    parts = texts.select("id", "row", F.posexplode(F.split(bare, r"\n{2,}")).alias("paragraph", "text"))
+    lines = F.filter(F.split("text", r"\n"), lambda t: F.trim(t) != "")
+    joined = F.regexp_replace(F.array_join(lines, " "), r"\s+", " ")
+    several = F.concat(F.array(F.when(F.size(lines) > 1, joined)), lines)
+    parts = parts.select("id", "row", "paragraph", F.posexplode(several).alias("line", "text"))
     parts = parts.where(F.col("text").rlike(f"(?i){triggers}")).withColumn(
         "words", words_of(F.col("text"))).where("size(words) > 0")
     scored = model.probabilities(parts.withColumn("grams", grams(F.col("words"))))
     share = _template_share(F.col("best.family"), _runs(F.col("words"), 3), spark)
     scored = scored.withColumn("share", share)
-    sure = (F.col("best.p") >= MIN_PROBABILITY) & (F.col("share") >= MIN_SHARE)
-    return scored.select("id", "paragraph", "text",
-                         F.when(sure, F.col("best.family")).otherwise(UNKNOWN).alias("family"),
-                         F.round("best.p", 6).alias("probability"), F.round("share", 6).alias("share"))
+    sure = ((F.col("best.p") >= MIN_PROBABILITY) & (F.col("share") >= MIN_SHARE)
+            & (F.col("best.family") != UNKNOWN))
+    scored = scored.withColumn("found", F.when(sure, F.col("best.family")))
+
+    whole, one = F.col("line") == 0, Window.partitionBy("row", "paragraph")
+    scored = scored.withColumns({
+        "of_whole": F.max(F.when(whole, F.col("found"))).over(one),
+        "of_lines": F.collect_set(F.when(~whole, F.col("found"))).over(one),
+        "n_lines": F.count_if(~whole).over(one)})
+    stands = F.coalesce(~F.array_contains("of_lines", F.col("of_whole")), F.lit(False))
+    kept = F.when(whole, stands | (F.col("of_whole").isNull() & (F.col("n_lines") == 0))).otherwise(
+        F.col("found").isNotNull() | ~stands)
+    return scored.where(kept).select(
+        "id", "paragraph", "line", "text", F.coalesce("found", F.lit(UNKNOWN)).alias("family"),
+        F.round("best.p", 6).alias("probability"), F.round("share", 6).alias("share"))
 
 
 def document_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -391,6 +391,50 @@ def test_licence_families(spark, licence_model):
     assert {r.family for r in got.collect()} == {licences.UNKNOWN}
 
 
+WRAPPED = {
+    "MIT": """Copyright (c) 2020 A. Person
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice shall be included in all copies.""",
+    "GPL": """# tool.py: part of a tool
+#
+# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation, either version 3 of the License, or
+# (at your option) any later version.
+#
+import os""",
+    "BSD": """/*
+ * Copyright (c) 2001, The Authors
+ *
+ * Redistribution and use in source and binary forms, with or without
+ * modification, are permitted provided that the following conditions are met:
+ *
+ * 1. Redistributions of source code must retain the above copyright notice.
+ */""",
+    "MPL": """/* This Source Code Form is subject to the terms of the Mozilla Public
+ * License, v. 2.0. If a copy of the MPL was not distributed with this
+ * file, You can obtain one at http://mozilla.org/MPL/2.0/. */""",
+    "Unlicense": "// This is free and unencumbered software released into the public\r\n// domain.\r\n",
+}
+
+
+def test_wrapped_notices(spark, licence_model):
+    rows = [(i, WRAPPED[f]) for i, f in enumerate(WRAPPED)]
+    rows += [(i, t) for i, t in rows]      # each row counts
+    rows += [(9, "some prose\nReleased under the MIT License.\nLicensed under CC BY 4.0.\nmore prose")]
+    found = licences.licence_paragraphs(documents(spark, rows), licence_model).where(
+        F.col("family") != licences.UNKNOWN).groupBy("id", "family").count().collect()
+    assert {(r.id, r.family, r["count"]) for r in found} == {
+        (i, f, 2) for i, f in enumerate(WRAPPED)} | {(9, "MIT", 1), (9, "CC-BY", 1)}
+
+
 def test_licences_of_held_out_variants(spark, licence_model):
     """Accuracy on variants that the model was not fitted on."""
     held = licences.training_paragraphs(spark).where("held")
