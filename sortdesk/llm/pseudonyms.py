@@ -14,7 +14,8 @@ counted from 1930-01-01, so pseudonyms are calendar dates of the same layout), m
 letters stay letters, digits digits, the domain stays) and hexadecimal secrets of 32 to 64
 characters. What fails its check stays as it is.
 
-Defined results. Null text: null, no values. Values that touch letters or digits are not values.
+Defined results. Null text: null, no values. Values that touch letters or digits are not values,
+but for dates before T and a time.
 Repeated rows: equal results. Texts are taken whole. An empty table gives no rows. All columns
 are kept; added columns get underscores while the input has columns of their names.
 """
@@ -37,9 +38,12 @@ IPV4 = r"\d{1,3}(?:\.\d{1,3}){3}"
 DATE = r"\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4}"
 MAILBOX = r"[A-Za-z0-9](?:[A-Za-z0-9._%+-]{0,62}[A-Za-z0-9])?@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,24}"
 SECRET = r"[0-9a-f]{32,64}"
+#: A date may be followed by T and a time.
+_TIME = r"(?=T\d{2}(?::?\d{2}|Z?(?![A-Za-z0-9])))"
 VALUE = (rf"(?<![A-Za-z0-9+@._%-]){MAILBOX}(?![A-Za-z0-9@])"
-         rf"|(?<![A-Za-z0-9.+(-])(?:{DATE}|{IPV4}|{SSN}|{CARD}|{PHONE}|{SECRET})(?![A-Za-z0-9-]|[./]\d)"
-         rf"|(?<![A-Za-z0-9.(-])(?:{PHONE})(?![A-Za-z0-9-]|[./]\d)")
+         rf"|(?<![A-Za-z0-9.+-])(?:{DATE}){_TIME}"
+         rf"|(?<![A-Za-z0-9.+-])(?:{DATE}|{IPV4}|{SSN}|{CARD}|{PHONE}|{SECRET})(?![A-Za-z0-9-]|[./]\d)"
+         rf"|(?<![A-Za-z0-9.-])(?:{PHONE})(?![A-Za-z0-9-]|[./]\d)")
 
 
 def _keyed(key: str, parts: list[Column]) -> Column:

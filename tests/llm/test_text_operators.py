@@ -313,6 +313,25 @@ def test_pseudonyms_keep_format_and_link_equal_values(spark):
     assert other != new
 
 
+def test_pseudonyms_of_values_in_parentheses_and_of_iso_times(spark):
+    values = ["1980-01-02", "31/12/1999", "01.02.2003", "70.23.22.57", "123-45-6789", "4785380592391139",
+              "4785-3805-9239-1139", "+1 743 555 3824", "+1 (743) 555-3824", "(743) 555-3824",
+              "a.b-C9@mail5.example.com", "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"]
+    rows = [(i, f"see ({v}), or ( {v} )") for i, v in enumerate(values)]
+    times = ["2024-01-31T10:00", "2024-01-31T10:00:05Z", "(2024-01-31T10)", "2024-01-31T1000"]
+    rows += [(100 + i, t) for i, t in enumerate(times)]
+    kept = ["2024-01-31Tuesday", "(2024-01-31x)", "f(12345)", "x(1.2.3)"]
+    rows += [(200 + i, t) for i, t in enumerate(kept)]
+    got = {r.doc_id: r for r in pseudonyms.pseudonymise(documents(spark, rows, extra=False), "k").collect()}
+    for i, v in enumerate(values):
+        new = re.fullmatch(r"see \((.*)\), or \( (.*) \)", got[i].text)
+        assert got[i].pseudonyms.n_replaced == 2 and v not in got[i].text and new[1] == new[2]
+    for i, t in enumerate(times):
+        assert "2024-01-31" not in got[100 + i].text and got[100 + i].text.split("T")[1] == t.split("T")[1]
+    for i, t in enumerate(kept):
+        assert got[200 + i].text == t
+
+
 def test_pseudonyms_are_one_to_one(spark):
     days = spark.range(0, 36525, 7).select(F.expr(
         "cast(date_add(date'1930-01-01', cast(id as int)) as string)").alias("v"))
