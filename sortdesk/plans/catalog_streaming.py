@@ -33,19 +33,26 @@ def _stream(spark, sf, name):
     return spark.readStream.schema(schema).parquet(f"{sf}/{name}*.parquet")
 
 
-def _stream_of_batches(spark, sf, name, order, folder):
-    """The table as a stream of several micro-batches that follow each other in order."""
-    rows = views.table(spark, sf, name)
+def _parts(rows, order):
+    """BATCHES parts of the rows that follow each other in order; rows without it come first."""
     shares = ", ".join(str(i / BATCHES) for i in range(1, BATCHES))
-    cuts = rows.selectExpr(f"percentile_approx({order}, array({shares}), 1000)").first()[0]
+    cuts = rows.selectExpr(f"percentile_approx({order}, array({shares}), 1000)").first()[0] or []
     o = F.col(order)
     for low, high in zip([None, *cuts], [*cuts, None]):
-        # one after the other: the source takes files by age
-        part = rows.where((F.lit(low is None) | (o > F.lit(low)))
-                          & (F.lit(high is None) | (o <= F.lit(high))))
-        part.coalesce(1).write.mode("append").parquet(f"{folder}/in")
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(
-        f"{folder}/in")
+        above = F.lit(True) if low is None else o > F.lit(low)
+        upto = F.lit(True) if high is None else o <= F.lit(high)
+        yield rows.where(F.coalesce(above & upto, F.lit(low is None)))
+
+
+def _in_batches(spark, sf, name, order, folder, job):
+    """Run the job that job(stream) gives over the table in several micro-batches that follow each
+    other in order: one run for each part, and a run takes all files that are new."""
+    rows = views.table(spark, sf, name)
+    rows.limit(0).write.parquet(f"{folder}/in")
+    stream = spark.readStream.schema(rows.schema).parquet(f"{folder}/in")
+    for part in _parts(rows, order):
+        part.write.mode("append").parquet(f"{folder}/in")
+        job(stream).start().awaitTermination()
 
 
 def _messages(spark, sf, documents=None):
@@ -67,10 +74,8 @@ def stream_triage_decisions(spark, sf):
 @register("stream_dedupe_ttl", CASES["dedupe_ttl"])
 def stream_dedupe_ttl(spark, sf):
     folder = _work_folder(spark)
-    events = _stream_of_batches(spark, sf, "events", "ts", folder)
-    requests = views.requests_from(events).drop("body")
-    jobs.dedupe_to_files(requests, f"{folder}/out", f"{folder}/state").start(
-        ).awaitTermination()
+    _in_batches(spark, sf, "events", "ts", folder, lambda events: jobs.dedupe_to_files(
+        views.requests_from(events).drop("body"), f"{folder}/out", f"{folder}/state"))
     return spark.read.parquet(f"{folder}/out/results").select(
         "event_id", "anchor_id", "duplicate")
 
@@ -79,11 +84,13 @@ def stream_dedupe_ttl(spark, sf):
 def stream_enqueued_cases(spark, sf):
     from .triage import triage
     folder = _work_folder(spark)
-    documents = _stream_of_batches(spark, sf, "documents", "doc_id", folder)
-    results = triage(_messages(spark, sf, documents), texts=False).select(
-        "doc_id", "message_id", "job_id", "received_at", "requires_human", "decision_reason")
-    jobs.enqueue_to_files(results, f"{folder}/out", f"{folder}/state",
-                          ("received_at", "doc_id")).start().awaitTermination()
+
+    def job(documents):
+        results = triage(_messages(spark, sf, documents), texts=False).select(
+            "doc_id", "message_id", "job_id", "received_at", "requires_human", "decision_reason")
+        return jobs.enqueue_to_files(results, f"{folder}/out", f"{folder}/state",
+                                     ("received_at", "doc_id"))
+    _in_batches(spark, sf, "documents", "doc_id", folder, job)
     return spark.read.parquet(f"{folder}/out").select("doc_id", "case_key", "decision_reason")
 
 
