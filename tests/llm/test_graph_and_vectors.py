@@ -81,6 +81,27 @@ def test_propagation_matches_a_plain_walk(spark):
         h: (trust.get(h, 0), distrust.get(h, 0)) for h in set(trust) | set(distrust)}
 
 
+def test_verdicts_of_settled_ranks(spark):
+    """A parent and 20 children: 12 rounds allow an unseeded child, settled ranks block it."""
+    hosts = [f"c{i}.farm.org" for i in range(20)]
+    pages = [(i, f"http://{h}/", "") for i, h in enumerate(hosts)] + [
+        (20, "http://farm.org/bad", ""), (21, "http://farm.org/", "")]
+    rules = [("allow", h, "/") for h in hosts[:10]] + [("block", "farm.org", "/bad")]
+    got = {r.page_id: r for r in url_graph.filter_urls(
+        spark.createDataFrame(pages, "page_id long, url string, html string"), rules,
+        settled=1e-6).collect()}
+    edges = {e: 1 for h in hosts for e in ((h, "farm.org"), ("farm.org", h))}
+    trust = spread(edges, {h: 1 for h in hosts[:10]}, rounds=400)
+    distrust = spread(edges, {"farm.org": 1}, rounds=400)
+    for i, h in enumerate([*hosts, "farm.org", "farm.org"]):
+        assert abs(got[i].trust - trust[h]) < 2e-6 * url_graph.SCALE
+        assert abs(got[i].distrust - distrust[h]) < 2e-6 * url_graph.SCALE
+        if got[i].rule is None:
+            assert got[i].verdict == ("block" if distrust[h] > trust[h] else "allow")
+    early = spread(edges, {"farm.org": 1})["c15.farm.org"], spread(edges, {h: 1 for h in hosts[:10]})["c15.farm.org"]
+    assert early[0] < early[1] and got[15].verdict == "block"
+
+
 def test_distrust_reaches_hosts_that_link_to_blocked_ones(spark):
     link = '<a href="http://bad.example.net/es/1">x</a><img src="//bad.example.net/i.png">'
     pages = spark.createDataFrame(
