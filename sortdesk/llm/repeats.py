@@ -37,8 +37,8 @@ from .words import Spans, Words, cut, mix, signed, slices
 ANCHOR_WORDS = 6
 _LAST = (1 << 63) - 1
 #: place = lo * 2048 + (hi - lo) * 2 + (1 if the same document holds it before)
-_ANCHORS = "id long, sub int, h long, u long, place long"
-_WINDOWS = "id long, sub int, h long, w long, place long"
+_ANCHORS = "id long, sub long, h long, u long, place long"
+_WINDOWS = "id long, sub long, h long, w long, place long"
 
 
 def _anchors(words: Words, window: int):
@@ -103,6 +103,8 @@ def _extend(window: int):
             lo, many = place >> 11, (place >> 1 & 1023) + 1
             each = np.repeat(np.arange(len(lo)), many)
             start = lo[each] + np.arange(len(each)) - np.repeat(np.cumsum(many) - many, many)
+            inside = start + window <= words.counts[row[each]]
+            each, start = each[inside], start[inside]
             w = signed(Spans(words.hash).hash(start + words.first[row[each]], window))
             order = np.argsort(start, kind="stable")   # so that _again means an earlier start
             each, start, w = each[order], start[order], w[order]
@@ -135,7 +137,9 @@ def repeated_spans(docs: DataFrame, window: int = 20, id_col: str = "doc_id",
     source = docs.select(F.coalesce(as_long(id_col), F.lit(_LAST)).alias("id"),
                          F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
                          as_long(id_col).isNull().alias("no_id"))
-    source = source.select("id", F.hash("text").alias("sub"), "text", "no_id")
+    # texts without id are told apart by this mark alone: 64 bits; others share few ids
+    mark = F.when(F.col("no_id"), F.xxhash64("text")).otherwise(F.hash("text").cast("long"))
+    source = source.select("id", mark.alias("sub"), "text", "no_id")
     anchors = source.select("id", "sub", "text").mapInArrow(_find_anchors(window), _ANCHORS)
 
     shared = written(
@@ -182,8 +186,8 @@ def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total, (a, b) = len(words), offsets[r:r + 2]
             if b > a:
                 edge = np.zeros(total + 1, np.int64)
-                np.add.at(edge, begin[a:b], 1)
-                np.add.at(edge, end[a:b], -1)
+                np.add.at(edge, np.minimum(begin[a:b], total), 1)
+                np.add.at(edge, np.minimum(end[a:b], total), -1)
                 words = [words[i] for i in np.flatnonzero(np.cumsum(edge[:-1]) == 0).tolist()]
             n_words.append(total)
             n_removed.append(total - len(words))

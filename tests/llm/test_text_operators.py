@@ -390,6 +390,20 @@ def test_chain_of_awkward_rows(spark):
     assert none.collect() == [(False, 0.0)]
 
 
+# repeats among texts without id
+
+def test_texts_without_id_and_with_equal_short_hashes_stay_apart(spark):
+    passage = " ".join(f"p{i}" for i in range(20))
+    texts = spark.range(400_000).select(F.expr(f"""if(id % 2 = 0, concat('{passage} u', id),
+        array_join(transform(sequence(0, 24), i -> concat('q', id, '_', i)), ' '))""").alias("text"))
+    pairs = texts.groupBy(F.hash("text")).agg(F.min("text").alias("a"), F.max("text").alias("b")).where(
+        "a like 'p0 %' and b like 'q%'").collect()
+    assert pairs
+    rows = [(1, passage)] + [(None, t) for r in pairs for t in (r.a, r.b)]
+    got = {r.kept for r in repeats.without_repeats(documents(spark, rows, extra=False)).collect()}
+    assert got == {passage} | {r.a.split()[-1] for r in pairs} | {r.b for r in pairs}
+
+
 # licences
 
 @pytest.fixture(scope="module")
