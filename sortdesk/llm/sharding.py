@@ -7,8 +7,9 @@ to the place that its rank in the bucket is sent to. Buckets follow each other,
 place deals records to shards in turn: shard = place mod shards, slot = place div shards. So any
 two shards differ by one row at most and slots have no gaps. Records move through one exchange.
 
-The permutations are written before use, so a task that runs again meets the same ones. The scan
-position is stable for tables read from files; shuffle other inputs into a table first.
+The records are written once with their scatter hash, and both passes read that table, so they
+agree on the buckets whatever becomes of an executor. The permutations are drawn bucket by bucket
+in a fixed number of partitions and written before use, so a task that runs again meets the same ones.
 
 Defined results. Null ids and texts are content like any other; an empty text counts one byte.
 Repeated rows are records of their own. An empty table gives no rows. All columns are kept; the
@@ -23,6 +24,8 @@ from pyspark.sql import functions as F
 from .store import free_name, written
 
 BUCKET_BYTES = 16 << 20
+#: Partitions that draw permutations, at most; fixed, since the draws depend on it.
+DRAWING = 256
 
 
 def text_bytes(text_col: str):
@@ -42,11 +45,15 @@ def shuffled_shards(docs: DataFrame, shards: int = 16, seed: int = 17, text_col:
     rows = docs.withColumn(scatter, F.xxhash64(
         F.lit(seed), id_col, text_col, F.monotonically_increasing_id()))
     rows = rows.withColumn(bucket, F.pmod(F.xxhash64(F.lit(seed), scatter), F.lit(buckets)))
+    rows = written(rows, "scattered")
 
     sizes = rows.groupBy(bucket).agg(F.count("*").alias("n"))
     before = Window.orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    moves = written(sizes.select(
-        bucket, F.coalesce(F.sum("n").over(before), F.lit(0)).alias(start),
+    starts = written(sizes.select(
+        bucket, "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias(start)), "starts")
+    dealt = starts.repartition(min(int(buckets), DRAWING), bucket).sortWithinPartitions(bucket)
+    moves = written(dealt.select(
+        bucket, start,
         F.shuffle(F.sequence(F.lit(0), (F.col("n") - 1).cast("int")), seed).alias(places)),
         "permutations")
 

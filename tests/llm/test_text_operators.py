@@ -268,6 +268,24 @@ def test_shards_are_stable_shuffled_and_written(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == docs.count()
 
 
+def test_both_passes_agree_when_the_scan_is_planned_anew(spark, tmp_path):
+    spark.range(3000).select(F.col("id").alias("doc_id"), F.format_string("text %d", "id").alias("text")
+                             ).repartition(6).write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = [spark.conf.get(n) for n in names]
+    got = sharding.shuffled_shards(docs, 4, bucket_bytes=4096)
+    try:
+        for n, v in zip(names, ("3k", "1")):
+            spark.conf.set(n, v)
+        out = got.select("doc_id", "shard", "slot").collect()
+    finally:
+        for n, v in zip(names, before):
+            spark.conf.set(n, v)
+    assert sorted(r.doc_id for r in out) == list(range(3000))
+    assert sorted((r.shard, r.slot) for r in out) == [(s, p) for s in range(4) for p in range(750)]
+
+
 def test_shards_of_awkward_rows(spark):
     assert sharding.shuffled_shards(documents(spark)).count() == len(ROWS)
     assert sharding.shuffled_shards(empty(spark)).count() == 0
