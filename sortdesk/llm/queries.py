@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import (decontamination, licences, near_duplicates, neighbours, pieces, pseudonyms,
-               repeats, sharding, toxicity, url_graph)
+from . import (decontamination, fingerprints, licences, near_duplicates, neighbours, pieces,
+               pseudonyms, repeats, sharding, toxicity, url_graph)
 from .store import table
 
 QUERIES: dict = {}
@@ -213,3 +213,8 @@ from doc_words left join hit using (doc_id) left join named using (doc_id)""")
 def op10(spark, sf):
     return decontamination.contamination_digest(
         table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@register("op13_generalised_pigeonhole")
+def op13(spark, sf):
+    return fingerprints.fingerprint_groups(table(spark, sf, "documents"), shingle=3, distance=3)
