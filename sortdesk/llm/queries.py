@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import (decontamination, fingerprints, licences, near_duplicates, neighbours, pieces,
-               pseudonyms, repeats, sharding, toxicity, url_graph)
+from . import (ball_tree, decontamination, fingerprints, licences, near_duplicates, neighbours,
+               pieces, pseudonyms, repeats, sharding, toxicity, url_graph, whitening)
 from .store import table
 
 QUERIES: dict = {}
@@ -47,14 +47,18 @@ def _rule_sql() -> str:
 
 
 _VERDICTS = " ".join(f"when '{h}{p}' then '{v}'" for v, h, p in url_graph.RULES)
-_ROUNDS = ",\n".join(f"""r{i + 1} as materialized (select kind, host, cast(sum(part) as hugeint) as rank from (
-  select e.kind, e.dst as host, (r.rank * e.n * 85) // (e.total * 100) as part
-  from r{i} r join flows e on e.kind = r.kind and e.src = r.host
-  union all select kind, host, (base * 15) // 100 from bases) group by all)""" for i in range(12))
+#: Of the mass, 0.85 ** 100 = 9e-8 is left unsettled.
+_ROUNDS = """ranks as (select 0 as i, kind, host, base as rank from bases
+  union all select i, kind, host, cast(sum(part) as hugeint) from (
+    select r.i + 1 as i, e.kind, e.dst as host, (r.rank * e.n * 85) // (e.total * 100) as part
+    from ranks r join flows e on e.kind = r.kind and e.src = r.host where r.i < 100
+    union all select r.i + 1, b.kind, b.host, (b.base * 15) // 100
+    from (select distinct i from ranks where i < 100) r cross join bases b)
+  group by all)"""
 
 
 @register("op1_link_graph", f"""
-with split as (select page_id, html, {_host_sql("url")} as host,
+with recursive split as (select page_id, html, {_host_sql("url")} as host,
     coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') as path from pages),
 judged as materialized (select *, {_rule_sql()} as rule from split),
 told as materialized (select *, case rule {_VERDICTS} end as told from judged),
@@ -81,16 +85,15 @@ masses as (select 'trust' as kind, host, trust as n from seeds where trust > 0
   union all select 'distrust', host, distrust from seeds where distrust > 0),
 bases as materialized (select kind, host, (cast(n as hugeint) * {url_graph.SCALE})
   // cast(sum(n) over (partition by kind) as hugeint) as base from masses),
-r0 as (select kind, host, base as rank from bases),
 {_ROUNDS},
 spread as (select host, coalesce(max(rank) filter (where kind = 'trust'), 0) as trust,
-  coalesce(max(rank) filter (where kind = 'distrust'), 0) as distrust from r12 group by host)
+  coalesce(max(rank) filter (where kind = 'distrust'), 0) as distrust
+  from ranks where i = 100 group by host)
 select page_id, host, path, rule, coalesce(told, case when coalesce(distrust, 0) > coalesce(trust, 0)
-    then 'block' else 'allow' end) as verdict,
-  cast(coalesce(trust, 0) as bigint) as trust, cast(coalesce(distrust, 0) as bigint) as distrust
+    then 'block' else 'allow' end) as verdict
 from told left join spread using (host)""")
 def op1(spark, sf):
-    return url_graph.filter_urls(table(spark, sf, "pages"))
+    return url_graph.filter_urls(table(spark, sf, "pages")).drop("trust", "distrust")
 
 
 @register("op2_classifier_chain")
@@ -215,6 +218,36 @@ def op10(spark, sf):
         table(spark, sf, "documents"), table(spark, sf, "benchmark"))
 
 
+@register("op11_ball_tree", f"""
+with doc_words as (
+  select doc_id, unnest(regexp_extract_all({_ASCII_LOWER.format("coalesce(text, '')")}, '{_LETTERS}')) as term
+  from documents),
+held as materialized (select doc_id, term, count(*) as tf from doc_words group by all),
+sizes as materialized (select doc_id, cast(sum(tf) as bigint) as n from held group by doc_id),
+totals as (select count(*) as documents, cast(sum(n) as bigint) as terms from sizes),
+lengths as (select doc_id, 25 + (75 * n * documents) // terms as m from sizes, totals),
+weights as (select term, cast(floor(1000 * ln((2 * documents + 2) / (2 * count(*) + 1))) as bigint) as w
+  from held, totals group by term, documents),
+asked as (select item_id, term, count(*) as c from (
+  select item_id, unnest(regexp_extract_all({_ASCII_LOWER.format("coalesce(text, '')")}, '{_LETTERS}')) as term
+  from benchmark) group by all),
+scores as (select item_id, doc_id,
+    cast(sum(c * w * ((1000000000 * tf) // (1000 * tf + 8 * m))) as bigint) as score
+  from asked join weights using (term) join held using (term) join lengths using (doc_id)
+  group by item_id, doc_id),
+ranked as (select item_id, doc_id, score,
+    cast(row_number() over (partition by item_id order by score desc, doc_id) as integer) as rank
+  from scores where score > 0)
+select item_id, rank, doc_id, score from ranked where rank <= 10""")
+def op11(spark, sf):
+    return ball_tree.rank_documents(table(spark, sf, "documents"), table(spark, sf, "benchmark"), k=10)
+
+
+@register("op12_spectrum_slicing")
+def op12(spark, sf):
+    return whitening.whiten(table(spark, sf, "embeddings"), components=4)
+
+
 @register("op13_generalised_pigeonhole")
 def op13(spark, sf):
     return fingerprints.fingerprint_groups(table(spark, sf, "documents"), shingle=3, distance=3)

@@ -28,7 +28,8 @@ from .store import written
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"),
          ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 SCALE = 10 ** 15
-MOST_ROUNDS = 200
+#: Share of the mass that four rounds may still move, and rounds after which it is an error.
+SETTLED, MOST_ROUNDS = 1e-6, 200
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -89,12 +90,12 @@ def _moved(before: DataFrame, rank: DataFrame) -> int:
 
 
 def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85,
-              rounds: int = 12, settled: float | None = None) -> DataFrame:
+              settled: float = SETTLED) -> DataFrame:
     """(host, trust, distrust): personalised PageRank of both kinds, in one run of joins.
 
-    seeds: (host, trust, distrust) page counts. Distrust takes every edge backwards. `rounds`
-    leaves at most damping ** rounds of the mass unsettled. With `settled`, rounds go on until
-    four of them move no more than that share of the mass of either kind, MOST_ROUNDS at most.
+    seeds: (host, trust, distrust) page counts. Distrust takes every edge backwards. Rounds go on
+    until four of them move no more than the share `settled` of the mass of either kind; a damping
+    with which MOST_ROUNDS do not settle them is an error.
     """
     keep = int(round(damping * 100))
     both = edges.withColumn("kind", F.lit("trust")).unionByName(edges.select(
@@ -111,18 +112,19 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85,
         f"cast(n * cast({SCALE} as decimal(20,0)) div all as bigint)").alias("base")), "host-seeds")
 
     rank = before = base.withColumnRenamed("base", "rank")
-    last = rounds if settled is None else MOST_ROUNDS
-    for i in range(last):
+    for i in range(MOST_ROUNDS):
         share = F.expr(f"cast(cast(rank as decimal(20,0)) * n * {keep} div (total * 100) as bigint)")
         moved = rank.withColumnRenamed("host", "src").join(both, ["kind", "src"]).select(
             "kind", F.col("dst").alias("host"), share.alias("part"))
         start = base.select("kind", "host", F.expr(f"base * {100 - keep} div 100").alias("part"))
         rank = moved.unionByName(start).groupBy("kind", "host").agg(F.sum("part").alias("rank"))
-        if i % 4 == 3 or i == last - 1:
+        if i % 4 == 3:
             rank = written(rank, "host-ranks")
-            if settled is not None and _moved(before, rank) <= settled * SCALE:
+            if _moved(before, rank) <= settled * SCALE:
                 break
             before = rank
+    else:
+        raise ArithmeticError(f"ranks still move after {MOST_ROUNDS} rounds")
     return rank.groupBy("host").agg(
         F.coalesce(F.max(F.expr("if(kind = 'trust', rank, null)")), F.lit(0)).alias("trust"),
         F.coalesce(F.max(F.expr("if(kind = 'distrust', rank, null)")), F.lit(0)).alias("distrust"))
@@ -130,9 +132,8 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85,
 
 def filter_urls(pages: DataFrame, rules=RULES, ratio: float = 1.0, id_col: str = "page_id",
                 url_col: str = "url", html_col: str = "html",
-                settled: float | None = None) -> DataFrame:
-    """(page_id, host, path, rule, verdict, trust, distrust) for every page. Without `settled`,
-    ranks are those of 12 rounds, which the check statement of the registered query fixes."""
+                settled: float = SETTLED) -> DataFrame:
+    """(page_id, host, path, rule, verdict, trust, distrust) for every page."""
     url = F.col(url_col).cast("string")
     judged = pages.select(
         F.col(id_col).alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"),
