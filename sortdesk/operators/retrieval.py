@@ -1,10 +1,16 @@
 """Passages for a message: cutting documents, lexical and vector top-k, rendering.
 
-Top-k is exact. A join on terms would put every question and passage that share a common
-word side by side, so scores are added up inside the tasks that read the passages, and only
-the k best of a question leave a batch of passages. Passages and vectors stay where they
-are: they are neither shuffled nor sent to the driver. The questions go to the tasks, in
-waves of bounded size; with more questions there are more passes over the passages.
+Top-k is exact, for any number of questions, with one pass over the passages or vectors.
+Questions are a table like passages and vectors; none of them goes through the driver.
+
+Words: the passages of each word lie in blocks. A question can score in a block at most the sum
+of the weights of its words that occur there. The blocks that promise most give a question its
+k-th score, blocks that cannot reach it are left out, and only the postings of the others are
+added up. All of this is joins and aggregates.
+
+Vectors: every vector belongs to the cell of its nearest pivot. A question meets its own cell
+first; by the triangle inequality it then leaves out the cells that hold nothing as near as its
+k-th neighbour so far. Cells and their questions meet block by block, as matrix products.
 """
 
 from __future__ import annotations
@@ -20,12 +26,15 @@ from pyspark.sql import types as T
 
 from ..functions import fixed_values as V
 from ..functions.text import is_blank, strip, text_or_empty
-from ..session import cut_lineage
+from ..session import cut_lineage, written
 
 HEADING = r"(?m)^## +"
-# One wave of questions: words of all its questions, or numbers of all its vectors.
-WAVE_TERMS = 500_000
-WAVE_FLOATS = 2_000_000
+# Passages of a block share all but this many bits of their number; blocks searched first.
+BLOCK_BITS, FIRST_BLOCKS = 8, 2
+# Scores and bounds are sums in another order: what rounding can make of them.
+ROOM = 1e-9
+# Pivots at most, vectors of a cell on average, numbers in one block of vectors or questions.
+PIVOTS, CELL_ROWS, BLOCK_FLOATS = 256, 4096, 1 << 19
 # Numbers in one tile of scores or distances.
 TILE = 2_000_000
 SCORE_DIGITS = 12
@@ -74,14 +83,6 @@ def document_frequency(chunks: DataFrame, text: str = "text") -> DataFrame:
             .groupBy("term").agg(F.count(F.lit(1)).alias("df")))
 
 
-def _waves(queries: DataFrame, size: Column, bound: int, key: str) -> list[DataFrame]:
-    """Queries in parts whose summed sizes stay near the bound."""
-    total = queries.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
-    n = 1 + total // bound
-    return [queries] if n == 1 else [
-        queries.where(F.pmod(F.xxhash64(key), F.lit(n)) == i) for i in range(n)]
-
-
 def _ranked(hits: DataFrame, query_id: str, order: list[str], k: int,
             best_first: Column) -> DataFrame:
     """k best per question; the rank filter keeps k rows per task before the shuffle."""
@@ -107,40 +108,6 @@ def _first_k(group: np.ndarray, *keys: np.ndarray, k: int) -> np.ndarray:
     return by[nth < k]
 
 
-class _TermWave:
-    """Scores the questions of a wave against batches of passages."""
-
-    def __init__(self, ids: list, term_lists: list, weight: dict):
-        self.ids = ids
-        words = sorted(weight)
-        code = {w: i for i, w in enumerate(words)}
-        pairs = sorted((code[w], q) for q, ws in enumerate(term_lists) for w in ws if w in code)
-        self.words = pa.array(words, pa.string())
-        self.weight = np.array([weight[w] for w in words])
-        self.question = np.array([q for _, q in pairs], np.int64)
-        self.ends = np.searchsorted([c for c, _ in pairs], np.arange(len(words)), side="right")
-
-    def hits(self, batch: pa.RecordBatch, order: list[str], k: int):
-        """(questions, rows, scores) of the k best rows of the batch per question."""
-        lists = batch.column("terms")
-        row = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
-        code = pc.index_in(lists.flatten(), self.words).to_numpy(zero_copy_only=False)
-        known = ~np.isnan(code.astype(float))
-        row, code = row[known], code[known].astype(np.int64)
-        start = np.append(0, self.ends)[code] if len(code) else code
-        many = self.ends[code] - start if len(code) else code
-        each = np.repeat(np.arange(len(code)), many)
-        question = self.question[np.arange(len(each)) - np.repeat(np.cumsum(many) - many, many)
-                                 + start[each]]
-        cell = question * batch.num_rows + row[each]
-        cells, at = np.unique(cell, return_inverse=True)
-        score = np.round(np.bincount(at, weights=self.weight[code[each]],
-                                     minlength=len(cells)), SCORE_DIGITS)
-        question, row = cells // batch.num_rows, cells % batch.num_rows
-        first = _first_k(question, -score, _place(batch, order)[row], k=k)
-        return question[first], row[first], score[first]
-
-
 def _same_type(df: DataFrame, name: str) -> T.StructField:
     return T.StructField(name, df.schema[name].dataType)
 
@@ -148,7 +115,7 @@ def _same_type(df: DataFrame, name: str) -> T.StructField:
 def lexical_topk(queries: DataFrame, chunks: DataFrame, k: int = V.TOP_K,
                  query_id: str = "query_id", query: str = "text",
                  order: tuple[str, ...] = ("doc_id", "chunk_pos"), text: str = "text",
-                 wave_terms: int = WAVE_TERMS) -> DataFrame:
+                 block_bits: int = BLOCK_BITS, first_blocks: int = FIRST_BLOCKS) -> DataFrame:
     """(query_id, order columns, score, rank): the k passages sharing most rare words.
 
     The score adds 1 / (1 + df / n) over the shared terms; equal scores keep corpus order,
@@ -156,43 +123,46 @@ def lexical_topk(queries: DataFrame, chunks: DataFrame, k: int = V.TOP_K,
     texts. Document frequencies are counted for the questions' terms only.
     """
     order = list(order)
-    passages = chunks.select(*order, terms(text).alias("terms"))
-    asked = cut_lineage(queries.where(F.col(query_id).isNotNull()).select(
-        query_id, terms(query).alias("terms")))
-    n = max(chunks.count(), 1)
-    schema = T.StructType([_same_type(queries, query_id), *[_same_type(chunks, c) for c in order],
-                           T.StructField("score", T.DoubleType())])
-    hits = None
-    for wave in _waves(asked, F.size("terms"), wave_terms, query_id):
-        wanted = wave.select(F.explode("terms").alias("term")).distinct()
-        df = passages.select(F.explode("terms").alias("term")).join(
-            F.broadcast(wanted), "term").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-        # both are bounded by the words of the wave
-        weight = {r["term"]: 1.0 / (1.0 + float(r["df"]) / n) for r in df.collect()}
-        rows = wave.collect()
-        found = passages.mapInArrow(_term_scorer(
-            [r[query_id] for r in rows], [r["terms"] for r in rows], weight, order, k, schema),
-            schema)
-        hits = found if hits is None else hits.unionByName(found)
-    return _ranked(hits, query_id, order, k, F.desc("score"))
-
-
-def _term_scorer(ids: list, term_lists: list, weight: dict, order: list[str], k: int,
-                 schema: T.StructType):
-    from pyspark.sql.pandas.types import to_arrow_type
-    kinds = [to_arrow_type(f.dataType) for f in schema.fields]
-    names = schema.names
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wave = _TermWave(ids, term_lists, weight)
-        known = pa.array(wave.ids, kinds[0])
-        for batch in batches:
-            question, row, value = wave.hits(batch, order, k)
-            yield pa.RecordBatch.from_arrays([
-                known.take(pa.array(question)),
-                *[batch.column(c).take(pa.array(row)) for c in order],
-                pa.array(value, pa.float64())], names)
-    return score
+    passages = written(chunks.select(*order, terms(text).alias("__terms")).withColumn(
+        "__p", F.monotonically_increasing_id()), "passages")
+    asked = written(queries.where(F.col(query_id).isNotNull()).select(
+        query_id, terms(query).alias("__terms")).withColumn(
+        "__q", F.monotonically_increasing_id()), "questions")
+    words = asked.select("__q", F.explode("__terms").alias("term"))
+
+    block = F.shiftright("__p", block_bits).alias("block")
+    postings = written(
+        passages.select(F.explode("__terms").alias("term"), "__p").join(
+            words.select("term").distinct(), "term")
+        .groupBy("term", block).agg(F.collect_list("__p").alias("ps")), "postings")
+    held = postings.groupBy("term").agg(F.sum(F.size("ps")).alias("df"))
+    weight = 1 / (1 + F.col("df") / F.lit(max(passages.count(), 1)))
+    weights = written(words.join(held, "term").select("__q", "term", weight.alias("w")), "weights")
+
+    promises = written(
+        weights.join(postings.select("term", "block"), "term").groupBy("__q", "block").agg(
+            F.sum("w").alias("promise")), "promises")
+    most = Window.partitionBy("__q").orderBy(F.desc("promise"), "block")
+    first = written(promises.withColumn("r", F.row_number().over(most)).where(
+        F.col("r") <= first_blocks).select("__q", "block"), "first-blocks")
+
+    def scored(pairs: DataFrame) -> DataFrame:
+        return pairs.join(weights, "__q").join(postings, ["term", "block"]).select(
+            "__q", F.explode("ps").alias("__p"), "w").groupBy("__q", "__p").agg(
+            F.round(F.sum("w"), SCORE_DIGITS).alias("score"))
+
+    hits = written(scored(first), "first-scores")
+    best = Window.partitionBy("__q").orderBy(F.desc("score"))
+    kth = hits.withColumn("r", F.row_number().over(best)).where(F.col("r") == k).select(
+        "__q", F.col("score").alias("kth"))
+    open_blocks = promises.join(first, ["__q", "block"], "left_anti").join(kth, "__q", "left").where(
+        F.col("kth").isNull() | (F.col("promise") >= F.col("kth") - ROOM)).select("__q", "block")
+    hits = hits.unionByName(scored(open_blocks))
+    # ties of the k-th score stay until corpus order has decided
+    hits = hits.withColumn("r", F.rank().over(best)).where(F.col("r") <= k)
+    named = hits.join(passages.select("__p", *order), "__p").join(
+        asked.select("__q", query_id), "__q").select(query_id, *order, "score")
+    return _ranked(named, query_id, order, k, F.desc("score"))
 
 
 # --- vectors -------------------------------------------------------------------------------
@@ -237,47 +207,137 @@ def _usable(vector: str, dimension: int) -> Column:
 def vector_topk(queries: DataFrame, vectors: DataFrame, k: int = V.TOP_K,
                 query_id: str = "query_id", query: str = "embedding", key: str = "vec_id",
                 vector: str = "embedding", exclude_self: bool = False,
-                wave_floats: int = WAVE_FLOATS) -> DataFrame:
+                cell_rows: int = CELL_ROWS, block_floats: int = BLOCK_FLOATS) -> DataFrame:
     """(query_id, key, distance, rank): the k nearest vectors by squared distance, exactly.
 
     The dimension is that of the first usable question; vectors that are null, hold nulls or
-    NaN, or have another dimension take no part. Exact search compares every question with
-    every vector; ``vector_topk_approx`` does not.
+    NaN, or have another dimension take no part.
     """
     base = vectors.select(key, F.col(vector).cast("array<double>").alias("__vector"))
     asked = queries.where(F.col(query).isNotNull() & F.col(query_id).isNotNull()).select(
         query_id, F.col(query).cast("array<double>").alias("__query"))
     first = asked.where(F.size("__query") > 0).select(F.size("__query")).first()
     dimension = first[0] if first else 0
-    base = base.where(_usable("__vector", dimension))
-    asked = cut_lineage(asked.where(_usable("__query", dimension)))
-    schema = T.StructType([_same_type(queries, query_id), _same_type(vectors, key),
-                           T.StructField("distance", T.DoubleType())])
-    hits = None
-    for wave in _waves(asked, F.size("__query"), wave_floats, query_id):
-        rows = wave.collect()
-        found = base.mapInArrow(_distances([r[query_id] for r in rows],
-                                           [r["__query"] for r in rows], key, k, exclude_self,
-                                           schema), schema)
-        hits = found if hits is None else hits.unionByName(found)
+    base = written(base.where(_usable("__vector", dimension)), "vectors")
+    asked = asked.where(_usable("__query", dimension)).withColumn(
+        "__q", F.monotonically_increasing_id())
+    cells = Cells(base, key, cell_rows)
+    size = max(1, block_floats // max(dimension, 1))
+    placed = written(base.mapInArrow(cells.assign("__vector"), _with(base, "cell int, away double")),
+                     "placed-vectors")
+    asked = written(asked.mapInArrow(cells.assign("__query"), _with(asked, "cell int, away double")),
+                    "placed-questions")
+    cells.measure(placed)
+
+    nearest = _Meeting(queries.schema[query_id], vectors.schema[key], k, exclude_self, size)
+    hits = written(nearest.meet(placed, asked.withColumn("limit", F.lit(float("inf")))), "own-cells")
+    best = Window.partitionBy("__q").orderBy("distance")
+    kth = hits.withColumn("r", F.row_number().over(best)).where(F.col("r") == k).select(
+        "__q", F.col("distance").alias("limit"))
+    asked = asked.join(kth, "__q", "left").withColumn(
+        "limit", F.coalesce("limit", F.lit(float("inf"))))
+    others = written(asked.mapInArrow(cells.others, asked.schema), "other-cells")
+    hits = hits.unionByName(nearest.meet(placed, others)).drop("__q")
     return _ranked(hits, query_id, [key], k, F.asc("distance"))
 
 
-def _distances(ids: list, asked: list, key: str, k: int, exclude_self: bool, schema: T.StructType):
-    from pyspark.sql.pandas.types import to_arrow_type
-    kind, names = to_arrow_type(schema.fields[0].dataType), schema.names
-    asked = np.array(asked, np.float64)
-
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = pa.array(ids, kind)
+def _with(df: DataFrame, more: str) -> T.StructType:
+    return T.StructType([*df.schema.fields, *T.StructType.fromDDL(more).fields])
+
+
+class Cells:
+    """Pivots, which are some of the vectors, and how near and far the vectors of each lie."""
+
+    def __init__(self, base: DataFrame, key: str, cell_rows: int):
+        many = min(PIVOTS, 1 + base.count() // cell_rows)
+        some = base.orderBy(F.xxhash64("__vector"), key).limit(many).select("__vector").collect()
+        self.pivots = np.unique(np.array([r[0] for r in some], np.float64), axis=0)
+        self.near = self.far = None
+
+    def _distances(self, x: np.ndarray) -> np.ndarray:
+        return np.stack([np.sqrt(((x - p) ** 2).sum(axis=1)) for p in self.pivots], axis=1)
+
+    def assign(self, column: str):
+        def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                cell, away = np.zeros(batch.num_rows, np.int32), np.zeros(batch.num_rows)
+                if batch.num_rows and len(self.pivots):
+                    apart = self._distances(_matrix(batch.column(column)))
+                    cell = apart.argmin(axis=1).astype(np.int32)
+                    away = apart.min(axis=1)
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.columns, pa.array(cell), pa.array(away)],
+                    [*batch.schema.names, "cell", "away"])
+        return assign
+
+    def measure(self, placed: DataFrame) -> None:
+        """Least and largest distance from the pivot in every cell: one row for each pivot."""
+        rows = placed.groupBy("cell").agg(F.min("away").alias("a"), F.max("away").alias("b")).collect()
+        self.near, self.far = np.full(len(self.pivots), np.inf), np.full(len(self.pivots), -np.inf)
+        for r in rows:
+            self.near[r["cell"]], self.far[r["cell"]] = r["a"], r["b"]
+
+    def others(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The questions once more for each other cell that can hold a vector within the limit."""
         for batch in batches:
-            if batch.num_rows and len(asked):
-                for question, row, distance in _nearest_in(
-                        batch, key, asked, ids if exclude_self else None, k):
-                    yield pa.RecordBatch.from_arrays([
-                        known.take(pa.array(question)), batch.column(key).take(pa.array(row)),
-                        pa.array(distance)], names)
-    return measure
+            if not batch.num_rows or not len(self.pivots):
+                continue
+            apart = self._distances(_matrix(batch.column("__query")))
+            limit = np.sqrt(batch.column("limit").to_numpy() + 10.0 ** -SCORE_DIGITS)[:, None]
+            gap = np.maximum(apart - self.far, self.near - apart)
+            room = ROOM * (1 + apart + np.where(np.isfinite(self.far), self.far, 0))
+            reached = gap <= limit + room
+            reached[np.arange(batch.num_rows), batch.column("cell").to_numpy()] = False
+            question, cell = np.nonzero(reached)
+            again = batch.take(pa.array(question))
+            yield again.set_column(again.schema.get_field_index("cell"), "cell",
+                                   pa.array(cell.astype(np.int32)))
+
+
+class _Meeting:
+    """Questions and vectors of one cell, block against block."""
+
+    def __init__(self, query_id: T.StructField, key: T.StructField, k: int, exclude_self: bool, size: int):
+        self.query_id, self.key, self.k, self.exclude_self = query_id.name, key.name, k, exclude_self
+        self.size = size
+        self.schema = T.StructType([
+            T.StructField("__q", T.LongType()), T.StructField(query_id.name, query_id.dataType),
+            T.StructField(key.name, key.dataType), T.StructField("distance", T.DoubleType())])
+
+    def meet(self, vectors: DataFrame, asked: DataFrame) -> DataFrame:
+        """(__q, query id, key, distance) of the k nearest of each question in a block of vectors,
+        as far as they lie within its limit. Large cells are cut into blocks by hash, and so are
+        their questions, so a cell that holds most vectors is spread over many tasks."""
+        rows = F.ceil(F.count(F.lit(1)) / self.size)
+        load = vectors.groupBy("cell").agg(rows.alias("vb")).join(
+            asked.groupBy("cell").agg(rows.alias("qb")), "cell")
+        load = written(load, "cells")
+        left = vectors.join(load, "cell").withColumn("v", F.pmod(F.xxhash64(self.key), "vb")).withColumn(
+            "w", F.explode(F.expr("sequence(0L, qb - 1)"))).select(
+            F.col("cell").alias("c"), "v", F.col("w").alias("w"), self.key, "__vector")
+        right = asked.join(load, "cell").withColumn("w", F.pmod(F.xxhash64("__q"), "qb")).withColumn(
+            "v", F.explode(F.expr("sequence(0L, vb - 1)"))).select(
+            "cell", "v", "w", "__q", self.query_id, "__query", "limit")
+        return left.groupBy("c", "v", "w").cogroup(right.groupBy("cell", "v", "w")).applyInArrow(
+            lambda vectors, asked: self._nearest(vectors, asked), self.schema)
+
+    def _nearest(self, left: pa.Table, right: pa.Table) -> pa.Table:
+        from pyspark.sql.pandas.types import to_arrow_schema
+        out = [to_arrow_schema(self.schema).empty_table()]
+        if left.num_rows and right.num_rows:
+            batch, asked = left.combine_chunks().to_batches()[0], right.combine_chunks()
+            own = asked.column(self.query_id).to_pylist() if self.exclude_self else None
+            limit = asked.column("limit").to_numpy()
+            x = _matrix(asked.column("__query").chunk(0))
+            for question, row, distance in _nearest_in(batch, self.key, x, own, self.k):
+                keep = distance <= limit[question]
+                question, row = pa.array(question[keep]), pa.array(row[keep])
+                out.append(pa.table({
+                    "__q": asked.column("__q").take(question),
+                    self.query_id: asked.column(self.query_id).take(question),
+                    self.key: batch.column(self.key).take(row),
+                    "distance": pa.array(distance[keep])}).cast(out[0].schema))
+        return pa.concat_tables(out)
 
 
 def vector_topk_approx(queries: DataFrame, vectors: DataFrame, max_distance: float,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,3 +38,22 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(checkpoint_dir(spark))
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame, what: str) -> DataFrame:
+    """Write df as Parquet in the shared checkpoint folder and read it again: computed once, kept
+    when executors are lost, and joined later with an exchange that can be split."""
+    spark = df.sparkSession
+    path = f"{spark.sparkContext.getCheckpointDir() or _folder(spark)}/{what}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+_FOLDERS: dict[str, str] = {}
+
+
+def _folder(spark: SparkSession) -> str:
+    app = spark.sparkContext.applicationId
+    if app not in _FOLDERS:
+        _FOLDERS[app] = checkpoint_dir(spark)
+    return _FOLDERS[app]

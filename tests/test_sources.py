@@ -98,16 +98,18 @@ def rows(df):
     return sorted(map(tuple, df.collect()))
 
 
-def test_lexical_waves_agree(spark):
+def test_lexical_blocks_agree(spark):
     q, p = catalog.questions(spark, SF), catalog.passages(spark, SF)
-    assert rows(H.lexical_topk(q, p, 3)) == rows(H.lexical_topk(q, p, 3, wave_terms=50))
+    want = rows(H.lexical_topk(q, p, 3))
+    assert want == rows(H.lexical_topk(q, p, 3, block_bits=0, first_blocks=1))
+    assert want == rows(H.lexical_topk(q, p, 3, block_bits=4, first_blocks=30))
 
 
-def test_vector_waves_and_tiles_agree(spark, monkeypatch):
+def test_vector_cells_and_tiles_agree(spark, monkeypatch):
     v = views.table(spark, SF, "embeddings").select("vec_id", "embedding")
     q = v.withColumnRenamed("vec_id", "query_id")
     want = rows(H.vector_topk(q, v, 3, exclude_self=True))
-    assert want == rows(H.vector_topk(q, v, 3, exclude_self=True, wave_floats=5000))
+    assert want == rows(H.vector_topk(q, v, 3, exclude_self=True, cell_rows=20, block_floats=640))
     monkeypatch.setattr(H, "TILE", 700)
     assert want == rows(H.vector_topk(q, v, 3, exclude_self=True))
 
