@@ -273,6 +273,7 @@ def _links_inside(k: int, percent: int):
             part = np.zeros((len(ids), COLUMNS_AT_ONCE), np.float32)
             part[row[a:b], column[a:b] - at] = 1
             both += part @ part.T
+        both = both.astype(np.int64)           # whole numbers below 2 ** 24: floats held them exactly
         union = sizes[:, None] + sizes[None, :] - both
         ok = (100 * both >= percent * union) & (label[:, None] != label[None, :]) & (
             ids[:, None] < ids[None, :]) & (sizes[:, None] > 0) & (sizes[None, :] > 0)

@@ -250,7 +250,10 @@ def train(docs: DataFrame, labels: DataFrame, chain=CHAIN, id_col: str = "doc_id
     texts = docs.select(ids.alias("id"), F.col(text_col).cast("string").alias("text"))
     rows = texts.join(F.broadcast(sample), "id").mapInArrow(
         _training_rows, "id long, targets array<int>, words array<long>, forms array<double>")
-    fitted = rows.dropDuplicates(["id"]).repartition(1).mapInArrow(_train, "chain binary").first()
+    # of several texts with one id, the least by content
+    rows = rows.groupBy("id").agg(F.min(F.struct("targets", "words", "forms")).alias("r")).select(
+        "id", "r.*")
+    fitted = rows.repartition(1).mapInArrow(_train, "chain binary").first()
     parts = pickle.loads(fitted["chain"]) if fitted else []
     return [Model(words, weights) for words, weights, _ in parts], [t for *_, t in parts]
 

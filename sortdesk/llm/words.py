@@ -2,6 +2,12 @@
 
 Texts stay in Arrow's buffers; a word is a pair of byte positions and a 64-bit hash. Nothing
 here is per-row Python, and memory is bounded by the slice (or by one text, if it is longer).
+
+No words are built to share a hash. A word below LONG_WORD bytes adds up one random number for
+each place and byte, so two different words agree with probability 2 ** -64, whatever they are; a
+longer one has a keyed digest. A run of words is a polynomial of their hashes at a random point,
+modulo the prime 2 ** 61 - 1: two different runs of n words agree for at most n of all points.
+(Sums modulo 2 ** 64 would not do: the Thue-Morse words agree at every odd point.)
 """
 
 from __future__ import annotations
@@ -17,12 +23,16 @@ import pyarrow.compute as pc
 
 SLICE_BYTES = 1 << 20
 HASH_BYTES = 1 << 19
-LONG_WORD = 2048
+LONG_WORD = 256
 
 _U = np.uint64
-_BASE = _U(0x9E3779B97F4A7C15)
-_STEP = _U(0xD6E8FEB86659FD93)
-_STEP_INVERSE = _U(pow(int(_STEP), -1, 1 << 64))
+#: A random number for each place of a word and each byte there.
+_TABLE = np.random.default_rng(0x9E3779B97F4A7C15).integers(
+    0, 1 << 64, LONG_WORD * 256, dtype=_U)
+_KEY = b"words of LONG_WORD bytes or more"
+_PRIME = (1 << 61) - 1
+_STEP = 0x16E8FEB86659FD93
+_STEP_INVERSE = pow(_STEP, -1, _PRIME)
 
 #: [^\x20\x09-\x0D]+ on UTF-8 bytes.
 SPACED = np.array([not (b == 0x20 or 0x09 <= b <= 0x0D) for b in range(256)])
@@ -39,10 +49,30 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(max(n, 1), base, _U)
-    out[0] = 1
-    return np.cumprod(out, dtype=_U)
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """x modulo the prime, as a number below it."""
+    x = (x & _U(_PRIME)) + (x >> _U(61))
+    return np.where(x >= _U(_PRIME), x - _U(_PRIME), x)
+
+
+def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo the prime, of numbers below it: 2 ** 61 counts as 1."""
+    low = _U(0xFFFFFFFF)
+    a1, a0, b1, b0 = a >> _U(32), a & low, b >> _U(32), b & low
+    middle = a1 * b0 + a0 * b1                    # below 2 ** 62, times 2 ** 32
+    part = (a1 * b1 << _U(3)) + (middle >> _U(29)) + ((middle & _U((1 << 29) - 1)) << _U(32))
+    return _reduced(_reduced(part) + _reduced(a0 * b0))
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    """base ** 0 .. base ** (n - 1) modulo the prime."""
+    out = np.ones(max(n, 1), _U)
+    done = 1
+    while done < n:
+        more = min(done, n - done)
+        out[done:done + more] = _product(out[:more], _U(pow(base, done, _PRIME)))
+        done += more
+    return out
 
 
 @dataclass
@@ -118,18 +148,16 @@ def cut(texts: pa.Array, kind: np.ndarray = SPACED, lower: bool = False) -> Word
 def _hashes(data, inside, start, end) -> np.ndarray:
     out = np.empty(len(start), _U)
     size = end - start
-    table = powers(_BASE, LONG_WORD)
     cuts = np.unique(np.searchsorted(start, np.arange(0, len(data) + HASH_BYTES, HASH_BYTES)))
     for a, b in zip(cuts, cuts[1:]):
         s = start[a:b]
         span = slice(s[0], end[b - 1])
         at = np.arange(span.start, span.stop) - np.repeat(s, np.diff(np.append(s, span.stop)))
-        value = (data[span].astype(_U) + _U(1)) * inside[span]
-        value *= table[np.minimum(at, LONG_WORD - 1)]
+        value = _TABLE[np.minimum(at, LONG_WORD - 1) * 256 + data[span]] * inside[span]
         out[a:b] = np.add.reduceat(value, s - span.start)
     for i in np.flatnonzero(size >= LONG_WORD):
-        out[i] = int.from_bytes(
-            hashlib.blake2b(data[start[i]:end[i]].tobytes(), digest_size=8).digest(), "little")
+        out[i] = int.from_bytes(hashlib.blake2b(
+            data[start[i]:end[i]].tobytes(), digest_size=8, key=_KEY).digest(), "little")
     return mix(out ^ mix(size.astype(_U)))
 
 
@@ -139,13 +167,17 @@ class Spans:
     def __init__(self, hashes: np.ndarray):
         n = len(hashes)
         self._back = powers(_STEP_INVERSE, n + 1)
+        terms = _product(_reduced(hashes), powers(_STEP, n)[:n])
+        # halves are summed apart, so that no sum of fewer than 2 ** 32 words overflows
+        high = _reduced(np.cumsum(terms >> _U(32), dtype=_U))
+        low = _reduced(np.cumsum(terms & _U(0xFFFFFFFF), dtype=_U))
         self._sums = np.zeros(n + 1, _U)
-        np.cumsum(hashes * powers(_STEP, n)[:n], out=self._sums[1:])
+        self._sums[1:] = _reduced(_product(high, _U(1 << 32)) + low)
 
     def hash(self, start: np.ndarray, size) -> np.ndarray:
         size = np.broadcast_to(np.asarray(size), np.shape(start))
-        return mix((self._sums[start + size] - self._sums[start]) * self._back[start]
-                   + size.astype(_U))
+        apart = _reduced(self._sums[start + size] + (_U(_PRIME) - self._sums[start]))
+        return mix(_product(apart, self._back[start]) + mix(size.astype(_U)))
 
 
 def shingle_sets(words: Words, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
