@@ -9,6 +9,8 @@ expression instead of dozens of calls into the JVM while a plan is built.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,13 +26,27 @@ _SPECIAL, _QUOTED = r"([\\.\[\]{}()*+?^$|\-])", r"\\$1"
 _REPEATED = r"(?U)\[CLIENT_NAME\](?:\s+\[CLIENT_NAME\])+"
 
 
+def _from_run_start(pattern: str) -> str:
+    r"""The same matches as \b[class]+@..., but for a first group, which holds what is skipped.
+
+    Tried at every word boundary, such a pattern runs over a long run of address characters again
+    and again. Here only the start of a run (or the end of the last match) is tried, only if an @
+    follows the run, and only once from the first boundary in it: all matches that the run allows
+    start there, as all end in the same @.
+    """
+    some, rest = re.fullmatch(r"\\b(\[[^\]]+\])\+(@.+)", pattern).groups()
+    return rf"(?:\G|(?<!{some}))(?={some}++@)(?>({some}*?)\b){some}++{rest}"
+
+
 def _pattern(entity: str) -> str:
     pattern, ignore_case = V.PII_PATTERNS[entity]
+    if entity == "EMAIL":
+        pattern = _from_run_start(pattern)
     return sql_text(ci(pattern) if ignore_case else cs(pattern))
 
 
-def _placeholder(name: str) -> str:
-    return sql_text("\\" + name)
+def _placeholder(name: str, before: str = "") -> str:
+    return sql_text(before + "\\" + name)
 
 
 def _result(text: str, n: str) -> str:
@@ -74,7 +90,8 @@ def mask_sql(text: str, entity: str, digit_run: str | None = None) -> str:
         masked = f"array_join(transform({parts}, p -> concat(p.`0`, {shown})), '')"
         n = f"size(filter({found}, c -> {luhn_sql('c')}))"
     else:
-        masked = f"regexp_replace({text}, {pattern}, {_placeholder(V.PLACEHOLDERS[entity])})"
+        kept = "$1" if entity == "EMAIL" else ""
+        masked = f"regexp_replace({text}, {pattern}, {_placeholder(V.PLACEHOLDERS[entity], kept)})"
         n = f"regexp_count({text}, {pattern})"
     return (f"case when {_guard(text, entity, digit_run)} and rlike({text}, {pattern}) "
             f"then {_result(masked, n)} else {_result(text, '0')} end")

@@ -104,3 +104,35 @@ def test_patterns_run_once_per_row(spark):
         return plan.count("regexp_replace") + plan.count("RLIKE")
 
     assert patterns(masked.where(F.col("pii_total") > 0)) == patterns(masked)
+
+
+def test_mailboxes_are_found_from_the_start_of_a_run_only(spark):
+    """The same masks and counts as the fixed pattern itself, on texts of its own characters."""
+    import random
+
+    from sortdesk.functions import fixed_values as V
+    rng = random.Random(1)
+    parts = ["a", "b", "é", "1", ".", "_", "%", "-", "@", "@a.aa", "@b.co", " ", "ſ", "K", "aa", ".fr"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(1, 25))) for _ in range(4000)]
+    texts += ["éric@x.fr", "éric.dupont@x.fr", "a@b.co-d@e.fr", "-a@b.fr", "..@b.fr", "_@b.fr", "a@b@c.de",
+              "a@b.frx_ c@d.ef", "a.b@c.de.f@g.hi"]
+    plain = M.sql_text(M.ci(V.PII_PATTERNS["EMAIL"][0]))
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(
+        "t", M.mask_email("t").alias("m"),
+        F.expr(f"regexp_replace(t, {plain}, '{M._placeholder(V.PLACEHOLDERS['EMAIL'])[1:-1]}')").alias("want"),
+        F.expr(f"regexp_count(t, {plain})").alias("n"))
+    rows = df.collect()
+    assert sum(r.n for r in rows) > 300
+    for r in rows:
+        assert (r.m["text"], r.m["n"]) == (r.want, r.n), r.t
+
+
+def test_masking_a_megabyte_of_dotted_labels(spark):
+    import time
+    runs = ["a." * 500_000, "a." * 250_000 + " x@" + "b." * 250_000, "1 " * 500_000, "a@" * 500_000,
+            "x@y." * 200_000, "a.b " * 250_000 + "@"]
+    df = spark.createDataFrame([(t,) for t in runs], "t string").repartition(6)
+    start = time.time()
+    found = G.pii_leak(G.mask_pii(df, "t", "m", "e"), "t", "leak").select(
+        F.length("m").alias("n"), "leak").collect()
+    assert len(found) == 6 and time.time() - start < 60
