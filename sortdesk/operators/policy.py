@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
 from ..functions.text import text_or_empty
+from ..session import written
 from .ordered import carry_forward
 
 TUNABLES = tuple(V.POLICY_DEFAULTS)
@@ -78,56 +79,52 @@ def policy_struct(policy: Policy | None = None, fields: tuple[str, ...] = TUNABL
     return F.struct(*[values[f].alias(f) for f in fields])
 
 
-#: A history of at most so many rows is sent to every task whole.
-SMALL_HISTORY = 1_000
+#: Seconds of a bucket of the time line: about this many history rows lie in one on average.
+ROWS_A_BUCKET, SHORTEST, LONGEST = 4, 1, 86_400
 
 
 def as_of(facts: DataFrame, ts: str, history: DataFrame, fields: list[str],
-          valid_from: str = "valid_from", out: str = "policy", width_s: int = 3600,
-          salts: int = 8, small_history: int = SMALL_HISTORY) -> DataFrame:
+          valid_from: str = "valid_from", out: str = "policy",
+          width_s: int | None = None) -> DataFrame:
     """Policy in force at ``ts``: the last history row with valid_from <= ts, or null.
 
     ``fields`` of the history row that wins become a struct; on equal valid_from the
-    greatest row (by its fields) wins. A fact without a time gets null. History rows are
-    counted first: a few settings saved by hand are broadcast with the end of their
-    validity, and facts are neither shuffled nor sorted.
+    greatest row (by its fields) wins. A fact without a time gets null.
 
-    A longer history and the facts are put on one time line cut into hours. Facts of an
-    hour are spread over ``salts`` groups and the history rows of that hour copied to each,
-    so no task holds more than its share of a busy hour.
+    The time line is cut into buckets of ``width_s`` seconds, by default as long as a few history
+    rows take on average. Validity intervals are cut at bucket edges: a bucket holds the row in
+    force when it begins, and its own. Facts meet the intervals of their bucket in an equality
+    join with a range test, so a history of any length takes the same way, and adaptive execution
+    splits the facts of a busy bucket.
     """
-    history = history.where(F.col(valid_from).isNotNull())
-    if history.limit(small_history + 1).count() <= small_history:
-        return _as_of_small(facts, ts, history, fields, valid_from, out)
     value = F.struct(F.col(valid_from), *[F.col(f) for f in fields])
-    epoch = F.unix_seconds(F.col("__at").cast("timestamp"))
-    kept = [F.col(c) for c in facts.columns]
-    spread = [F.col(c) for c, kind in facts.dtypes
-              if kind in ("bigint", "int", "timestamp", "timestamp_ntz")]
-    fact_rows = facts.select(
-        F.struct(*kept).alias("__fact"), F.col(ts).alias("__at"),
-        F.lit(1).alias("__kind"),
-        F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int").alias("__salt"))
-    marks = history.select(
-        value.alias("__value"), F.col(valid_from).alias("__at"), F.lit(0).alias("__kind"),
-        F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("__salt"))
-    line = fact_rows.unionByName(marks, allowMissingColumns=True)
-    carried = carry_forward(
-        line, keys=[], order=["__at", "__kind", "__value"],
-        block=F.floor(epoch / width_s), value=F.col("__value"), out=out,
-        include_current=True, salt=F.col("__salt"))
-    return carried.where(F.col("__kind") == 1).select("__fact.*", out)
-
-
-def _as_of_small(facts: DataFrame, ts: str, history: DataFrame, fields: list[str],
-                 valid_from: str, out: str) -> DataFrame:
-    """``as_of`` with a broadcast range lookup; the windows run over the few history rows."""
-    value = F.struct(F.col(valid_from), *[F.col(f) for f in fields])
-    one_each = history.groupBy(F.col(valid_from).alias("__from")).agg(F.max(value).alias(out))
-    spans = one_each.withColumn("__to", F.lead("__from").over(Window.orderBy("__from")))
-    at = F.col(ts).cast("timestamp")
-    return facts.join(
-        F.broadcast(spans.withColumns({"__from": F.col("__from").cast("timestamp"),
-                                       "__to": F.col("__to").cast("timestamp")})),
-        (at >= F.col("__from")) & (F.col("__to").isNull() | (at < F.col("__to"))),
-        "left").drop("__from", "__to")
+    marks = history.where(F.col(valid_from).isNotNull()).groupBy(
+        _micros(valid_from).alias("__from")).agg(F.max(value).alias(out))
+    marks = written(marks, "policy-marks")
+    if width_s is None:
+        n, low, high = marks.agg(F.count(F.lit(1)), F.min("__from"), F.max("__from")).first()
+        width_s = min(max((high - low) // 1_000_000 * ROWS_A_BUCKET // n, SHORTEST), LONGEST) if n else LONGEST
+    bucket = lambda c: F.floor(c / F.lit(width_s * 1_000_000)).cast("long")
+    marks = marks.withColumn("__bucket", bucket(F.col("__from")))
+
+    # one row for each bucket that holds facts or history rows: the row in force as it begins
+    ends = marks.groupBy("__bucket").agg(F.max_by(out, "__from").alias("__end"),
+                                    F.min("__from").alias("__to"))
+    asked = facts.select(bucket(_micros(ts)).alias("__bucket")).where("__bucket is not null").distinct()
+    line = ends.unionByName(asked.join(ends, "__bucket", "left_anti"), allowMissingColumns=True)
+    entering = carry_forward(line, keys=[], order=["__bucket"], block=F.floor(F.col("__bucket") / 4096),
+                             value=F.col("__end"), out=out)
+    begun = entering.where(F.col(out).isNotNull()).select(
+        "__bucket", F.lit(None).cast("long").alias("__from"), "__to", out)
+    follows = F.lead("__from").over(Window.partitionBy("__bucket").orderBy("__from"))
+    spans = marks.withColumn("__to", follows).select("__bucket", "__from", "__to", out).unionByName(begun)
+
+    at = facts.withColumn("__at", _micros(ts)).withColumn("__in", bucket(F.col("__at")))
+    in_force = ((F.col("__in") == F.col("__bucket"))
+                & (F.col("__from").isNull() | (F.col("__at") >= F.col("__from")))
+                & (F.col("__to").isNull() | (F.col("__at") < F.col("__to"))))
+    return at.join(spans, in_force, "left").select(*facts.columns, out)
+
+
+def _micros(ts: str) -> Column:
+    return F.unix_micros(F.col(ts).cast("timestamp"))

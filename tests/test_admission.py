@@ -137,18 +137,40 @@ def test_admission_equals_simulation(spark):
     assert {r.refusal for r in A.admit(df, enabled=False).collect()} == {"disabled"}
 
 
-@pytest.mark.parametrize("small", [1000, 0])
-def test_policy_as_of(spark, small):
+@pytest.mark.parametrize("width", [None, 60, 5000])
+def test_policy_as_of(spark, width):
     history = spark.createDataFrame([(0, 0.8), (5000, 0.9), (9000, 0.7)], "s long, a double")
     history = history.selectExpr("timestamp_seconds(s)::timestamp_ntz valid_from", "a")
     facts = spark.range(-2, 31).selectExpr(
         "id", "timestamp_seconds(nullif(id, 30) * 500)::timestamp_ntz ts")
     got = {r.id: r.policy and r.policy.a for r in P.as_of(
-        facts, "ts", history, ["a"], small_history=small).collect()}
+        facts, "ts", history, ["a"], width_s=width).collect()}
     assert got == {i: None if i < 0 or i == 30 else 0.8 if i < 10 else 0.9 if i < 18 else 0.7
                    for i in range(-2, 31)}
 
 
+def test_policy_as_of_many_rows(spark):
+    """A burst of rows, long gaps, equal times, facts on the edges; no pairs are tried out."""
+    import random
+    rng = random.Random(3)
+    times = [rng.randrange(0, 200) for _ in range(150)] + [rng.randrange(0, 10 ** 6) for _ in range(80)]
+    rows = [(t, rng.randrange(1000)) for t in times + times[:20]]
+    asked = [rng.choice(times) + rng.choice((-1, 0, 1)) for _ in range(300)] + [
+        rng.randrange(-100, 2 * 10 ** 6) for _ in range(300)]
+    history = spark.createDataFrame(rows, "s long, a long").selectExpr(
+        "timestamp_seconds(s)::timestamp_ntz valid_from", "a")
+    facts = spark.createDataFrame(list(enumerate(asked)), "id long, s long").selectExpr(
+        "id", "timestamp_seconds(s)::timestamp_ntz ts", "'x' as policy_id")
+    found = P.as_of(facts, "ts", history, ["a"])
+    assert "NestedLoop" not in found._jdf.queryExecution().toString()
+    got = {r.id: r.policy and r.policy.a for r in found.collect()}
+    for i, t in enumerate(asked):
+        before = [r for r in rows if r[0] <= t]
+        assert got[i] == (max(before)[1] if before else None)
+    assert P.as_of(facts, "ts", history.limit(0), ["a"]).where("policy is null").count() == len(asked)
+    assert P.as_of(facts.limit(0), "ts", history, ["a"]).count() == 0
+
+
 def test_policy_rows(spark):
     df = spark.sql("select timestamp_ntz'2024-01-01' valid_from, 'a' updated_by, "
                    "0.5d seuil_auto, 9 unknown").unionByName(
