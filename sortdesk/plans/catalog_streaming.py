@@ -80,6 +80,15 @@ def stream_dedupe_ttl(spark, sf):
         "event_id", "anchor_id", "duplicate")
 
 
+@register("stream_dedupe_state", CASES["dedupe_ttl"])
+def stream_dedupe_state(spark, sf):
+    """The same from a state store; every part is taken up by a new run of the stream."""
+    folder = _work_folder(spark)
+    _in_batches(spark, sf, "events", "ts", folder, lambda events: jobs.dedupe_state_to_files(
+        views.requests_from(events).drop("body"), f"{folder}/out", f"{folder}/state"))
+    return spark.read.parquet(f"{folder}/out").select("event_id", "anchor_id", "duplicate")
+
+
 @register("stream_enqueued_cases", CASES["enqueued_cases"])
 def stream_enqueued_cases(spark, sf):
     from .triage import triage

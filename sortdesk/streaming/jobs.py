@@ -11,7 +11,9 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from ..functions import fixed_values as V
 from ..operators.admission import _micros, dedupe_ttl
@@ -42,8 +44,9 @@ def _log_before(spark: SparkSession, path: str, batch_id: int) -> DataFrame | No
 
 
 def _append_batch(rows: DataFrame, path: str, by: str, batch_id: int) -> None:
-    """Write a batch into folders by=.../batch_id=..., leaving all other folders alone."""
-    (rows.withColumn("batch_id", F.lit(batch_id)).repartition(by).write.mode("overwrite")
+    """Write a batch into folders by=.../batch_id=..., leaving all other folders alone. Folders of
+    many rows are written by several tasks, small ones by one."""
+    (rows.withColumn("batch_id", F.lit(batch_id)).hint("rebalance", by).write.mode("overwrite")
      .option("partitionOverwriteMode", "dynamic").partitionBy(by, "batch_id").parquet(path))
 
 
@@ -120,12 +123,15 @@ def dedupe_batch(batch: DataFrame, batch_id: int, path: str, key: str = "request
                 (rows[key] == reach["__k"]) & (rows["__b"] == reach["__rb"])
                 & (reach["__anchor"]["t"] <= rows["__t"])
                 & (rows["__t"] - reach["__anchor"]["t"] <= ttl))
-            found = rows.join(reach, covers).groupBy(order).agg(
+            # by key as well: rows of one event id may have several, and a null id has an anchor too
+            found = rows.join(reach, covers).groupBy(rows[key].alias("__key"), F.col("__t")).agg(
                 F.max("__anchor").alias("__anchor"))
-            repeats = batch.join(found, order).select(
+            placed = batch.withColumn("__at", _micros(ts))
+            own = (placed[key] == found["__key"]) & (placed["__at"] == found["__t"])
+            repeats = placed.join(found, own).select(
                 *batch.columns, F.col("__anchor")["id"].alias("anchor_id"),
                 F.lit(True).alias("duplicate"))
-            fresh = batch.join(found, order, "left_anti").select(*batch.columns)
+            fresh = placed.join(found, own, "left_anti").select(*batch.columns)
             done = repeats.unionByName(
                 dedupe_ttl(fresh, key, ts, order, ttl_s).select(*repeats.columns))
         else:
@@ -150,6 +156,81 @@ def dedupe_to_files(requests: DataFrame, path: str, checkpoint: str, **options
         lambda batch, batch_id: dedupe_batch(batch, batch_id, path, **options)), checkpoint)
 
 
+def dedupe_in_state(requests: DataFrame, key: str = "request_key", ts: str = "ts",
+                    order: str = "event_id", ttl_s: int = V.DEDUPE_TTL_S) -> DataFrame:
+    """Stream of requests -> the same rows with anchor_id and duplicate, from a state store.
+
+    Each key has one value, its last anchor, and one timer, which forgets the anchor when the
+    watermark passes the end of its life; no log is read, and a batch touches the keys of its own
+    rows only. Rows of a key are settled in time order within a batch. A row that arrives out of
+    order across batches is judged by the anchor known then, and dropped if it is later than a TTL:
+    ``dedupe_to_files`` keeps such rows. Rows without key or time are never duplicates.
+    """
+    keyed = F.nullif(F.col(key).cast("string"), F.lit("")).isNotNull() & F.col(ts).isNotNull()
+    kind = dict(requests.dtypes)[order]
+    schema = T.StructType([*requests.schema.fields, *T.StructType.fromDDL(
+        f"anchor_id {kind}, duplicate boolean").fields])
+    timed = requests.where(keyed).withColumns({
+        "__key": F.col(key).cast("string"), "__t": _micros(ts),
+        "__time": F.col(ts).cast("timestamp")}).withWatermark("__time", f"{ttl_s} seconds")
+    settled = timed.groupBy("__key").transformWithStateInPandas(
+        _Anchors(ttl_s * 1_000_000, order, kind, requests.columns), schema, "Append", "EventTime")
+    loose = requests.where(F.coalesce(~keyed, F.lit(True))).select(
+        *requests.columns, F.col(order).alias("anchor_id"), F.lit(False).alias("duplicate"))
+    return settled.unionByName(loose)
+
+
+class _Anchors(StatefulProcessor):
+    """The last anchor of each key: its time in microseconds and its order value."""
+
+    def __init__(self, ttl: int, order: str, kind: str, columns: list[str]):
+        self.ttl, self.order, self.kind, self.columns = ttl, order, kind, columns
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.anchor = handle.getValueState("anchor", f"t bigint, id {self.kind}")
+
+    def handleInputRows(self, key, rows, timerValues):
+        import pandas as pd
+        # the rows of one key in one batch; the order of chunks says nothing about time
+        batch = pd.concat(list(rows), ignore_index=True)
+        batch.columns = [*self.columns, "__key", "__t", "__time"]   # names with _ come as places
+        batch = batch.sort_values(["__t", self.order], kind="stable", na_position="first",
+                                  ignore_index=True)
+        before = known = self.anchor.get() if self.anchor.exists() else None
+        ids, repeats = [], []
+        for t, own in zip(batch["__t"].tolist(), batch[self.order].tolist()):
+            repeat = known is not None and known[0] <= t <= known[0] + self.ttl
+            if not repeat:
+                known = (t, own)
+            ids.append(known[1])
+            repeats.append(repeat)
+        if known != before:
+            if before is not None:
+                self.handle.deleteTimer((before[0] + self.ttl) // 1000 + 1)
+            self.anchor.update((known[0], known[1]))
+            self.handle.registerTimer((known[0] + self.ttl) // 1000 + 1)
+        yield batch[self.columns].assign(anchor_id=ids, duplicate=repeats)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        self.anchor.clear()
+        return iter([])
+
+    def close(self) -> None:
+        pass
+
+
+def dedupe_state_to_files(requests: DataFrame, path: str, checkpoint: str, **options
+                          ) -> DataStreamWriter:
+    """``dedupe_in_state`` appended to files. Needs the RocksDB state store."""
+    requests.sparkSession.conf.set(
+        "spark.sql.streaming.stateStore.providerClass",
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    results = dedupe_in_state(requests, **options)
+    return _available(results.writeStream.format("parquet").outputMode("append")
+                      .option("path", path), checkpoint)
+
+
 # --- queue ---------------------------------------------------------------------------------
 KEY_FOLDERS = 64
 

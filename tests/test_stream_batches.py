@@ -2,8 +2,10 @@
 
 from pyspark.sql import functions as F
 
+from sortdesk.operators.admission import dedupe_ttl
 from sortdesk.plans import catalog_streaming
 from sortdesk.plans.catalog import queries
+from sortdesk.streaming import jobs
 
 SF = "/root/testdata/sf0.001"
 
@@ -27,3 +29,43 @@ def test_parts_hold_every_row_once_in_order(spark):
     held = [[o for o in p if o is not None] for p in parts]
     assert all(max(a) < min(b) for a, b in zip(held, held[1:]))
     assert sum(p.count() for p in catalog_streaming._parts(rows.limit(0), "o")) == 0
+
+
+def _stream_in_parts(spark, rows, folder, parts, job):
+    rows.limit(0).write.parquet(f"{folder}/in")
+    stream = spark.readStream.schema(rows.schema).parquet(f"{folder}/in")
+    for i in range(parts):
+        rows.where(f"event_id % 1000 div 100 = {i}").write.mode("append").parquet(f"{folder}/in")
+        job(stream).start().awaitTermination()
+
+
+def _answers(df):
+    return sorted(map(repr, df.select("event_id", "request_key", "anchor_id", "duplicate").collect()))
+
+
+def test_dedupe_in_state_over_restarts(spark, tmp_path):
+    """Repeats across batches, anchors that have expired, rows without key or time."""
+    rows = spark.range(300).select(
+        F.col("id").alias("event_id"),
+        F.expr("if(id % 50 = 0, null, concat('k', id * 7 % 13))").alias("request_key"),
+        F.expr("if(id % 70 = 0, null, timestamp_seconds(1700000000 + id * 97)::timestamp_ntz)").alias("ts"),
+        F.lit("x").alias("_more"))
+    _stream_in_parts(spark, rows, str(tmp_path), 3, lambda s: jobs.dedupe_state_to_files(
+        s, f"{tmp_path}/out", f"{tmp_path}/state", ttl_s=1500))
+    got = spark.read.parquet(f"{tmp_path}/out")
+    assert got.columns == [*rows.columns, "anchor_id", "duplicate"]
+    assert _answers(got) == _answers(dedupe_ttl(rows, ttl_s=1500))
+    assert got.where("duplicate").count() > 50
+
+
+def test_rows_of_one_event_id_keep_their_own_anchors(spark, tmp_path):
+    """Two keys under one event id in one batch, and a null event id inside a life."""
+    at = lambda s: f"timestamp_seconds(1700000000 + {s})::timestamp_ntz"
+    first = spark.sql(f"select 1L event_id, 'a' request_key, {at(0)} ts union all select 2L, 'b', {at(1)}")
+    second = spark.sql(f"""select 7L event_id, 'a' request_key, {at(5)} ts union all
+        select 7L, 'b', {at(6)} union all select null, 'a', {at(7)} union all select 8L, 'c', {at(8)}""")
+    for i, batch in enumerate((first, second)):
+        jobs.dedupe_batch(batch, i, str(tmp_path), ttl_s=100)
+    got = spark.read.parquet(f"{tmp_path}/results").where("batch_id = 1").collect()
+    assert sorted((r.event_id or 0, r.request_key, r.anchor_id, r.duplicate) for r in got) == [
+        (0, "a", 1, True), (7, "a", 1, True), (7, "b", 2, True), (8, "c", 8, False)]
