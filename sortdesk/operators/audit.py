@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions.text import strip, text_or_empty
+from ..sources import versions
 
 AUDIT_COLUMNS = (
     "case_id", "created_at", "message_id", "categorie", "priorite", "confiance", "action",
@@ -104,14 +105,21 @@ def export_gate(cases: DataFrame, allowed: DataFrame, sender: str = "email_from"
 
 def export_snapshot(cases: DataFrame, decisions: DataFrame, allowed: DataFrame,
                     path: str) -> bool:
-    """Write both logs as JSON unless the gate finds a foreign sender."""
+    """Write both logs as one version of a snapshot unless the gate finds a foreign sender.
+
+    Both appear at once; a run that fails in between leaves the former snapshot readable."""
     if not export_gate(cases, allowed).isEmpty():
         return False
-    cases.write.mode("overwrite").json(f"{path}/queue")
-    decisions.write.mode("overwrite").json(f"{path}/decisions")
+    versions.replace(path, {"queue": cases, "decisions": decisions})
     return True
 
 
+def read_snapshot(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame] | None:
+    """(cases, decisions) of the newest snapshot, or None before the first."""
+    found = versions.folders(spark, path)
+    return tuple(spark.read.parquet(*found[name]) for name in ("queue", "decisions")) if found else None
+
+
 def align_schema(df: DataFrame, contract: StructType, rejects: str | None = None) -> DataFrame:
     """Rows of another schema version in the current one: known columns kept and cast,
     missing ones null, unknown ones dropped.

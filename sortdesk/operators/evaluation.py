@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
 from ..functions.text import is_blank, text_or_empty
+from ..session import written
 
 
 # --- drafts --------------------------------------------------------------------------------
@@ -65,11 +66,12 @@ def floored_rank(df: DataFrame, value: str, by: list[str], share: float = 0.95,
                  out: str = "p95") -> DataFrame:
     """Value at 1-based position floor(share * n) of the sorted values; 0 for n < 2.
 
-    Values are counted first, so the ordered window sees one row per distinct value
-    (whole milliseconds) and never the messages themselves. That is why only whole numbers
-    are taken: a continuous value has as many distinct ones as rows.
+    Whole numbers are counted first, so the ordered window sees one row per distinct value
+    (whole milliseconds) and never the messages themselves. Of other numbers, which have as many
+    distinct ones as rows, the rank is selected: see ``_selected_rank``.
     """
-    _check_whole(df, value)
+    if dict(df.dtypes)[value] not in _WHOLE:
+        return _selected_rank(df, value, by, share, out)
     counts = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("__c"))
     group = Window.partitionBy(*by)
     upto = group.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -82,8 +84,51 @@ def floored_rank(df: DataFrame, value: str, by: list[str], share: float = 0.95,
         F.when(F.max("__n") < 2, F.lit(0)).otherwise(F.min(hit)).alias(out))
 
 
+_WHOLE = ("tinyint", "smallint", "int", "bigint")
+#: Ranges that a group is cut into, and rows of a group that are sorted in one task.
+RANGES, SORTED_ROWS = 64, 10_000
+
+
+def _selected_rank(df: DataFrame, value: str, by: list[str], share: float, out: str) -> DataFrame:
+    """The floored rank of numbers of any kind, without sorting a group.
+
+    Approximate quantiles cut each group into ranges, and each of the cutting values is a range of
+    its own. The counts of the ranges say which one holds the rank; only its rows are looked at
+    again, until they are few, or equal. A null is no value; NaN is above all others.
+    """
+    group = F.struct(*by) if by else F.lit(0)
+    rows = written(df.where(F.col(value).isNotNull()).select(group.alias("g"), F.col(value).alias("v")),
+                   "values")
+    sizes = rows.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    wanted = written(sizes.withColumn("rank", F.greatest(F.floor(F.lit(share) * F.col("n")), F.lit(1))),
+                     "ranks")
+    cuts = F.array(*[F.lit(i / RANGES) for i in range(1, RANGES)])
+    while not rows.groupBy("g").agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("a"), F.max("v").alias("b")
+                                    ).where(F.col("c") > SORTED_ROWS).where("a < b").isEmpty():
+        edges = rows.groupBy("g").agg(F.percentile_approx("v", cuts, 1000).alias("e"))
+        edges = written(edges.withColumn("e", F.array_distinct("e")), "edges")
+        below = F.size(F.filter("e", lambda e: e < F.col("v")))
+        placed = written(rows.join(edges, "g").select(
+            "g", "v", (2 * below + F.array_contains("e", F.col("v")).cast("int")).alias("r")), "ranges")
+        counted = placed.groupBy("g", "r").agg(F.count(F.lit(1)).alias("c"))
+        upto = F.sum("c").over(Window.partitionBy("g").orderBy("r"))   # RANGES * 2 rows of a group
+        holding = counted.withColumn("upto", upto).join(wanted, "g").where(
+            (F.col("upto") >= F.col("rank")) & (F.col("upto") - F.col("c") < F.col("rank")))
+        holding = written(holding.select("g", "r", "n", (F.col("rank") - F.col("upto") + F.col("c"))
+                                         .alias("rank")), "holding")
+        rows = written(placed.join(holding.select("g", "r"), ["g", "r"]).select("g", "v"), "values")
+        wanted = holding.drop("r")
+    # few rows of a group, or equal ones, of which one is as good as another
+    counted = rows.groupBy("g", "v").agg(F.count(F.lit(1)).alias("c"))
+    upto = counted.withColumn("upto", F.sum("c").over(Window.partitionBy("g").orderBy("v")))
+    found = upto.join(wanted, "g").where("upto >= rank").groupBy("g").agg(
+        F.min("v").alias("v"), F.max("n").alias("n"))
+    return found.select(*[F.col("g")[c].alias(c) for c in by],
+                        F.when(F.col("n") < 2, F.lit(0)).otherwise(F.col("v")).alias(out))
+
+
 def _check_whole(df: DataFrame, value: str) -> None:
-    if dict(df.dtypes)[value] not in ("tinyint", "smallint", "int", "bigint"):
+    if dict(df.dtypes)[value] not in _WHOLE:
         raise ValueError(f"{value} must hold whole numbers")
 
 

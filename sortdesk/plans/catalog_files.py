@@ -69,6 +69,60 @@ def run_metrics_log(spark, sf):
         "message_id", "timestamp_utc", "action", "tokens_in", "tokens_out", "cost_usd", "run_date")
 
 
+@register("compacted_metrics_log", ORACLE["run_metrics_log"])
+def compacted_metrics_log(spark, sf):
+    """Three runs appended to a log of versions, merged in between."""
+    calls = views.calls(spark, sf).withColumns({
+        "message_id": F.col("user_id").cast("string"),
+        "timestamp_utc": F.col("ts").cast("timestamp")})
+    folder = _folder(spark)
+    for run in range(3):
+        sinks.log_run_metrics(calls.where(F.col("event_id") % 3 == run), folder)
+        if run == 1:
+            sinks.compact_run_metrics(spark, folder)
+    return sinks.logged_run_metrics(spark, folder).select(
+        "message_id", "timestamp_utc", "action", "tokens_in", "tokens_out", "cost_usd", "run_date")
+
+
+#: The run-metrics columns before the judge's single scores were added.
+_EARLIER = tuple(c for c in V.RUN_METRICS_COLUMNS if not c[0].startswith("judge_"))
+
+
+@register("metrics_of_two_schemas", O.with_ctes(O.CALLS, final="""
+select cast(user_id as varchar) as message_id, ts as timestamp_utc, action, tokens_in,
+  case when event_id % 2 = 0 then 'earlier' else 'now' end as written_as,
+  case when event_id % 2 = 1 then event_id % 5 end as judge_ton from calls"""))
+def metrics_of_two_schemas(spark, sf):
+    """Runs under two column lists in one folder, each read back by its version, as one table."""
+    calls = views.calls(spark, sf).withColumns({
+        "message_id": F.col("user_id").cast("string"), "judge_ton": F.col("event_id") % 5,
+        "timestamp_utc": F.col("ts").cast("timestamp")})
+    folder = _folder(spark)
+    even = F.col("event_id") % 2 == 0
+    sinks.write_run_metrics(calls.where(even), folder, _EARLIER)
+    sinks.write_run_metrics(calls.where(~even), folder)
+    now = sinks.read_run_metrics(spark, folder)
+    earlier = sinks.read_run_metrics(spark, folder, sinks.schema_version(_EARLIER))
+    return now.withColumn("written_as", F.lit("now")).unionByName(
+        audit.align_schema(earlier, now.schema).withColumn("written_as", F.lit("earlier"))).select(
+        "message_id", "timestamp_utc", "action", "tokens_in", "written_as",
+        F.col("judge_ton").cast("long").alias("judge_ton"))
+
+
+@register("audit_snapshot", O.with_ctes(*DECISION_CTES, final="""
+select case_id, status, (select count(*) from decisions) as n_decisions from state"""))
+def audit_snapshot(spark, sf):
+    """The case table and its decisions written as one snapshot, over a former one."""
+    log = decided(spark, sf)[0]
+    cases = state(spark, sf, log).withColumn("email_from", F.lit("a@b.example"))
+    allowed = cases.limit(1).select("email_from")
+    path = f"{_folder(spark)}/snapshot"
+    for rows in (log.limit(0), log):
+        audit.export_snapshot(cases, rows, allowed, path)
+    kept, decisions = audit.read_snapshot(spark, path)
+    return kept.select("case_id", "status", F.lit(decisions.count()).alias("n_decisions"))
+
+
 @register("evaluation_files", """
 select conv_id, turn, md5(text) as text_md5, 'a "quoted", text | ' || role as notes from conversations""")
 def evaluation_files(spark, sf):

@@ -11,6 +11,7 @@ from ..functions import fixed_values as V
 from ..functions import masking as M
 from ..functions.text import text_or_empty
 from ..operators.guardrail import cost_usd
+from . import versions
 
 
 def schema_version(columns=V.RUN_METRICS_COLUMNS) -> str:
@@ -19,8 +20,8 @@ def schema_version(columns=V.RUN_METRICS_COLUMNS) -> str:
     return hashlib.md5(text.encode()).hexdigest()[:12]
 
 
-def run_metrics(results: DataFrame) -> DataFrame:
-    """Decided messages as run-metrics rows: the fixed columns in order, others dropped.
+def run_metrics(results: DataFrame, columns=V.RUN_METRICS_COLUMNS) -> DataFrame:
+    """Decided messages as run-metrics rows: the listed columns in order, others dropped.
 
     Columns a result lacks come out null; confidence and score are rounded to three
     digits, the cost to six.
@@ -52,23 +53,36 @@ def run_metrics(results: DataFrame) -> DataFrame:
     have = set(df.columns)
     return df.select(*[
         (F.col(name) if name in have else F.lit(None)).cast(kind).alias(name)
-        for name, kind in V.RUN_METRICS_COLUMNS])
+        for name, kind in columns])
 
 
 def _dated(metrics: DataFrame) -> DataFrame:
     return metrics.withColumn("run_date", F.to_date("timestamp_utc"))
 
 
-def write_run_metrics(results: DataFrame, path: str) -> None:
+def write_run_metrics(results: DataFrame, path: str, columns=V.RUN_METRICS_COLUMNS) -> None:
     """Append one row per message, by date, below the folder of the schema version."""
-    _dated(run_metrics(results)).write.mode("append").partitionBy("run_date").parquet(
-        f"{path}/schema_version={schema_version()}")
+    _dated(run_metrics(results, columns)).write.mode("append").partitionBy("run_date").parquet(
+        f"{path}/schema_version={schema_version(columns)}")
 
 
 def read_run_metrics(spark: SparkSession, path: str, version: str | None = None) -> DataFrame:
     return spark.read.parquet(f"{path}/schema_version={version or schema_version()}")
 
 
+def log_run_metrics(results: DataFrame, path: str) -> None:
+    """Append one row per message to a log of versions, which ``versions.compact`` can merge."""
+    versions.append(path, f"metrics-{schema_version()}", _dated(run_metrics(results)))
+
+
+def compact_run_metrics(spark: SparkSession, path: str) -> None:
+    versions.compact(spark, path, f"metrics-{schema_version()}")
+
+
+def logged_run_metrics(spark: SparkSession, path: str) -> DataFrame | None:
+    return versions.read(spark, path, f"metrics-{schema_version()}")
+
+
 def write_eval(detail: DataFrame, summary: DataFrame, path: str) -> None:
     """Detail as CSV with a header and doubled quotes, summary as JSON."""
     flat = [F.array_join(c, " | ").alias(c) if kind.startswith("array") else F.col(c)
