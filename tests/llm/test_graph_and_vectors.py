@@ -214,7 +214,7 @@ def test_hot_buckets_are_cut_into_blocks_without_loss(spark, monkeypatch):
     base = rng.standard_normal(8)
     rows = [(i, (base + rng.standard_normal(8) * 0.01).tolist()) for i in range(120)]
     vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    got = neighbours.nearest(vectors, vectors.where("vec_id < 20"), k=4, hashes=2)
+    got = neighbours.nearest(vectors, vectors.where("vec_id < 20"), k=4, setting=neighbours.Setting(hashes=2))
     by = defaultdict(list)
     for r in got.orderBy("query_id", "rank").collect():
         by[r.query_id].append(r.vec_id)
@@ -232,7 +232,7 @@ def test_ties_of_thousands_of_equal_vectors_go_to_the_least_ids(spark):
         [(i, base) for i in (0, 3, 4999)]
         + [(10_000 + i, rng.standard_normal(64).tolist()) for i in range(600)], schema)
     by = defaultdict(list)
-    for r in neighbours.nearest(vectors, asked, k=5, hashes=1).orderBy("query_id", "rank").collect():
+    for r in neighbours.nearest(vectors, asked, k=5, setting=neighbours.Setting(hashes=1)).orderBy("query_id", "rank").collect():
         by[r.query_id].append(r.vec_id)
     assert len(by) > 500
     for q, found in by.items():
@@ -277,6 +277,56 @@ def test_queries_that_meet_too_few_candidates_get_all_there_are(spark, monkeypat
                 assert [i for i, _ in by[q]] == [i for _, i in sorted(others)[:5]]
 
 
+def clustered(n, seed, size=40, d=24):
+    rng = np.random.default_rng(seed)
+    centres = rng.standard_normal((n // size, d))
+    x = centres[rng.integers(0, len(centres), n)] + 0.15 * rng.standard_normal((n, d))
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def fit(x, queries, k=5):
+    near = [x[np.argsort(-(x @ x[q]), kind="stable")[1:k + 1]] for q in range(queries)]
+    return neighbours.fitted(x[-neighbours.FIT_ROWS:], x[:queries], near, len(x), len(x) // 50, 5)
+
+
+def test_candidates_grow_more_slowly_than_a_clustered_table():
+    small, large = (fit(clustered(n, 3), 40) for n in (2000, 32_000))
+    assert small.recall >= neighbours.FIT_RECALL <= large.recall
+    assert large.share * 32_000 < 8 * small.share * 2000
+    assert large.share < 0.25
+
+
+def test_recall_of_fitted_settings_in_clusters(spark):
+    x = clustered(4000, 7)
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)],
+                                    "vec_id long, embedding array<double>").repartition(8)
+    by = defaultdict(set)
+    for r in neighbours.nearest(vectors, vectors.where("vec_id % 40 = 0"), k=5).collect():
+        by[r.query_id].add(r.vec_id)
+    hit = 0
+    for q in range(0, 4000, 40):
+        score = x @ x[q]
+        score[q] = -2
+        hit += len(by[q] & set(np.argsort(-score, kind="stable")[:5].tolist()))
+    assert hit >= 0.9 * 5 * 100
+
+
+def test_probes_come_in_the_order_of_estimated_success():
+    hashing = neighbours.Hashing(6, 2, 3, 1.5, 20, 1)
+    places = np.random.default_rng(2).normal(0, 3, (2, 4, 3))
+    got = hashing.probe(places)
+    low = np.floor(places)
+    for t in range(2):
+        for q in range(4):
+            moves = [m for m in np.ndindex(3, 3, 3)]
+            cost = lambda m: sum((places[t, q, i] - low[t, q, i]) ** 2 if s == 0 else
+                                 (low[t, q, i] + 1 - places[t, q, i]) ** 2 if s == 2 else 0
+                                 for i, s in enumerate(m))
+            want = sorted(moves, key=cost)[:20]
+            assert [tuple(int(v) for v in row) for row in got[t, q]] == [
+                tuple(int(low[t, q, i] + s - 1) for i, s in enumerate(m)) for m in want]
+
+
 def test_vectors_that_take_no_part(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 0.0]), (4, None), (5, [nan, 1.0]),
