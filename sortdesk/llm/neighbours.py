@@ -48,7 +48,7 @@ TABLES, HASHES, WIDTH, PROBES = 6, 4, 1.5, 16
 FIT_ROWS, FIT_QUERIES, FIT_RECALL = 2048, 64, 0.95
 #: The grid: widths are shares of the mean distance of the true neighbours.
 GRID_HASHES, GRID_WIDTHS, GRID_TABLES, GRID_PROBES = (
-    (2, 3, 4, 6, 8, 11, 14), (1.0, 2.0, 3.0), (1, 2, 4, 6, 8), (1, 4, 16, 64))
+    (2, 3, 4, 6, 8, 11, 14), (1.0, 2.0, 3.0), (1, 2, 3, 4, 6, 8), (1, 2, 4, 8, 16, 32, 64))
 #: Costs in candidates: a row of the index, a probe.
 ROW_COST, PROBE_COST = 150.0, 100.0
 #: Single moves of a query that are combined in a table.
