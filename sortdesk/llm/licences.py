@@ -80,6 +80,53 @@ NOTICES = {
         "This is free and unencumbered software released into the public domain.",
         "SPDX-License-Identifier: Unlicense"],
 }
+#: Notices of further families.
+NOTICES |= {
+    "AGPL": ["You should have received a copy of the GNU Affero General Public License along with "
+             "this program.", "SPDX-License-Identifier: AGPL-3.0-or-later"],
+    "BSL": ["Distributed under the Boost Software License, Version 1.0. (See accompanying file "
+            "LICENSE_1_0.txt or copy at http://www.boost.org/LICENSE_1_0.txt)",
+            "SPDX-License-Identifier: BSL-1.0"],
+    "CC0": ["To the extent possible under law, the author has dedicated all copyright and related "
+            "and neighboring rights to this work to the public domain worldwide.",
+            "SPDX-License-Identifier: CC0-1.0"],
+    "EPL": ["This program and the accompanying materials are made available under the terms of the "
+            "Eclipse Public License v2.0 which accompanies this distribution",
+            "SPDX-License-Identifier: EPL-2.0"],
+    "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with "
+            "or without fee is hereby granted, provided that the above copyright notice and this "
+            "permission notice appear in all copies.", "SPDX-License-Identifier: ISC"],
+    "PSF": ["SPDX-License-Identifier: PSF-2.0"],
+    "WTFPL": ["SPDX-License-Identifier: WTFPL"],
+    "Zlib": ["This software is provided 'as-is', without any express or implied warranty. In no event "
+             "will the authors be held liable for any damages arising from the use of this software. "
+             "Permission is granted to anyone to use this software for any purpose, including "
+             "commercial applications, and to alter it and redistribute it freely",
+             "SPDX-License-Identifier: Zlib"],
+}
+#: How the licences of a family are called.
+NAMES = {
+    "AGPL": ["GNU Affero General Public License"],
+    "Apache": ["Apache License, Version 2.0", "Apache License 2.0"],
+    "BSD": ["BSD 2-Clause License", "BSD 3-Clause License", "BSD License"],
+    "BSL": ["Boost Software License"],
+    "EPL": ["Eclipse Public License"],
+    "GPL": ["GNU General Public License"],
+    "ISC": ["ISC License"],
+    "LGPL": ["GNU Lesser General Public License"],
+    "MIT": ["MIT License"],
+    "MPL": ["Mozilla Public License"],
+    "PSF": ["Python Software Foundation License"],
+    "WTFPL": ["Do What The Fuck You Want To Public License"],
+    "Zlib": ["zlib License"],
+}
+#: Licences of no family here, so that the form of a notice alone is none.
+FOREIGN = ["Artistic License 2.0", "Ruby License", "Microsoft Public License", "Academic Free License",
+           "Acme Community License", "Open Company Public License", "General License", "Software License"]
+FORMS = ("Licensed under the {}.", "Released under the {}.")
+for _family, _names in NAMES.items():
+    NOTICES[_family] = list(dict.fromkeys(
+        [*NOTICES[_family], *(form.format(name) for name in _names for form in FORMS)]))
 #: Paragraphs of no family.
 UNKNOWN = "unknown"
 OTHERS = [
@@ -100,6 +147,7 @@ OTHERS = [
     "The Apache helicopter was released from service under the new rules.",
     "A free copy of the general terms can be found on the public page.",
 ]
+OTHERS += [form.format(name) for name in FOREIGN for form in FORMS]
 TRIGGERS = ("licen", "copyright", "permission", "redistribut", "spdx", "public domain",
             "subject to the terms", "free software")
 #: Comment marks at the start and at the end of a line.

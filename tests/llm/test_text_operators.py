@@ -494,6 +494,31 @@ def test_licences_of_held_out_variants(spark, licence_model):
     assert right > 0.9
 
 
+def test_licences_in_forms_and_names_not_trained_on(spark, licence_model):
+    """Whole sentences that no notice was made from, and licences of no family."""
+    forms = ("This project is made available under the {}, see the file in the root folder for details.",
+             "You can use all of the code under the {} if you like.",
+             "Everything in here is provided under the {}; contributions are welcome.")
+    names = {f: n for f, ns in licences.NAMES.items() for n in ns[-1:]}
+    foreign = ["SIL Open Font License", "Server Side Public License", "Open Database License",
+               "PostgreSQL License", "Sleepycat License", "Common Public License", "Company License"]
+    rows = [(f, form.format(n)) for f, n in names.items() for form in forms]
+    rows += [(licences.UNKNOWN, form.format(n)) for n in foreign for form in forms]
+    rows += [(licences.UNKNOWN, t) for t in (
+        "The driver lost his licence after the accident.", "A fishing license costs ten dollars.",
+        "This film was licensed for three countries.", "Ask the owner for permission to copy the keys.")]
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")
+    found = {r.id: r.family for r in licences.licence_paragraphs(docs, licence_model).collect()}
+    got = [(f, found.get(i, licences.UNKNOWN)) for i, (f, _) in enumerate(rows)]
+    granted = [p for p in got if p[0] != licences.UNKNOWN]
+    named = [p for p in got if p[1] != licences.UNKNOWN]
+    hits = sum(a == b for a, b in granted)
+    print("recall", hits / len(granted), "precision", hits / len(named),
+          [p for p in got if p[0] != p[1]])
+    assert hits / len(granted) >= 0.8 and hits / len(named) >= 0.9
+    assert sum(b == licences.UNKNOWN for a, b in got if a == licences.UNKNOWN) >= 0.9 * (len(rows) - len(granted))
+
+
 def test_licences_of_awkward_rows(spark):
     got = {(r.doc_id, r.families) for r in licences.document_licences(documents(spark)).collect()}
     assert (11, "MIT") in got and (3, "") in got and (None, "") in got
