@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
 from ..functions.text import stripped_length_below, text_or_empty
-from ..session import cut_lineage
+from ..session import cut_lineage, written
 
 # A key with more distinct times than this is not folded in one task but resolved by
 # pointer doubling.
@@ -120,6 +120,7 @@ def dedupe_ttl(df: DataFrame, key: str = "request_key", ts: str = "ts", order: s
         "__b", F.floor(F.col("__t") / ttl).cast("long"))
     times = work.groupBy(F.col(key).cast("string").alias("k"), F.col("__b").alias("b"),
                          F.col("__t").alias("t")).agg(F.min(order).cast("long").alias("id"))
+    times = written(times, "times")    # read for the hot keys, the folds and the chains
     hot = times.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where(
         F.col("n") > fold_limit).select("k")
     has_hot = not hot.isEmpty()

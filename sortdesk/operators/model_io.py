@@ -315,8 +315,10 @@ def usage_totals(messages: DataFrame, calls: DataFrame, key: str = "conv_id") ->
 
 # --- model-free baseline -------------------------------------------------------------------
 def train_classifier(labelled: DataFrame, text: str = "text", label: str = "label",
-                     features: int = 1 << 16, iterations: int = 20):
-    """Bag-of-words baseline with the classifier's contract (label and probability)."""
+                     features: int = 1 << 16, iterations: int = 20, ridge: float = 0.1):
+    """Bag-of-words baseline with the classifier's contract (label and probability).
+
+    Without a penalty, words of single documents fit the training rows and lose on others."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer, StringIndexer
@@ -327,7 +329,7 @@ def train_classifier(labelled: DataFrame, text: str = "text", label: str = "labe
         RegexTokenizer(inputCol=text, outputCol="__words", gaps=False, pattern=V.TERM),
         HashingTF(inputCol="__words", outputCol="__tf", numFeatures=features),
         IDF(inputCol="__tf", outputCol="__x"),
-        LogisticRegression(featuresCol="__x", labelCol="__y", maxIter=iterations),
+        LogisticRegression(featuresCol="__x", labelCol="__y", maxIter=iterations, regParam=ridge),
     ]
     return Pipeline(stages=stages).fit(labelled)
 

@@ -66,8 +66,8 @@ def stream_triage_decisions(spark, sf):
     folder = _work_folder(spark)
     columns = ["doc_id", "message_id", "categorie", "priorite", "action", "requires_human",
                "decision_reason"]
-    jobs.triage_to_files(_messages(spark, sf), f"{folder}/out", f"{folder}/state",
-                         columns).start().awaitTermination()
+    jobs.triage_to_files(_messages(spark, sf), f"{folder}/out", f"{folder}/state", columns,
+                         spread=spark.sparkContext.defaultParallelism).start().awaitTermination()
     return spark.read.parquet(f"{folder}/out")
 
 

@@ -52,8 +52,12 @@ def _append_batch(rows: DataFrame, path: str, by: str, batch_id: int) -> None:
 
 # --- triage and metrics --------------------------------------------------------------------
 def triage_to_files(messages: DataFrame, path: str, checkpoint: str, columns: list[str],
-                    policy: Policy | None = None) -> DataStreamWriter:
-    """Decide a stream of messages with class, draft and verdict columns; append results."""
+                    policy: Policy | None = None, spread: int | None = None) -> DataStreamWriter:
+    """Decide a stream of messages with class, draft and verdict columns; append results.
+
+    A batch of few files is read by as few tasks; `spread` deals its rows out to so many before the
+    patterns run over them."""
+    messages = messages.repartition(spread) if spread else messages
     results = triage(messages, policy).select(*columns)
     return _available(results.writeStream.format("parquet").option("path", path), checkpoint)
 
