@@ -137,6 +137,48 @@ def last_decisions(decisions: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n_decisions"))
 
 
+# --- a stored fold -------------------------------------------------------------------------
+def decision_fold(decisions: DataFrame) -> DataFrame:
+    """(case_id, last, final, n): what accepted decisions leave of each case. ``last`` is the last
+    decision and ``final`` the last text that can be sent, both behind their seq, so that folds of
+    parts of a log can be merged in any order."""
+    sendable = F.col("decision").isin(*V.APPROVED) & ~is_blank("final_draft")
+    return decisions.groupBy("case_id").agg(
+        F.max(F.struct("seq", "decision", "decided_by", "decided_at")).alias("last"),
+        F.max(F.when(sendable, F.struct("seq", "final_draft"))).alias("final"),
+        F.count(F.lit(1)).alias("n"))
+
+
+def merge_folds(stored: DataFrame, later: DataFrame) -> DataFrame:
+    """One fold of two parts of a log."""
+    return stored.unionByName(later).groupBy("case_id").agg(
+        F.max("last").alias("last"), F.max("final").alias("final"), F.sum("n").alias("n"))
+
+
+def advance(commands: DataFrame, cases: DataFrame, stored: DataFrame
+            ) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(fold, accepted, refused): new commands judged on a stored fold, and the fold with them.
+
+    The new commands must follow the stored ones in seq; cases they do not touch are not judged
+    again. The draft in force of an old case comes from its fold and was clean when it was accepted.
+    """
+    kept = stored.select("case_id", F.col("final")["final_draft"].alias("__kept"))
+    in_force = cases.join(kept, "case_id", "left").withColumn(
+        "draft", F.coalesce("__kept", "draft")).drop("__kept")
+    accepted, refused = apply_decisions(commands, in_force)
+    return merge_folds(stored, decision_fold(accepted)), accepted, refused
+
+
+def folded_state(cases: DataFrame, fold: DataFrame, sends: DataFrame) -> DataFrame:
+    """``case_state`` from a fold of the decisions instead of the decisions."""
+    last = F.col("last")
+    taken = fold.select(
+        "case_id", last["decision"].alias("last_decision"), last["decided_by"].alias("last_decided_by"),
+        last["decided_at"].alias("last_decided_at"), F.col("final")["final_draft"].alias("__final"),
+        F.col("n").alias("n_decisions"))
+    return _with_status(cases, taken, sends)
+
+
 def first_sends(sends: DataFrame) -> DataFrame:
     return sends.groupBy("case_id").agg(
         F.min("sent_at").alias("sent_at"), F.min_by("sent_by", "sent_at").alias("sent_by"))
@@ -144,9 +186,12 @@ def first_sends(sends: DataFrame) -> DataFrame:
 
 def case_state(cases: DataFrame, decisions: DataFrame, sends: DataFrame) -> DataFrame:
     """Cases with status, draft in force and sending; a sent case stays sent."""
+    return _with_status(cases, last_decisions(decisions), sends)
+
+
+def _with_status(cases: DataFrame, taken: DataFrame, sends: DataFrame) -> DataFrame:
     joined = (
-        cases.join(last_decisions(decisions), "case_id", "left")
-        .join(first_sends(sends), "case_id", "left"))
+        cases.join(taken, "case_id", "left").join(first_sends(sends), "case_id", "left"))
     status = F.when(F.col("sent_at").isNotNull(), F.lit("sent")).otherwise(
         F.coalesce("last_decision", F.lit("pending")))
     return joined.withColumns({

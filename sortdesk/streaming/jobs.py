@@ -226,7 +226,8 @@ class _Anchors(StatefulProcessor):
 
 def dedupe_state_to_files(requests: DataFrame, path: str, checkpoint: str, **options
                           ) -> DataStreamWriter:
-    """``dedupe_in_state`` appended to files. Needs the RocksDB state store."""
+    """``dedupe_in_state`` appended to files. Needs the RocksDB state store, which it sets for the
+    session, and protobuf on the executors."""
     requests.sparkSession.conf.set(
         "spark.sql.streaming.stateStore.providerClass",
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")

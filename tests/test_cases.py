@@ -4,6 +4,7 @@ import pytest
 
 from sortdesk.operators import audit
 from sortdesk.operators import cases as C
+from sortdesk.session import written
 
 CASES = [(1, "Brouillon un", "Marie <m@x.fr>"), (2, "voir https://x.fr", "a@x.fr"),
          (3, None, "b@x.fr")]
@@ -62,6 +63,29 @@ def test_decisions_equal_simulation(spark, monkeypatch):
     assert {r.case_id: r.final_draft for r in state.collect()} == want_final
 
 
+@pytest.mark.parametrize("cuts", [[0, 200], [0, 1, 60, 199, 200], [0, 50, 50, 100, 150, 200]])
+def test_a_stored_fold_equals_the_whole_log(spark, cuts):
+    """After any split of the log, late commands of old cases included."""
+    rnd = random.Random(6)
+    rows = [(i, rnd.choice([1, 2, 3, 9]),
+             rnd.choice(["validated", "validated", "edited", "rejected", "postponed"]),
+             rnd.choice(["", "  ", f"texte {i}", "https://x.fr"])) for i in range(200)]
+    cases = case_frame(spark)
+    whole, refused = C.apply_decisions(command_frame(spark, rows), cases)
+    fold, seen, left = C.decision_fold(whole.limit(0)), [], []
+    for a, b in zip(cuts, cuts[1:]):
+        fold, more, less = C.advance(command_frame(spark, rows).where(f"seq >= {a} and seq < {b}"), cases, fold)
+        fold = written(fold, "folds")
+        seen += [(r.seq, r.final_draft) for r in more.collect()]
+        left += [(r.seq, r.refusal) for r in less.collect()]
+    assert sorted(seen) == sorted((r.seq, r.final_draft) for r in whole.collect())
+    assert sorted(left) == sorted((r.seq, r.refusal) for r in refused.collect())
+    sends = spark.createDataFrame([], "case_id long, sent_at timestamp_ntz, sent_by string")
+    want = C.case_state(cases, whole, sends)
+    got = C.folded_state(cases, fold, sends).select(*want.columns)
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+
+
 def test_commands_without_case_are_refused_and_sends_left_alone(spark):
     rows = [(1, None, "validated", ""), (2, 1, "validated", ""), (3, 1, "mark_sent", ""),
             (4, None, "mark_sent", ""), (5, 1, None, "")]
