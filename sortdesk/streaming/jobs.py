@@ -160,13 +160,20 @@ def dedupe_to_files(requests: DataFrame, path: str, checkpoint: str, **options
         lambda batch, batch_id: dedupe_batch(batch, batch_id, path, **options)), checkpoint)
 
 
+#: Keys share so many values of the state store: a call into Python costs the same for one key as
+#: for some thousand. Fixed for the life of a checkpoint.
+STATE_BUCKETS = 1024
+
+
 def dedupe_in_state(requests: DataFrame, key: str = "request_key", ts: str = "ts",
-                    order: str = "event_id", ttl_s: int = V.DEDUPE_TTL_S) -> DataFrame:
+                    order: str = "event_id", ttl_s: int = V.DEDUPE_TTL_S,
+                    buckets: int = STATE_BUCKETS) -> DataFrame:
     """Stream of requests -> the same rows with anchor_id and duplicate, from a state store.
 
-    Each key has one value, its last anchor, and one timer, which forgets the anchor when the
-    watermark passes the end of its life; no log is read, and a batch touches the keys of its own
-    rows only. Rows of a key are settled in time order within a batch. A row that arrives out of
+    The last anchors of the keys of one hash bucket are one value. An anchor is forgotten when the
+    watermark has passed the end of its life and its bucket gets rows, or at the bucket's timer,
+    which stands at the end of its latest anchor; no log is read, and a batch touches the buckets of
+    its own rows only. Rows of a key are settled in time order within a batch. A row that arrives out of
     order across batches is judged by the anchor known then, and dropped if it is later than a TTL:
     ``dedupe_to_files`` keeps such rows. Rows without key or time are never duplicates.
     """
@@ -177,7 +184,8 @@ def dedupe_in_state(requests: DataFrame, key: str = "request_key", ts: str = "ts
     timed = requests.where(keyed).withColumns({
         "__key": F.col(key).cast("string"), "__t": _micros(ts),
         "__time": F.col(ts).cast("timestamp")}).withWatermark("__time", f"{ttl_s} seconds")
-    settled = timed.groupBy("__key").transformWithStateInPandas(
+    bucket = F.pmod(F.xxhash64("__key"), F.lit(buckets)).cast("int")
+    settled = timed.withColumn("__bucket", bucket).groupBy("__bucket").transformWithStateInPandas(
         _Anchors(ttl_s * 1_000_000, order, kind, requests.columns), schema, "Append", "EventTime")
     loose = requests.where(F.coalesce(~keyed, F.lit(True))).select(
         *requests.columns, F.col(order).alias("anchor_id"), F.lit(False).alias("duplicate"))
@@ -185,39 +193,54 @@ def dedupe_in_state(requests: DataFrame, key: str = "request_key", ts: str = "ts
 
 
 class _Anchors(StatefulProcessor):
-    """The last anchor of each key: its time in microseconds and its order value."""
+    """The last anchor of each key of a bucket: its time in microseconds and its order value."""
 
     def __init__(self, ttl: int, order: str, kind: str, columns: list[str]):
         self.ttl, self.order, self.kind, self.columns = ttl, order, kind, columns
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.anchor = handle.getValueState("anchor", f"t bigint, id {self.kind}")
+        self.anchors = handle.getValueState(
+            "anchors", f"k array<string>, t array<bigint>, id array<{self.kind}>")
+
+    def _timer(self, known: dict) -> int | None:
+        """The moment when the latest anchor's life is over, in milliseconds."""
+        return (max(t for t, _ in known.values()) + self.ttl) // 1000 + 1 if known else None
 
     def handleInputRows(self, key, rows, timerValues):
         import pandas as pd
-        # the rows of one key in one batch; the order of chunks says nothing about time
+        # the rows of one bucket in one batch; the order of chunks says nothing about time
         batch = pd.concat(list(rows), ignore_index=True)
-        batch.columns = [*self.columns, "__key", "__t", "__time"]   # names with _ come as places
+        batch.columns = [*self.columns, "__key", "__t", "__time", "__bucket"]   # names with _ come as places
         batch = batch.sort_values(["__t", self.order], kind="stable", na_position="first",
                                   ignore_index=True)
-        before = known = self.anchor.get() if self.anchor.exists() else None
-        ids, repeats = [], []
-        for t, own in zip(batch["__t"].tolist(), batch[self.order].tolist()):
-            repeat = known is not None and known[0] <= t <= known[0] + self.ttl
+        stored = self.anchors.get()
+        before = {k: (t, i) for k, t, i in zip(*stored)} if stored is not None else {}
+        known, ids, repeats = dict(before), [], []
+        for k, t, own in zip(batch["__key"].tolist(), batch["__t"].tolist(), batch[self.order].tolist()):
+            anchor = known.get(k)
+            repeat = anchor is not None and anchor[0] <= t <= anchor[0] + self.ttl
             if not repeat:
-                known = (t, own)
-            ids.append(known[1])
+                known[k] = anchor = (t, own)
+            ids.append(anchor[1])
             repeats.append(repeat)
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        known = {k: a for k, a in known.items() if a[0] + self.ttl >= passed}
         if known != before:
-            if before is not None:
-                self.handle.deleteTimer((before[0] + self.ttl) // 1000 + 1)
-            self.anchor.update((known[0], known[1]))
-            self.handle.registerTimer((known[0] + self.ttl) // 1000 + 1)
+            old, new = self._timer(before), self._timer(known)
+            if old != new and old is not None:
+                self.handle.deleteTimer(old)
+            if old != new and new is not None:
+                self.handle.registerTimer(new)
+            if known:
+                self.anchors.update(
+                    (list(known), [t for t, _ in known.values()], [i for _, i in known.values()]))
+            else:
+                self.anchors.clear()
         yield batch[self.columns].assign(anchor_id=ids, duplicate=repeats)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        self.anchor.clear()
+        self.anchors.clear()
         return iter([])
 
     def close(self) -> None:

@@ -69,3 +69,28 @@ def test_rows_of_one_event_id_keep_their_own_anchors(spark, tmp_path):
     got = spark.read.parquet(f"{tmp_path}/results").where("batch_id = 1").collect()
     assert sorted((r.event_id or 0, r.request_key, r.anchor_id, r.duplicate) for r in got) == [
         (0, "a", 1, True), (7, "a", 1, True), (7, "b", 2, True), (8, "c", 8, False)]
+
+
+def test_keys_share_the_values_of_the_state_store(spark, tmp_path):
+    """Many keys share the values of the store; anchors are forgotten when their lives are over."""
+    def rows(start, n, at):
+        return spark.range(start, start + n).select(
+            F.col("id").alias("event_id"), F.expr("concat('k', id % 6000)").alias("request_key"),
+            F.expr(f"timestamp_seconds({at} + id % 6000 % 7)::timestamp_ntz").alias("ts"))
+    parts = [rows(0, 12000, 1700000000), rows(12000, 12000, 1700000050), rows(24000, 3, 1700009000),
+             rows(30000, 3, 1700020000)]
+    parts[0].limit(0).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(parts[0].schema).parquet(f"{tmp_path}/in")
+    kept = []
+    for part in parts:
+        part.write.mode("append").parquet(f"{tmp_path}/in")
+        query = jobs.dedupe_state_to_files(
+            stream, f"{tmp_path}/out", f"{tmp_path}/state", ttl_s=100).start()
+        query.awaitTermination()
+        kept.append(query.lastProgress["stateOperators"][0]["numRowsTotal"])
+    # a value, and a timer with its entry in the order of times, for each bucket
+    assert 0 < kept[1] <= 3 * jobs.STATE_BUCKETS < 6000 and kept[-1] <= 9
+    everything = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+    got = spark.read.parquet(f"{tmp_path}/out")
+    assert _answers(got) == _answers(dedupe_ttl(everything, ttl_s=100))
+    assert got.where("duplicate").count() == 18000
