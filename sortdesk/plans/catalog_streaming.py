@@ -93,9 +93,12 @@ def stream_dedupe_state(spark, sf):
 def stream_enqueued_cases(spark, sf):
     from .triage import triage
     folder = _work_folder(spark)
+    spread = 4 * spark.sparkContext.defaultParallelism
 
     def job(documents):
-        results = triage(_messages(spark, sf, documents), texts=False).select(
+        # a part comes in few files, which as few tasks read: dealt out before the patterns run
+        dealt = documents.repartition(spread)
+        results = triage(_messages(spark, sf, dealt), texts=False).select(
             "doc_id", "message_id", "job_id", "received_at", "requires_human", "decision_reason")
         return jobs.enqueue_to_files(results, f"{folder}/out", f"{folder}/state",
                                      ("received_at", "doc_id"))

@@ -271,10 +271,10 @@ def enqueue_batch(batch: DataFrame, batch_id: int, path: str, order: tuple) -> N
     batch = batch.persist()
     try:
         part = F.pmod(F.xxhash64(idempotency_key()), F.lit(KEY_FOLDERS)).cast("int")
+        # at most KEY_FOLDERS numbers; this one pass also fills the cache for the branches below
+        parts = [r[0] for r in batch.select(part).distinct().collect()]
         existing = _log_before(batch.sparkSession, path, batch_id)
         if existing is not None:
-            # at most KEY_FOLDERS numbers
-            parts = [r[0] for r in batch.select(part).distinct().collect()]
             existing = existing.where(F.col("part").isin(parts))
         new = enqueue(batch, existing, order)
         _append_batch(new.withColumn("part", part), path, "part", batch_id)

@@ -94,3 +94,20 @@ def test_keys_share_the_values_of_the_state_store(spark, tmp_path):
     got = spark.read.parquet(f"{tmp_path}/out")
     assert _answers(got) == _answers(dedupe_ttl(everything, ttl_s=100))
     assert got.where("duplicate").count() == 18000
+
+
+def test_messages_of_few_files_are_dealt_out_before_the_patterns(spark, tmp_path, monkeypatch):
+    spark.range(400).selectExpr(
+        "id as doc_id", "concat('Bonjour, urgent ', id) as text", "'fr' as lang", "'mail' as source",
+        "20L as n_chars").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    plain, tasks = jobs.enqueue_batch, []
+
+    def enqueue_batch(batch, *args):
+        tasks.append(batch.rdd.getNumPartitions())
+        plain(batch, *args)
+    monkeypatch.setattr(jobs, "enqueue_batch", enqueue_batch)
+    got, wanted = (queries()[name](spark, str(tmp_path)).collect()
+                   for name in ("stream_enqueued_cases", "enqueued_cases"))
+    assert len(tasks) == catalog_streaming.BATCHES
+    assert min(tasks) >= spark.sparkContext.defaultParallelism
+    assert len(got) > 0 and sorted(map(repr, got)) == sorted(map(repr, wanted))
