@@ -30,6 +30,9 @@ RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"),
 SCALE = 10 ** 15
 #: Share of the mass that four rounds may still move, and rounds after which it is an error.
 SETTLED, MOST_ROUNDS = 1e-6, 200
+#: Edges of a task in the rounds. Every task of a round leaves files until the run ends, so a small
+#: graph must not be dealt over as many tasks as the pages are.
+EDGES_A_TASK = 100_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -82,11 +85,17 @@ def host_edges(judged: DataFrame) -> DataFrame:
         "src", "dst").agg(F.sum("n").alias("n"))
 
 
-def _moved(before: DataFrame, rank: DataFrame) -> int:
+def _in_tasks(df: DataFrame, edges: int) -> DataFrame:
+    """df in no more tasks than a graph of so many edges calls for; a large one stays as dealt."""
+    return df.coalesce(max(1, -(-edges // EDGES_A_TASK)))
+
+
+def _moved(before: DataFrame, rank: DataFrame, edges: int) -> int:
     """Parts of the mass by which the ranks of either kind differ, the larger of both."""
     differ = before.unionByName(rank.withColumn("rank", -F.col("rank"))).groupBy(
         "kind", "host").agg(F.abs(F.sum("rank")).alias("d"))
-    return differ.groupBy("kind").agg(F.sum("d").alias("d")).agg(F.max("d")).first()[0] or 0
+    return _in_tasks(differ, edges).groupBy("kind").agg(F.sum("d").alias("d")).agg(
+        F.max("d")).first()[0] or 0
 
 
 def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85,
@@ -103,6 +112,7 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85,
         "kind", F.lit("distrust")))
     out = both.groupBy("kind", "src").agg(F.sum("n").alias("total"))
     both = written(both.join(out, ["kind", "src"]), "host-edges")
+    n_edges = both.count()
 
     kinds = F.explode(F.array(F.struct(F.lit("trust").alias("kind"), F.col("trust").alias("n")),
                               F.struct(F.lit("distrust").alias("kind"), F.col("distrust").alias("n"))))
@@ -117,10 +127,11 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85,
         moved = rank.withColumnRenamed("host", "src").join(both, ["kind", "src"]).select(
             "kind", F.col("dst").alias("host"), share.alias("part"))
         start = base.select("kind", "host", F.expr(f"base * {100 - keep} div 100").alias("part"))
-        rank = moved.unionByName(start).groupBy("kind", "host").agg(F.sum("part").alias("rank"))
+        rank = _in_tasks(moved.unionByName(start), n_edges).groupBy("kind", "host").agg(
+            F.sum("part").alias("rank"))
         if i % 4 == 3:
-            rank = written(rank, "host-ranks")
-            if _moved(before, rank) <= settled * SCALE:
+            rank = written(_in_tasks(rank, n_edges), "host-ranks")
+            if _moved(before, rank, n_edges) <= settled * SCALE:
                 break
             before = rank
     else:

@@ -339,3 +339,30 @@ def test_vectors_that_take_no_part(spark):
         (0, 1, 1, 1.0), (0, 2, 2, 1.0), (1, 1, 0, 1.0), (1, 2, 2, 1.0), (2, 1, 0, 1.0), (2, 2, 1, 1.0)]
     assert neighbours.nearest(vectors.limit(0), vectors).count() == 0
     assert neighbours.nearest(vectors, vectors.limit(0)).count() == 0
+
+
+def test_rounds_over_a_small_graph_leave_few_files(spark, monkeypatch):
+    """However many partitions the tables are dealt over: every task of a round leaves files."""
+    files, plain = [], url_graph.written
+
+    def written(df, what):
+        out = plain(df, what)
+        if what == "host-ranks":
+            files.append(len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(url_graph, "written", written)
+    edges = spark.range(150).selectExpr(
+        "concat('h', id) as src", "concat('h', id * 7 % 150 + 1) as dst", "1L as n")
+    seeds = spark.range(150).selectExpr("concat('h', id) as host", "id % 3 as trust", "id % 2 as distrust")
+    settings = {"spark.sql.shuffle.partitions": "12",
+                "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        got = url_graph.propagate(edges, seeds, damping=0.5, settled=0.1).count()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert files and set(files) == {1} and got > 100
